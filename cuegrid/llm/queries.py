@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cuegrid.llm import bpe, exact_dedup, minhash, mixing, projections
+from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, projections
 
 
 def queries() -> dict:
     out = {
+        "op2_langid": langid.op2_langid,
         "op3_mixing": mixing.op3_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op7_projections": projections.op7_projections,
