@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, projections
+from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, mixlm, projections
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_bpe": bpe.op4_bpe,
         "op7_projections": projections.op7_projections,
         "op8_minhash": minhash.op8_minhash,
+        "op9_mixlm": mixlm.op9_mixlm,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
     return out
