@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, mixlm, projections
+from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, mixlm, projections, quotes, urls
 
 
 def queries() -> dict:
     out = {
+        "op1_quotes": quotes.op1_quotes,
         "op2_langid": langid.op2_langid,
         "op3_mixing": mixing.op3_mixing,
         "op4_bpe": bpe.op4_bpe,
+        "op5_urls": urls.op5_urls,
         "op7_projections": projections.op7_projections,
         "op8_minhash": minhash.op8_minhash,
         "op9_mixlm": mixlm.op9_mixlm,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op1_quotes": quotes.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
