@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, mixlm, projections, quotes, urls
+from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, mixlm, pii, projections, quotes, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op5_urls": urls.op5_urls,
+        "op6_pii": pii.op6_pii,
         "op7_projections": projections.op7_projections,
         "op8_minhash": minhash.op8_minhash,
         "op9_mixlm": mixlm.op9_mixlm,
