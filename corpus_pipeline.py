@@ -3,14 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuegrid.llm import exact_dedup, mixing
+from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing
 from cuegrid.llm.common import stored
 
-STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.keep(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.emit(docs)),
-]
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without letters and those of no sure language go."""
+    return langid.keep(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text that is equal but for white space."""
+    return exact_dedup.keep(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more."""
+    return minhash.keep(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.emit(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids in place of their texts."""
+    found = bpe.encoded(docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text"), id_col="doc")
+    return found.select("id.doc_id", "id.lang", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encoding", encode)]
 
 #: The first stage is a learned model, which SQL cannot express.
 ORACLE_SQL = None
@@ -18,6 +43,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
