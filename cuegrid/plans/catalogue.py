@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from cuegrid.plans import timeline
+
+_MODULES = (timeline,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.register.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.register.sql.items()}
