@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import small, stored
@@ -15,8 +15,6 @@ from cuegrid.llm.components import components
 from cuegrid.llm.textnum import Words, mix64, pieces
 
 BINS, BAND_ROWS = 256, 8
-#: Members of a bucket that are compared with all its other members in one round.
-CENTRES = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,31 +104,51 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
-def _next_pairs(members: DataFrame, per_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members after): open members of a bucket that are not of its main component become centres, each paired with the open members of other components.
+def _linked(common: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m elements with so many in common are similar enough."""
+    return common * (100 + percent) >= percent * (n + m)
 
-    Two open members of one component need no comparison; a centre is closed once it has met all others of its bucket.
+
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """members (pivot, id, ...) with the components of both."""
+    own = members.join(parts.select(F.col("node").alias("id"), F.col("component").alias("of")), "id", "left").withColumn("of", F.coalesce("of", "id"))
+    return own.join(parts.select(F.col("node").alias("pivot"), F.col("component").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
+
+
+def _rest(verified: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a pivot's group that are not in one component yet.
+
+    A member is told by what it has beyond its pivot and what it lacks of it. From the sizes of these two lists and what
+    two members have in common in them follows the intersection of their whole sets, exactly; so the condition of the
+    join confirms a link, and only links leave it. Where the lists' sizes rule a link out, the lists are not compared.
     """
-    still = members.where("not done")
-    by = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = by.groupBy("bucket").agg(F.min_by("component", F.struct(-F.col("size"), F.col("component"))).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", "main")
-    rank = Window.partitionBy("bucket").orderBy("id")
-    centres = stored(still.join(main, "bucket").where("component <> main").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_bucket).select("bucket", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n").alias("cn")))
-    met = still.join(centres, "bucket").where((F.col("component") != F.col("of")) & (100 * F.least("n", "cn") >= F.col("limit") * F.greatest("n", "cn")))
-    pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    after = members.join(centres.select("bucket", F.col("centre").alias("id"), F.lit(True).alias("met")), ["bucket", "id"], "left")
-    return pairs, after.select("bucket", "id", "n", "limit", (F.col("done") | F.col("met").isNotNull()).alias("done"))
+    placed = stored(_placed(verified.select("pivot", "id", "n", "np"), parts))
+    torn = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.bool_or(F.col("of") != F.col("main")).alias("open")).where("open AND k > 1").select("pivot")
+    some = stored(placed.join(torn, "pivot", "left_semi"))
+    if some.isEmpty():
+        return some.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    told = some.join(sets.select("id", F.col("shingles").alias("s")), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    told = stored(told.select("pivot", "id", "n", "of", "main", F.array_except("s", "p").alias("more"), F.array_except("p", "s").alias("less")))
+    one = told.where("of <> main").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "of", "more", "less")])
+    two = told.withColumn("inner", F.col("of") == F.col("main"))
+    lists = F.size("x_more") + F.size("x_less") + F.size("more") + F.size("less")
+    common = lambda shared: (F.col("x_n") + F.col("n") - lists + 2 * shared) / 2
+    most = F.least(F.size("x_more"), F.size("more")) + F.least(F.size("x_less"), F.size("less"))
+    shared = F.size(F.array_intersect("x_more", "more")) + F.size(F.array_intersect("x_less", "less"))
+    apart = (F.col("x_of") != F.col("of")) & (F.col("inner") | (F.col("x_id") < F.col("id")))
+    met = one.join(two, (one["pivot"] == two["pivot"]) & apart & _linked(common(most), F.col("x_n"), F.col("n"), percent) & _linked(common(shared), F.col("x_n"), F.col("n"), percent))
+    return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs; documents are linked where 100 * intersection >= percent * union of their shingle sets.
 
     Equal sets are one class from the start and only its smallest id goes on. Each class's sketch is cut into bands; a
-    bucket holds the classes that share a band. In a bucket a few members are compared with the rest, links are joined
-    to components, and then members outside the main component are compared in turn, until every pair of open members
-    of a bucket is in one component. So a bucket of near copies costs a few comparisons for each member, and no pair of
-    different components goes unseen. Every link is confirmed on whole sets. With 32 bands of 8 a pair at 0.85 shares no
-    bucket once in 25,000, at 0.8 once in 360; ``width`` and ``percent`` are the caller's.
+    bucket holds the classes that share a band. A bucket's pivot is the member whose buckets hold most members: in a
+    group of near copies the text that they were made from. Every member is compared with its pivots on whole sets, and
+    links are joined to components. Members that are not in their pivot's component are then compared with all others of
+    the pivot's group, so no pair of a bucket goes unseen unless it is in one component already. With 32 bands of 8 a
+    pair at 0.85 shares no bucket once in 25,000, at 0.8 once in 360; ``width`` and ``percent`` are the caller's.
 
     A null id, or a null, empty or wordless text, links with nothing; such a row is its own component. Rows that share
     an id are one document, linked if any of them is. Repeated rows stay as rows. An empty table gives none. Only the
@@ -142,42 +160,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     classes = full.groupBy("digest").agg(F.min(F.struct("id", "n", "bands")).alias("c"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.select("digest", "copies", "c.*"))
     keys = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = stored(keys.join(shared.select("bucket", "first"), "bucket").distinct())
-    star = members.where("id <> first").join(members.select(F.col("id").alias("first"), "bucket", F.col("n").alias("cn")), ["bucket", "first"])
-    pairs = star.where(f"100 * least(n, cn) >= {percent} * greatest(n, cn)").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    members = members.select("bucket", "id", "n", F.lit(percent).alias("limit"), (F.col("id") == F.col("first")).alias("done"))
-    ids = stored(members.select("id").distinct())
-    texts = named.join(small(ids, ids.count()), "id", "left_semi")
-    sets = stored(_sets(texts, width))
-    seen, links, parts = None, None, None
-    while True:
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        new = two.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
-        links = stored(new if links is None else links.unionByName(new))
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        parts = components(links)
-        placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs, members = _next_pairs(stored(placed), CENTRES)
-        members = stored(members)
-        pairs = stored(pairs)
-        if pairs.isEmpty() and not _open(members, parts):
-            break
+    shared = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "size"))
+    members = stored(keys.join(small(shared, shared.count()), "bucket"))
+    ids = stored(members.groupBy("id").agg(F.sum("size").alias("near")))
+    few = small(ids, ids.count())
+    pivots = members.join(few, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("near")).alias("x"), "id")).alias("p")).select("bucket", F.col("p.id").alias("pivot"))
+    pairs = stored(members.join(pivots, "bucket").where("id <> pivot").select("pivot", "id").distinct())
+    sets = stored(_sets(named.join(few.select("id"), "id", "left_semi"), width).dropDuplicates(["id"]))
+    both = pairs.join(sets.select("id", F.col("shingles").alias("s")), "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("p")), "pivot")
+    verified = stored(both.select("pivot", "id", F.size("s").alias("n"), F.size("p").alias("np"), F.size(F.array_intersect("s", "p")).alias("common")))
+    links = verified.where(_linked(F.col("common"), F.col("n"), F.col("np"), percent)).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    parts = components(links)
+    rest = stored(_rest(verified, sets, parts, percent))
+    if not rest.isEmpty():
+        parts = components(links.unionByName(rest))
     top = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
     out = sketched.join(top, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _open(members: DataFrame, parts: DataFrame) -> bool:
-    """Whether a bucket still has open members of more than one component."""
-    placed = members.where("not done").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return not placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").isEmpty()
-
-
 def keep(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the columns of docs, nothing else."""
     found = near_duplicates(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
