@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuegrid.plans import timeline
+from cuegrid.plans import texts, timeline
 
-_MODULES = (timeline,)
+_MODULES = (timeline, texts)
 
 
 def queries() -> dict:
