@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid.functions.numbers import bounded_target_chars, length_ratio, miss_by, places, shorten_target_chars, speech_seconds, target_chars, usable_rate, whole, within_length
+from cuegrid.functions.numbers import bounded_target_chars, length_ratio, miss_by, places, shorten_target_chars, speech_seconds, target_chars, usable_rate, within_length
 
 
 def length_stats(df: DataFrame, *, rate: float, tolerance: float, floor: float = 0.0, overhead: float = 0.0, room: str = "slot") -> DataFrame:
@@ -111,4 +111,10 @@ def whole_cost(chars: Column, prompt_per_char: Column, completion_per_char: Colu
     return F.when(chars > 0, chars * (prompt_per_char * prompt_price + completion_per_char * completion_price))
 
 
-__all__ = ["budgets", "chars_outside", "gender_of", "length_stats", "misfits", "profiles", "reference_candidates", "review", "speech_rate", "whole", "whole_cost"]
+def effective_gender(pitch: Column, told: Column) -> Column:
+    """What the pitch says, else what the words say."""
+    return F.coalesce(F.nullif(pitch, F.lit("unknown")), F.nullif(told, F.lit("unknown")), F.lit("unknown"))
+
+
+def disputed(pitch: Column, told: Column) -> Column:
+    return (pitch != "unknown") & (told != "unknown") & (pitch != told)

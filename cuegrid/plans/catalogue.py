@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuegrid.plans import texts, timeline
+from cuegrid.plans import speech, texts, timeline
 
-_MODULES = (timeline, texts)
+_MODULES = (timeline, texts, speech)
 
 
 def queries() -> dict:
