@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuegrid.plans import speech, texts, timeline
+from cuegrid.plans import records, speech, texts, timeline
 
-_MODULES = (timeline, texts, speech)
+_MODULES = (timeline, texts, speech, records)
 
 
 def queries() -> dict:
