@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuegrid.plans import records, speech, texts, timeline
+from cuegrid.plans import records, speech, texts, timeline, voices
 
-_MODULES = (timeline, texts, speech, records)
+_MODULES = (timeline, texts, speech, records, voices)
 
 
 def queries() -> dict:
