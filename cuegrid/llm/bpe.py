@@ -26,7 +26,7 @@ END = "</w>"
 #: The first code point of the letters that stand for a word's last byte.
 _LAST = 0x4000
 #: Words, runs of words and pairs of tokens that one Python worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Fixed values of the vocabulary: how it splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")

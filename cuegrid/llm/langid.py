@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ FIT_TEXTS, FIT_WORDS = 400, 96
 LEXICON_COUNT = 3
 #: Words of a chain; a longer text is cut into chains, which bounds the memory of the forward-backward pass.
 CHAIN = 256
+#: Chains side by side and bytes of texts at once, which bound a worker's memory.
+SIDE, TEXT_BYTES = 512, 1 << 20
 UNDETERMINED = "und"
 
 
@@ -126,8 +129,8 @@ def word_marginals(words: Words, model: Model) -> np.ndarray:
     scores = word_scores(words, model)
     out = np.zeros_like(scores)
     starts, lengths = _chains(words.first)
-    for i in range(0, len(starts), 2048):
-        s, n = starts[i : i + 2048], lengths[i : i + 2048]
+    for i in range(0, len(starts), SIDE):
+        s, n = starts[i : i + SIDE], lengths[i : i + SIDE]
         at = s[None, :] + np.minimum(np.arange(n[0])[:, None], n[None, :] - 1)
         marginal, _, _ = forward_backward(scores[at], n, model.moves)
         inside = np.arange(n[0])[:, None] < n[None, :]
@@ -204,8 +207,12 @@ def labelled(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     a text count; chains are at most 256 words, so memory follows the longest text. Repeated rows and clashing columns
     do no harm: each row is read by itself and only two columns are read.
     """
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of slots
+    return _mapped(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), model, None, per_word)
+
+
+def _mapped(named: DataFrame, model: Model, field: str | None, per_word: bool = False) -> DataFrame:
+    """labelled() of (id, text), or of (id) where id is a struct that holds the text in a field, so that it travels once."""
+    shipped = named.sparkSession.sparkContext.broadcast(model)  # fixed number of slots
     kind = named.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +222,9 @@ def labelled(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         letter = np.zeros(256, bool)
         letter[97:123], letter[128:] = True, True
         for batch in batches:
-            for piece in pieces(batch):
+            if field is not None:
+                batch = pa.RecordBatch.from_arrays([batch.column("id"), pc.struct_field(batch.column("id"), field)], ["id", "text"])
+            for piece in pieces(batch, limit=TEXT_BYTES):
                 words = Words(piece.column("text"))
                 rows = piece.num_rows
                 marginal = word_marginals(words, own) if k and len(words) else np.zeros((len(words), max(k, 1)), np.float32)
@@ -252,8 +261,7 @@ def keep(docs: DataFrame, *, least: float = 0.3, id_col: str = "doc_id", text_co
     """
     train_on = docs.where(crc_mod(F.col(f"`{id_col}`"), 4) != 2)
     model = train(train_on, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = labelled(whole, model, id_col="id")
+    found = _mapped(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id")), model, text_col)
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("id.*")
 
 
