@@ -216,3 +216,30 @@ def cost_text(usd: Column) -> Column:
 def clip_key(voice: Column, text: Column, engine: Column) -> Column:
     """16 hex digits that name a clip by engine, voice and text."""
     return F.substring(F.sha2(F.concat(engine, F.lit("\x00"), voice, F.lit("\x00"), F.trim(text)), 256), 1, 16)
+
+
+def is_output_name(name: Column, suffix: str = "_out") -> Column:
+    """Whether a file's name carries the suffix of what the engine writes."""
+    return name.rlike(f"{suffix}(\\.[a-z0-9]+)?$")
+
+
+def fallback_text(text: Column) -> Column:
+    """A source text that may stand in for a translation: Latin and Cyrillic letters only, else null."""
+    return F.when(~F.regexp_replace(text, "[\\p{IsLatin}\\p{IsCyrillic}]", "").rlike("\\p{L}"), text)
+
+
+def own_or_default(value: Column, standard: int, of_language: Column) -> Column:
+    """A setting that a language may change only where it is still the standard one."""
+    return F.when(value == standard, of_language).otherwise(value)
+
+
+def bullets(names: Column, texts: Column) -> Column:
+    """Lines of the texts of those names that are on (a map of names to booleans)."""
+    on = F.map_keys(F.map_filter(names, lambda _, v: v))
+    return F.array_join(F.transform(F.array_sort(on), lambda k: F.concat(F.lit("- "), F.try_element_at(texts, k))), "\n")
+
+
+def accepted_parts(text: Column, parts: Column, phrases: Column) -> Column:
+    """Whether parts of a text may be spoken apart: no more than phrases, all speakable, and together the text but for case and blanks."""
+    joined = lambda c: F.lower(F.regexp_replace(c, BLANK, ""))
+    return (F.size(parts) <= phrases) & F.forall(parts, speakable) & (joined(F.array_join(parts, "")) == joined(text))

@@ -228,3 +228,57 @@ def finished_stages(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     opened = a.table(spark, d, "events").withColumn("last", F.lag("event_type").over(w)).where(~F.col("last").eqNullSafe(F.col("event_type")))
     return opened.select("user_id", "event_id", F.when(F.lead("event_id").over(w).isNull(), "open").otherwise("done").alias("state"))
+
+
+@register("flt16_output_names", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+def output_names(spark, d):
+    name = F.concat(F.lit("show"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "_out.mp4").otherwise(".mp4"))
+    return a.table(spark, d, "documents").where(tx.is_output_name(name)).select("doc_id")
+
+
+@register("str37_fallback_texts", f"WITH {SAID_SQL} SELECT recording_id, id, CASE WHEN NOT regexp_matches(regexp_replace(text, '[\\p{{Latin}}\\p{{Cyrillic}}]', '', 'g'), '\\p{{L}}') THEN text END AS text FROM said")
+def fallback_texts(spark, d):
+    return said(spark, d).select("recording_id", "id", tx.fallback_text(F.col("text")).alias("text"))
+
+
+@register("str36_language_options", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 50 WHEN doc_id % 2 = 0 THEN 18 ELSE 42 END AS width FROM documents")
+def language_options(spark, d):
+    width = F.when(F.col("doc_id") % 5 == 0, 50).otherwise(42)
+    code = F.when(F.col("doc_id") % 2 == 0, "zh").otherwise("en")
+    return a.table(spark, d, "documents").select("doc_id", tx.own_or_default(width, 42, replies.language_column(code, 2)).alias("width"))
+
+
+@register("str41_enabled_checks", "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN '- one' || chr(10) || '- two' ELSE '- two' END AS checks FROM region")
+def enabled_checks(spark, d):
+    names = F.create_map(F.lit("b"), F.lit(True), F.lit("a"), F.col("r_regionkey") % 2 == 0)
+    return a.table(spark, d, "region").select("r_regionkey", tx.bullets(names, F.create_map(F.lit("a"), F.lit("one"), F.lit("b"), F.lit("two"))).alias("checks"))
+
+
+@register("str26_accepted_parts", f"WITH {SAID_SQL} SELECT recording_id, id, regexp_matches(text, '[а-яё]') AND id % 3 <> 1 AS accepted FROM said WHERE length(text) > 8 AND regexp_matches(substr(text, 1, 4), '[а-яёА-ЯЁ]') = regexp_matches(text, '[а-яё]') AND regexp_matches(substr(text, 5), '[а-яё]') = regexp_matches(text, '[а-яё]')")
+def accepted_parts(spark, d):
+    rows = said(spark, d).where("length(text) > 8")
+    cyrillic = lambda c: tx.speakable(c)
+    same = (cyrillic(F.substring("text", 1, 4)) == cyrillic(F.col("text"))) & (F.expr("substring(text, 5)").rlike("[а-яё]") == F.col("text").rlike("[а-яё]"))
+    parts = F.array(F.substring("text", 1, 4), F.expr("substring(text, 5)"))
+    return rows.where(same).select("recording_id", "id", tx.accepted_parts(F.col("text"), parts, F.when(F.col("id") % 3 == 1, 1).otherwise(2)).alias("accepted"))
+
+
+@register("agg14_marked_lines", f"WITH {a.DIALOGUE}, n AS (SELECT *, end_s - start_s + greatest(0, least(coalesce(lead(start_s) OVER (PARTITION BY recording_id ORDER BY start_s, id) - 0.05 - end_s, 1.2), 1.2)) AS room FROM dialogue) SELECT recording_id, id, abs(0.26::DOUBLE + length(text) / 15.0::DOUBLE - room) <= greatest(room * 0.15::DOUBLE, 0.25::DOUBLE) AS fits FROM n")
+def marked_lines(spark, d):
+    from cuegrid.functions import numbers as nb
+    from cuegrid.operators import sequence
+
+    rows = sequence.available_seconds(a.dialogue(spark, d))
+    return rows.select("recording_id", "id", nb.within_length(nb.speech_seconds(F.length("text"), 15.0, 0.26), F.col("available"), 0.15, 0.25).alias("fits"))
+
+
+@register("src15_listed_formats", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, 0) DESC, p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_partkey % 4 <> 0")
+def listed_formats(spark, d):
+    w = Window.partitionBy("p_brand").orderBy(F.desc(F.coalesce("p_size", F.lit(0))), F.desc("p_retailprice"), "p_partkey")
+    return a.table(spark, d, "part").where("p_partkey % 4 <> 0").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank"))
+
+
+@register("src14_playlists", "SELECT o_custkey, CASE WHEN sum(o_totalprice) > 0 THEN floor(sum(o_totalprice) * 100 + 0.5) / 100 END AS seconds, count(*) AS entries FROM orders GROUP BY 1")
+def playlists(spark, d):
+    total = F.sum(F.coalesce("o_totalprice", F.lit(0.0)))
+    return a.table(spark, d, "orders").groupBy("o_custkey").agg(F.when(total > 0, places(total, 2)).alias("seconds"), F.count(F.lit(1)).alias("entries"))
