@@ -125,10 +125,10 @@ def plan_cues(spark, d):
 
 
 @register("win16_cue_problems", f"""WITH {a.LINES}, c AS (SELECT recording_id, id, start_s, end_s, text, length(text) AS chars, lead(start_s) OVER (PARTITION BY recording_id ORDER BY start_s, id) AS next_s FROM lines)
-SELECT recording_id, id, list_filter([CASE WHEN end_s - start_s <= 0 OR end_s - start_s + 0.001 < 1 THEN 'too_short' END, CASE WHEN end_s - start_s > 7.001 THEN 'too_long' END,
-  CASE WHEN end_s > start_s AND length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) / (end_s - start_s) > 17.5 THEN 'too_fast' END, CASE WHEN chars > 42 THEN 'line_overflow' END, CASE WHEN end_s > next_s THEN 'overlap' END], lambda x: x IS NOT NULL) AS problems FROM c""")
+SELECT recording_id, id, array_to_string(list_filter([CASE WHEN end_s - start_s <= 0 OR end_s - start_s + 0.001 < 1 THEN 'too_short' END, CASE WHEN end_s - start_s > 7.001 THEN 'too_long' END,
+  CASE WHEN end_s > start_s AND length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) / (end_s - start_s) > 17.5 THEN 'too_fast' END, CASE WHEN chars > 42 THEN 'line_overflow' END, CASE WHEN end_s > next_s THEN 'overlap' END], lambda x: x IS NOT NULL), ',') AS problems FROM c""")
 def cue_problems(spark, d):
-    return cues.problems(a.lines(spark, d).withColumn("lines", F.array("text"))).select("recording_id", "id", "problems")
+    return cues.problems(a.lines(spark, d).withColumn("lines", F.array("text"))).select("recording_id", "id", F.array_join("problems", ",").alias("problems"))
 
 
 @register("snk03_cue_srt")

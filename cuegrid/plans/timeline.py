@@ -23,11 +23,11 @@ def slot(spark, d):
 
 
 @register("agg01_segments_summary", f"""WITH {a.SPANS}, n AS (SELECT *, lag(end_s) OVER w AS p, lead(start_s) OVER w AS q FROM spans WINDOW w AS (PARTITION BY recording_id ORDER BY start_s, id))
-SELECT recording_id, count(*) AS n, floor(sum(floor((end_s - start_s) * 1000 + 0.5)) / 10 + 0.5) / 100 AS seconds, list_sort(list(DISTINCT speaker)) AS speakers,
+SELECT recording_id, count(*) AS n, floor(sum(floor((end_s - start_s) * 1000 + 0.5)) / 10 + 0.5) / 100 AS seconds, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS speakers,
   count(*) FILTER (coalesce(start_s < p - 1e-6, false) OR coalesce(q < end_s - 1e-6, false)) AS overlaps FROM n GROUP BY 1""")
 def segments_summary(spark, d):
     ms = whole((F.col("end_s") - F.col("start_s")) * 1000)
-    return sequence.overlap_flags(a.spans(spark, d)).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), (F.floor(F.sum(ms) / 10 + 0.5) / 100).alias("seconds"), F.array_sort(F.collect_set("speaker")).alias("speakers"), F.count_if("overlap").alias("overlaps"))
+    return sequence.overlap_flags(a.spans(spark, d)).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), (F.floor(F.sum(ms) / 10 + 0.5) / 100).alias("seconds"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"), F.count_if("overlap").alias("overlaps"))
 
 
 @register("win01_available_seconds", f"""WITH {a.SPANS}, n AS (SELECT *, lead(start_s) OVER (PARTITION BY recording_id ORDER BY start_s, id) AS q FROM spans)
@@ -203,10 +203,10 @@ def review_chunks(spark, d):
     return sequence.review_chunks(a.spans(spark, d), size=12, overlap=3).select("recording_id", "chunk", "id")
 
 
-@register("win20_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(list(substr(text, 1, 20)) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS context FROM dialogue""")
+@register("win20_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(substr(text, 1, 20)) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
 def context(spark, d):
     rows = a.dialogue(spark, d).withColumn("text", F.substring("text", 1, 20))
-    return sequence.context_before(rows, rows=3).select("recording_id", "id", "context")
+    return sequence.context_before(rows, rows=3).select("recording_id", "id", F.array_join("context", " | ").alias("context"))
 
 
 @register("win22_passthrough_plan", f"WITH {a.DIALOGUE} SELECT recording_id, id, floor(start_s * 1000 + 0.5) / 1000 AS aligned_start, 0 AS shift_ms, floor(tts_duration * 1000 + 0.5) / 1000 AS effective, tts_duration > end_s - start_s AS needs_shorten FROM dialogue")

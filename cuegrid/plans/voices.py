@@ -74,10 +74,11 @@ def usable_token_rates(spark, d):
     return a.table(spark, d, "lineitem").where(voices.usable_token_rate(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") * 20)).select("l_orderkey", "l_linenumber")
 
 
-@register("jon21_side_by_side", "SELECT turn AS pos, list({'model': 'm' || (conv_id % 3), 'text': left(text, 9)} ORDER BY conv_id % 3) AS texts FROM conversations WHERE conv_id < 3 AND turn IN (SELECT turn FROM conversations WHERE conv_id = 0) GROUP BY 1")
+@register("jon21_side_by_side", "SELECT turn AS pos, string_agg('m' || (conv_id % 3) || ': ' || left(text, 9), ' | ' ORDER BY conv_id % 3) AS texts FROM conversations WHERE conv_id < 3 AND turn IN (SELECT turn FROM conversations WHERE conv_id = 0) GROUP BY 1")
 def side_by_side(spark, d):
     out = a.table(spark, d, "conversations").where("conv_id < 3").select(F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"), F.col("turn").alias("pos"), F.left("text", F.lit(9)).alias("text"))
-    return voices.side_by_side(out)
+    both = voices.side_by_side(out)
+    return both.select("pos", F.array_join(F.transform("texts", lambda x: F.concat(x["model"], F.lit(": "), x["text"])), " | ").alias("texts"))
 
 
 @register("jon13_library_listing", "SELECT c_custkey, o.id AS project, coalesce(o.stages, 0) AS stages FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS id, arg_min(o_orderkey % 8, o_orderkey) AS stages FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
