@@ -119,3 +119,15 @@ def octaves_folded(samples: DataFrame) -> DataFrame:
     turns = F.floor(away + F.lit(0.5))
     moved = F.when((turns != 0) & (F.abs(away - turns) <= 2 / 12), F.col("hz") / F.pow(F.lit(2.0), turns)).otherwise(F.col("hz"))
     return samples.join(mode, ["recording_id", "speaker"]).select("recording_id", "speaker", moved.alias("hz"))
+
+
+def profile_speech(clips: DataFrame, *, frame: int = 1024, hop: int = 320) -> DataFrame:
+    """Profiles of speakers from clips (recording_id, speaker, id, samples, rate): pitch frames, steady runs of each clip, octaves folded, quantiles."""
+    from cuegrid.operators.sequence import pitch_runs
+    from cuegrid.operators.speech import profiles
+
+    frames = clips.select("recording_id", "speaker", F.col("id").alias("clip"), "rate", F.posexplode(pitches(F.col("samples"), F.col("rate"), frame, hop)).alias("pos", "pitch"))
+    # One clip's frames are one sequence, so its number goes in the place of the recording.
+    sequence = frames.select(F.struct("recording_id", "speaker", "clip").alias("recording_id"), F.col("pos").alias("id"), "pitch")
+    steady = pitch_runs(sequence).select("recording_id.recording_id", "recording_id.speaker", F.col("pitch").alias("hz"))
+    return profiles(octaves_folded(steady), frame=hop / 16_000)

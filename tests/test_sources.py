@@ -101,3 +101,11 @@ def test_sessions_and_latest_state(spark, tmp_path):
     assert spark.table("latest").count() == events.select("user_id").distinct().count()
     assert spark.table("firsts").count() == events.count()
     assert spark.table("sessions").count() > 0
+
+
+def test_profiles_of_tones(spark):
+    rows = [(1, "a", 1, [float(v) for v in tone(120, 2.0)], RATE), (1, "b", 2, [float(v) for v in tone(240, 2.0)], RATE), (1, "c", 3, [0.0] * RATE, RATE)]
+    got = {r.speaker: r for r in signal.profile_speech(spark.createDataFrame(rows, "recording_id long, speaker string, id long, samples array<float>, rate int")).collect()}
+    assert got["a"].gender == "m" and abs(got["a"].f0 - 120) < 3
+    assert got["b"].gender == "f" and abs(got["b"].f0 - 240) < 5
+    assert "c" not in got
