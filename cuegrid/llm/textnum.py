@@ -27,13 +27,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``limit`` bytes of text each, so that memory follows the longest text and not the batch."""
+def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``limit`` bytes of text and at most ``rows`` rows each, so that memory follows the longest text and not the batch."""
     size = np.cumsum(_lengths(batch.column(batch.schema.get_field_index(text))))
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
+        end = min(start + rows, batch.num_rows, max(start + 1, int(np.searchsorted(size, base + limit, "right"))))
         yield batch.slice(start, end - start)
         start = end
 

@@ -230,3 +230,20 @@ def test_trees_follow_their_labels(spark):
     out = {r.id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert all(out[i].verdict == ("block" if i % 2 else "allow") and out[i].rule for i in range(200))
     assert all(out[1000 + i].rule is None and out[1000 + i].verdict in ("allow", "block") and 0 <= out[1000 + i].score <= 1 for i in range(40))
+
+
+def test_text_score_equals_a_loop():
+    import numpy as np
+
+    rng = random.Random(2)
+    index = [rng.randrange(5) for _ in range(60)]
+    p = {i: rng.uniform(0.01, 0.3) for i in range(5)}
+    want, seen = 0.0, defaultdict(int)
+    for k, i in enumerate(index):
+        share = mixlm.own_share(k)
+        want += math.log10((1 - share) * p[i] + (share * seen[i] / k if k else 0))
+        seen[i] += 1
+    got = mixlm.text_score(np.array(index), np.arange(60), np.array([p[i] for i in index]))
+    assert abs(got - want) < 1e-9
+    parts = [mixlm.text_score(np.array([x for x in index if (x < 2) == low]), np.array([k for k, x in enumerate(index) if (x < 2) == low]), np.array([p[x] for x in index if (x < 2) == low])) for low in (True, False)]
+    assert abs(sum(parts) - want) < 1e-9
