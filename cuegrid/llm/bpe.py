@@ -26,7 +26,7 @@ END = "</w>"
 #: The first code point of the letters that stand for a word's last byte.
 _LAST = 0x4000
 #: Words, runs of words and pairs of tokens that one Python worker remembers at most.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 #: Fixed values of the vocabulary: how it splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -211,7 +211,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, path: str | None, diges
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shipped.value)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=1 << 20):
                 ids = [own.encode(t) if t else b"" for t in piece.column("text").to_pylist()]
                 if digest:
                     columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string())]
