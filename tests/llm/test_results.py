@@ -247,3 +247,11 @@ def test_text_score_equals_a_loop():
     assert abs(got - want) < 1e-9
     parts = [mixlm.text_score(np.array([x for x in index if (x < 2) == low]), np.array([k for k, x in enumerate(index) if (x < 2) == low]), np.array([p[x] for x in index if (x < 2) == low])) for low in (True, False)]
     assert abs(sum(parts) - want) < 1e-9
+
+
+def test_known_words_are_scored_in_their_context(spark):
+    """Words that the corpus holds, in the order that it holds and in another: no word stands twice in a text."""
+    rows = [(i, "the quick brown fox jumps over a lazy dog", True) for i in range(30)] + [(100, "the quick brown fox jumps over a lazy dog", False), (101, "dog lazy a over jumps fox brown quick the", False)]
+    out = {r.id: r for r in mixlm.scored(spark.createDataFrame(rows, "doc_id long, text string, learn boolean")).collect()}
+    assert out[100].n_known == out[101].n_known == 10 and abs(out[100].base_score - out[101].base_score) < 1e-9
+    assert out[100].bits_per_byte < 0.5 * out[101].bits_per_byte
