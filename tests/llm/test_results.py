@@ -255,3 +255,27 @@ def test_known_words_are_scored_in_their_context(spark):
     out = {r.id: r for r in mixlm.scored(spark.createDataFrame(rows, "doc_id long, text string, learn boolean")).collect()}
     assert out[100].n_known == out[101].n_known == 10 and abs(out[100].base_score - out[101].base_score) < 1e-9
     assert out[100].bits_per_byte < 0.5 * out[101].bits_per_byte
+
+
+def test_tables_grow_and_counts_are_whole(spark, monkeypatch):
+    """Tables double with the words, counts beyond 2 ** 24 differ, and tables counted in groups equal those counted at once."""
+    import numpy as np
+
+    assert mixlm.table_bits(1 << 24)[2:] == [b + 1 for b in mixlm.table_bits(1 << 23)[2:]]
+    assert len({*mixlm.coded(np.array([1 << 24, 1 << 26, 1 << 30, 1 << 37])).tolist()}) == 4
+    rows = spark.createDataFrame([(w,) for w in ("one two three", "two three four", "five " * 40)], "text string")
+    bits = mixlm.table_bits(5)
+    whole = mixlm.bit_counts(rows, 2, bits)
+    monkeypatch.setattr(mixlm, "TASK_SLOTS", 1)
+    assert np.array_equal(whole, mixlm.bit_counts(rows, 2, bits)) and whole.any()
+
+
+def test_weights_follow_all_texts(spark):
+    """The uses that tasks add up are those of every bit to learn from."""
+    rows = spark.createDataFrame([(f"w{i} x{i % 7}",) for i in range(3000)], "text string")
+    bits = mixlm.table_bits(3007)
+    pairs = mixlm.bit_counts(rows, 2, bits)
+    one = mixlm.Learner(bits, pairs)
+    one.learn([r.text.encode().split() for r in rows.collect()])
+    several = mixlm.fitted(rows, 4, bits, pairs)
+    assert one.mass.sum() > 8 * 3000 * 5 and abs(several.weights - one.model.weights).mean() < 0.1
