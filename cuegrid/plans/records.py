@@ -72,24 +72,61 @@ def spread_plan(spark, d):
 
 
 def _items(spark, d, body) -> DataFrame:
-    """One JSON text for each recording."""
+    """One JSON text for each recording, of its first 400 words only, as the SQL of these queries has it; _blocks has all."""
     rows = spoken(spark, d).where("id <= 400")
     return rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("id", body.alias("x")))).alias("xs")).withColumn("xs", F.transform("xs", lambda x: x["x"]))
 
 
+#: Words of one JSON text.
+BLOCK_WORDS = 400
+
+
+def _blocks(spark, d, body) -> DataFrame:
+    """One JSON text for each block of a recording's words, with the place of its first word."""
+    first = F.floor((F.col("id") - 1) / BLOCK_WORDS) * BLOCK_WORDS
+    rows = spoken(spark, d).groupBy("recording_id", first.alias("first")).agg(F.array_sort(F.collect_list(F.struct("id", body.alias("x")))).alias("xs"))
+    return rows.withColumn("xs", F.transform("xs", lambda x: x["x"]))
+
+
+def _plain_item():
+    return F.struct("word", F.col("start_s").alias("start"), (F.col("end_s") + F.col("id") % 4).alias("end"))
+
+
+def _plain(items: DataFrame) -> DataFrame:
+    return items.withColumn("json", F.to_json(F.struct(F.col("xs").alias("words")))).drop("xs")
+
+
 @register("src05_plain_words", f"WITH {WORDS} SELECT recording_id, id - 1 AS pos, word, start_s, least(end_s + (id % 4), start_s + 2.5) AS end_s FROM words WHERE id <= 400 AND regexp_matches(word, '[\\p{{L}}\\p{{N}}]')")
 def plain_words(spark, d):
-    files = _items(spark, d, F.struct("word", F.col("start_s").alias("start"), (F.col("end_s") + F.col("id") % 4).alias("end"))).select("recording_id", F.to_json(F.struct(F.col("xs").alias("words"))).alias("json"))
-    return readers.plain_words(files)
+    return readers.plain_words(_plain(_items(spark, d, _plain_item())))
+
+
+@register("src05_all_plain_words", f"WITH {WORDS} SELECT recording_id, id - 1 AS pos, word, start_s, least(end_s + (id % 4), start_s + 2.5) AS end_s FROM words WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]')")
+def all_plain_words(spark, d):
+    return readers.plain_words(_plain(_blocks(spark, d, _plain_item())))
 
 
 @register("src04_stamped_words", f"""WITH {WORDS}, t AS (SELECT *, CASE WHEN id % 3 <> 0 THEN floor(start_s * 100) / 100 + 0.05::DOUBLE END AS stamp FROM words WHERE id <= 400), n AS (SELECT *, lead(stamp) OVER (PARTITION BY recording_id ORDER BY id) AS later FROM t WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]'))
 SELECT recording_id, id - 1 AS pos, word, floor(coalesce(stamp, start_s) * 1000 + 0.5) / 1000 AS start_s, floor(CASE WHEN stamp IS NULL THEN least(end_s, start_s + 2.5) ELSE
   least(coalesce(least(CASE WHEN end_s > stamp THEN end_s END, CASE WHEN later > stamp THEN later END), stamp + 0.3), stamp + 2.5) END * 1000 + 0.5) / 1000 AS end_s FROM n""")
 def stamped_words(spark, d):
+    return _stamped(_items(spark, d, _stamped_item()))
+
+
+@register("src04_all_stamped_words", f"""WITH {WORDS}, t AS (SELECT *, CASE WHEN id % 3 <> 0 THEN floor(start_s * 100) / 100 + 0.05::DOUBLE END AS stamp FROM words), n AS (SELECT *, lead(stamp) OVER (PARTITION BY recording_id ORDER BY id) AS later FROM t WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]'))
+SELECT recording_id, id - 1 AS pos, word, floor(coalesce(stamp, start_s) * 1000 + 0.5) / 1000 AS start_s, floor(CASE WHEN stamp IS NULL THEN least(end_s, start_s + 2.5) ELSE
+  least(coalesce(least(CASE WHEN end_s > stamp THEN end_s END, CASE WHEN later > stamp THEN later END), stamp + 0.3), stamp + 2.5) END * 1000 + 0.5) / 1000 AS end_s FROM n""")
+def all_stamped_words(spark, d):
+    return _stamped(_blocks(spark, d, _stamped_item()))
+
+
+def _stamped_item():
     stamp = F.when(F.col("id") % 3 != 0, F.array(F.struct((F.floor(F.col("start_s") * 100) + 5).cast("double").alias("t_dtw")), F.struct(F.lit(-1.0).alias("t_dtw"))))
-    item = F.struct(F.col("word").alias("text"), F.struct((F.col("start_s") * 1000).alias("from"), (F.col("end_s") * 1000).alias("to")).alias("offsets"), stamp.alias("tokens"))
-    files = _items(spark, d, item).select("recording_id", F.to_json(F.struct(F.col("xs").alias("transcription"))).alias("json"))
+    return F.struct(F.col("word").alias("text"), F.struct((F.col("start_s") * 1000).alias("from"), (F.col("end_s") * 1000).alias("to")).alias("offsets"), stamp.alias("tokens"))
+
+
+def _stamped(items: DataFrame) -> DataFrame:
+    files = items.withColumn("json", F.to_json(F.struct(F.col("xs").alias("transcription")))).drop("xs")
     return readers.stamped_words(files).select("recording_id", "pos", "word", places(F.col("start_s"), 3).alias("start_s"), places(F.col("end_s"), 3).alias("end_s"))
 
 

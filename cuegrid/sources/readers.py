@@ -23,7 +23,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(files: DataFrame, items: Column) -> DataFrame:
-    return files.select("recording_id", F.posexplode(items).alias("pos", "x"))
+    """Items with their places; where a recording is in several files, ``first`` is the place of a file's first item."""
+    rows = files.select("recording_id", *(["first"] if "first" in files.columns else []), F.posexplode(items).alias("pos", "x"))
+    return rows.withColumn("pos", F.col("first") + F.col("pos")).drop("first") if "first" in files.columns else rows
 
 
 def _spoken(words: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def _spoken(words: DataFrame) -> DataFrame:
 
 
 def stamped_words(files: DataFrame) -> DataFrame:
-    """(recording_id, pos, word, start_s, end_s) of files (recording_id, json) with one word an item, offsets in ms and token stamps in hundredths.
+    """(recording_id, pos, word, start_s, end_s) of files (recording_id, json, and first if a recording is in several) with one word an item, offsets in ms and token stamps in hundredths.
 
     A word starts at its least stamp if it has any; it ends at its own end or the next word's stamp, whichever is first after its start.
     """
@@ -50,7 +52,7 @@ def stamped_words(files: DataFrame) -> DataFrame:
 
 
 def plain_words(files: DataFrame) -> DataFrame:
-    """(recording_id, pos, word, start_s, end_s) of files (recording_id, json) with words of start and end in seconds."""
+    """(recording_id, pos, word, start_s, end_s) of files (recording_id, json, and first if a recording is in several) with words of start and end in seconds."""
     rows = _numbered(files, F.from_json("json", "struct<words:array<struct<word:string,start:double,end:double>>>")["words"])
     words = _spoken(rows.select("recording_id", "pos", F.trim("x.word").alias("word"), F.col("x.start").alias("start_s"), F.col("x.end").alias("end_s")).where("NOT isnan(start_s) AND NOT isnan(end_s)"))
     return words.withColumn("end_s", F.least("end_s", F.col("start_s") + MOST_WORD))
