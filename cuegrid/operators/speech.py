@@ -106,6 +106,15 @@ def reference_candidates(df: DataFrame, turns: DataFrame, *, low: float, high: f
     return rows.withColumn("rank", F.row_number().over(best)).drop("start_s")
 
 
+def picked_references(candidates: DataFrame, segments: DataFrame, choices: DataFrame) -> DataFrame:
+    """(recording_id, speaker, id): of each speaker with candidates or a choice that can be met, the segment chosen if it is the speaker's own, else the best candidate; null if choices (recording_id, speaker, chosen) say ``off``."""
+    key = ["recording_id", "speaker"]
+    best = candidates.where("rank = 1").select(*key, F.col("id").alias("best"))
+    own = choices.join(segments.select(*key, F.col("id").alias("own")), key).where(F.col("chosen") == F.col("own").cast("string")).select(*key, "own").distinct()
+    rows = best.join(own, key, "full").join(choices, key, "left")
+    return rows.select(*key, F.when(F.coalesce(F.col("chosen") != "off", F.lit(True)), F.coalesce("own", "best")).alias("id"))
+
+
 def whole_cost(chars: Column, prompt_per_char: Column, completion_per_char: Column, prompt_price: Column, completion_price: Column) -> Column:
     """Cost of so many characters; null without prices or characters."""
     return F.when(chars > 0, chars * (prompt_per_char * prompt_price + completion_per_char * completion_price))

@@ -269,6 +269,14 @@ def picked_references(spark, d):
     return _candidates(spark, d).where("rank = 1 AND recording_id % 5 <> 0").select("recording_id", "speaker", "id")
 
 
+@register("top02_all_picked_references", _CANDIDATES + "SELECT recording_id, speaker, CASE WHEN recording_id % 5 <> 0 THEN id END AS id FROM rk WHERE rank = 1")
+def all_picked_references(spark, d):
+    """Every recording; those divisible by 5 have a choice of off, which gives a row without a segment."""
+    said = a.dialogue(spark, d)
+    choices = said.where("recording_id % 5 = 0").select("recording_id", "speaker", F.lit("off").alias("chosen")).distinct()
+    return speech.picked_references(_candidates(spark, d), said, choices)
+
+
 @register("jon15_cost_estimate", f"SELECT l_orderkey, count(*) AS n, {r('sum(l_quantity * (0.25::DOUBLE * p_retailprice + 0.3::DOUBLE * p_retailprice * 2)) / 1000')} AS cost FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY 1")
 def cost_estimate(spark, d):
     rows = a.table(spark, d, "lineitem").join(a.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > 0")

@@ -15,6 +15,7 @@ from cuegrid.plans.registry import Registry
 from cuegrid.plans.speech import _GENDER, _PROFILE, _profiles
 from cuegrid.plans.texts import SAID_SQL, said
 from cuegrid.sources import adapters as a
+from cuegrid.sources import readers
 
 register = Registry()
 VOICES = (("v_low", "m", 95.0, False), ("v_mid", "m", 140.0, True), ("v_high", "f", 210.0, False), ("v_top", "f", 250.0, True), ("v_plain", "f", None, False))
@@ -279,6 +280,14 @@ def listed_formats(spark, d):
     return a.table(spark, d, "part").where("p_partkey % 4 <> 0").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank"))
 
 
+@register("src15_all_listed_formats", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, 0) DESC, p_retailprice DESC, p_partkey) AS rank FROM part")
+def all_listed_formats(spark, d):
+    """Every part; each has a codec of video or of sound, as those of jon22."""
+    k = F.col("p_partkey")
+    rows = a.table(spark, d, "part").select(F.col("p_brand").alias("item"), k.alias("id"), F.col("p_size").alias("height"), F.col("p_retailprice").alias("bytes"), F.when(k % 3 != 0, "avc").otherwise("none").alias("vcodec"), F.when(k % 3 != 1, "aac").alias("acodec"))
+    return readers.listed_formats(rows).select(F.col("item").alias("p_brand"), F.col("id").alias("p_partkey"), "rank")
+
+
 @register("src14_playlists", "SELECT o_custkey, CASE WHEN sum(o_totalprice) > 0 THEN floor(sum(o_totalprice) * 100 + 0.5) / 100 END AS seconds, count(*) AS entries FROM orders GROUP BY 1")
 def playlists(spark, d):
     total = F.sum(F.coalesce("o_totalprice", F.lit(0.0)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Chat(Protocol):
@@ -27,24 +28,37 @@ class Echo:
 REGISTRY: dict[str, Callable[[], Chat]] = {"echo": Echo}
 
 
+def factory(name: str) -> Callable[[], Chat]:
+    """What makes the client of a name, or of the part before a slash."""
+    return REGISTRY[name if name in REGISTRY else name.split("/")[0]]
+
+
 def chat(name: str) -> Chat:
-    """The client of a name, or of the part before a slash."""
-    return REGISTRY[name if name in REGISTRY else name.split("/")[0]]()
+    return factory(name)()
 
 
 def translated(rows: DataFrame, model: str = "echo", *, attempts: int = 3, context: int = 3) -> DataFrame:
-    """rows (recording_id, id, batch, text) with ``text_tgt``: batches of a recording in turn, each told the last translations of the one before. A row that gets no answer in so many attempts stays null."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        client, told = chat(model), ""
-        out = []
-        for row in group.sort_values(["batch", "id"]).itertuples():
-            answer = next((a for _ in range(attempts) if (a := client.complete(told, row.text))), None)
-            told = "\n".join([*told.split("\n"), answer or ""][-context:])
-            out.append((row.recording_id, row.id, row.batch, row.text, answer))
-        return pd.DataFrame(out, columns=["recording_id", "id", "batch", "text", "text_tgt"])
-
-    return rows.select("recording_id", "id", "batch", "text").groupBy("recording_id").applyInPandas(run, "recording_id long, id long, batch long, text string, text_tgt string")
+    """rows (recording_id, id, batch, text) with ``text_tgt``: batches of a recording in turn, each told the last translations of the one before. A row that gets no answer in so many attempts stays null, as one without text does.
+
+    Recordings stand sorted in their partitions and come in bounded Arrow batches; the last translations go on from one to the next.
+    """
+
+    made = factory(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, told, now = made(), "", object()
+        for batch in batches:
+            answers = []
+            for recording, text in zip(batch.column("recording_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if recording != now:
+                    told, now = "", recording
+                answer = None if text is None else next((a for _ in range(attempts) if (a := client.complete(told, text))), None)
+                told = "\n".join([*told.split("\n"), answer or ""][-context:])
+                answers.append(answer)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("recording_id", "id", "batch", "text")), pa.array(answers, pa.string())], ["recording_id", "id", "batch", "text", "text_tgt"])
+
+    kinds = rows.select(F.col("recording_id").cast("long"), F.col("id").cast("long"), F.col("batch").cast("long"), "text")
+    return kinds.repartition("recording_id").sortWithinPartitions("recording_id", "batch", "id").mapInArrow(run, "recording_id long, id long, batch long, text string, text_tgt string")
 
 
 def compared(rows: DataFrame, models: list[str]) -> Iterator[tuple[str, DataFrame]]:

@@ -76,6 +76,13 @@ def catalogue(files: DataFrame) -> DataFrame:
     return good.withColumn("free", (F.col("prompt_price") == 0) & (F.col("completion_price") == 0))
 
 
+def listed_formats(formats: DataFrame) -> DataFrame:
+    """(item, id, rank) of rows (item, id, height, bytes, vcodec, acodec) that have a codec of video or sound: the highest first, then the largest; null and ``none`` are no codec."""
+    has = lambda c: F.coalesce(F.col(c), F.lit("none")) != "none"
+    w = Window.partitionBy("item").orderBy(F.desc(F.coalesce("height", F.lit(0))), F.desc(F.coalesce("bytes", F.lit(0))), "id")
+    return formats.where(has("vcodec") | has("acodec")).select("item", "id", F.row_number().over(w).alias("rank"))
+
+
 def download_estimate(formats: DataFrame, limit: int | None) -> DataFrame:
     """(item, height, bytes) of rows (item, ord, height, bytes, has_video, has_audio): the highest video within the limit with the best audio, the last of equals; else the best with both."""
     rank = lambda c: F.max(F.when(c, F.struct(F.coalesce("height", F.lit(0)).alias("h"), "ord", "height", "bytes")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from cuegrid import plugins
+from cuegrid.operators import speech
 from cuegrid.plans import records
+from cuegrid.sources import readers
 
 
 def conversations(spark, tmp_path, rows) -> str:
@@ -19,3 +22,40 @@ def test_words_beyond_a_block(spark, tmp_path):
             got.setdefault(r.recording_id, []).append(r.word)
             assert r.pos == len(got[r.recording_id]) - 1
         assert got == want
+
+
+def test_translations_of_all_texts_carry_on(spark, tmp_path):
+    class Told:
+        """Answers with what it was told and the text, so that the carried state shows."""
+
+        def complete(self, system: str, user: str) -> str:
+            return f"{user}<{system.count(chr(10))}{system[-2:]}"
+
+    texts = [(c, t, "user", None if t == 7 else f"ж{c}.{t}") for c in (1, 2, 13) for t in range(50)]
+    d = conversations(spark, tmp_path, texts)
+    assert {(r.recording_id, r.id): r.text_tgt for r in records.all_translated(spark, d).collect()} == {(c, t): x and x.upper() for c, t, _, x in texts}
+    plugins.REGISTRY["told"] = Told
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.createDataFrame([(c, t, t // 4, x) for c, t, _, x in texts], "recording_id long, id long, batch long, text string")
+        got = {(r.recording_id, r.id): r.text_tgt for r in plugins.translated(rows, "told").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        del plugins.REGISTRY["told"]
+    told = {c: "" for c in (1, 2, 13)}
+    for c, t, _, x in texts:
+        want = x and Told().complete(told[c], x)
+        assert got[c, t] == want
+        told[c] = "\n".join([*told[c].split("\n"), want or ""][-3:])
+
+
+def test_picks_and_choices(spark):
+    said = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "a", 3), (5, "a", 4), (5, "b", 5)], "recording_id long, speaker string, id long")
+    best = spark.createDataFrame([(1, "a", 1, 1), (1, "a", 2, 2), (2, "a", 3, 1), (5, "a", 4, 1)], "recording_id long, speaker string, id long, rank int")
+    choices = spark.createDataFrame([(1, "a", "2"), (2, "a", "off"), (5, "a", "5"), (5, "b", "5")], "recording_id long, speaker string, chosen string")
+    assert {(r.recording_id, r.speaker, r.id) for r in speech.picked_references(best, said, choices).collect()} == {(1, "a", 2), (2, "a", None), (5, "a", 4), (5, "b", 5)}
+
+
+def test_formats_without_codec(spark):
+    rows = spark.createDataFrame([("x", 4, 720, 1.0, "avc", None), ("x", 8, None, 9.0, "none", "aac"), ("x", 5, 720, 2.0, "none", None), ("x", 12, 720, 3.0, "avc", "aac")], "item string, id long, height int, bytes double, vcodec string, acodec string")
+    assert {(r.id, r.rank) for r in readers.listed_formats(rows).collect()} == {(12, 1), (4, 2), (8, 3)}
