@@ -84,11 +84,15 @@ def usable_token_rate(prompt: Column, completion: Column, chars: Column, least:
     return F.coalesce(good(prompt) & good(completion) & (chars >= least), F.lit(False))
 
 
-def side_by_side(outputs: DataFrame) -> DataFrame:
-    """(pos, texts): outputs (model, pos, text) of all models beside those of the first, by place."""
-    first = outputs.agg(F.min("model").alias("m"))
-    base = outputs.join(F.broadcast(first), F.col("model") == F.col("m")).select("pos")
-    return base.join(outputs, "pos").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("model", "text"))).alias("texts"))
+def side_by_side(outputs: DataFrame, by: str | None = None) -> DataFrame:
+    """(pos, texts): outputs (model, pos, text) of all models beside those of the first, by place; with ``by`` a column of its own comparison, which comes first."""
+    if by is None:
+        first = outputs.agg(F.min("model").alias("m"))
+        base, key = outputs.join(F.broadcast(first), F.col("model") == F.col("m")).select("pos"), ["pos"]
+    else:
+        key = [by, "pos"]
+        base = outputs.join(outputs.groupBy(by).agg(F.min("model").alias("model")), [by, "model"]).select(*key)
+    return base.distinct().join(outputs, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("model", "text"))).alias("texts"))
 
 
 def listing(media: DataFrame, projects: DataFrame) -> DataFrame:

@@ -209,6 +209,12 @@ def context(spark, d):
     return sequence.context_before(rows, rows=3).select("recording_id", "id", F.array_join("context", " | ").alias("context"))
 
 
+@register("win20_whole_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(text) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
+def whole_context(spark, d):
+    """Whole texts of the rows before; the query above and its SQL cut them."""
+    return sequence.context_before(a.dialogue(spark, d), rows=3).select("recording_id", "id", F.array_join("context", " | ").alias("context"))
+
+
 @register("win22_passthrough_plan", f"WITH {a.DIALOGUE} SELECT recording_id, id, floor(start_s * 1000 + 0.5) / 1000 AS aligned_start, 0 AS shift_ms, floor(tts_duration * 1000 + 0.5) / 1000 AS effective, tts_duration > end_s - start_s AS needs_shorten FROM dialogue")
 def passthrough(spark, d):
     return a.dialogue(spark, d).select("recording_id", "id", places(F.col("start_s"), 3).alias("aligned_start"), F.lit(0).alias("shift_ms"), places(F.col("tts_duration"), 3).alias("effective"), (F.col("tts_duration") > F.col("end_s") - F.col("start_s")).alias("needs_shorten"))

@@ -82,6 +82,16 @@ def side_by_side(spark, d):
     return both.select("pos", F.array_join(F.transform("texts", lambda x: F.concat(x["model"], F.lit(": "), x["text"])), " | ").alias("texts"))
 
 
+@register("jon21_all_side_by_side", """WITH o AS (SELECT conv_id // 3 AS comparison, conv_id % 3 AS m, turn AS pos, text FROM conversations), f AS (SELECT DISTINCT comparison, pos FROM o WHERE m = (SELECT min(m) FROM o x WHERE x.comparison = o.comparison))
+SELECT comparison, pos, string_agg('m' || m || ': ' || text, ' | ' ORDER BY m, text) AS texts FROM f JOIN o USING (comparison, pos) GROUP BY 1, 2""")
+def all_side_by_side(spark, d):
+    """Whole texts of all conversations, each three of them as models of one comparison."""
+    k = F.col("conv_id")
+    out = a.table(spark, d, "conversations").select(F.floor(k / 3).alias("comparison"), F.concat(F.lit("m"), k % 3).alias("model"), F.col("turn").alias("pos"), "text")
+    both = voices.side_by_side(out, "comparison")
+    return both.select("comparison", "pos", F.array_join(F.transform("texts", lambda x: F.concat(x["model"], F.lit(": "), x["text"])), " | ").alias("texts"))
+
+
 @register("jon13_library_listing", "SELECT c_custkey, o.id AS project, coalesce(o.stages, 0) AS stages FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS id, arg_min(o_orderkey % 8, o_orderkey) AS stages FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
 def library_listing(spark, d):
     media = a.table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("path"))

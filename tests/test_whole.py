@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cuegrid import plugins
 from cuegrid.operators import speech
-from cuegrid.plans import records
+from cuegrid.plans import records, timeline, voices
 from cuegrid.sources import readers
 
 
@@ -59,3 +59,13 @@ def test_picks_and_choices(spark):
 def test_formats_without_codec(spark):
     rows = spark.createDataFrame([("x", 4, 720, 1.0, "avc", None), ("x", 8, None, 9.0, "none", "aac"), ("x", 5, 720, 2.0, "none", None), ("x", 12, 720, 3.0, "avc", "aac")], "item string, id long, height int, bytes double, vcodec string, acodec string")
     assert {(r.id, r.rank) for r in readers.listed_formats(rows).collect()} == {(12, 1), (4, 2), (8, 3)}
+
+
+def test_comparisons_and_contexts_hold_whole_texts(spark, tmp_path):
+    long = lambda c, t: f"text {c}.{t} " + "word " * 12 + "end"
+    d = conversations(spark, tmp_path, [(c, t, "user", long(c, t)) for c in (0, 1, 2, 9, 10, 11, 13) for t in range(6 if c % 3 else 4)])
+    got = {(r.comparison, r.pos): r.texts for r in voices.all_side_by_side(spark, d).collect()}
+    want = {(g, t): " | ".join(f"m{m}: {long(3 * g + m, t)}" for m in range(3)) for g in (0, 3) for t in range(4)}
+    assert got == want | {(4, t): f"m1: {long(13, t)}" for t in range(6)}
+    for r in timeline.whole_context(spark, d).collect():
+        assert r.context == " | ".join(long(r.recording_id, t) for t in range(max(0, r.id - 3), r.id))
