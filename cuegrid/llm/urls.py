@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import stored
+from cuegrid.llm.common import small, stored
 
 #: (verdict, host and path); a list in the plan, so of bounded length.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -59,11 +61,19 @@ def features(urls: DataFrame) -> DataFrame:
     )
 
 
+def _quotas(kinds: dict[str, int], most: int) -> dict[str, int]:
+    """How many of each verdict go into a sample of at most so many."""
+    least = {k: min(n, most // 10) for k, n in kinds.items()}
+    free, beyond = most - sum(least.values()), sum(kinds.values()) - sum(least.values())
+    return {k: least[k] + ((n - least[k]) if beyond <= free else (n - least[k]) * free // beyond) for k, n in kinds.items()}
+
+
 def judged(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", seed: int = 11) -> DataFrame:
     """(id, host, path, rule, verdict, score) of each row: the verdict of the longest fitting rule, else block if the trees give at least 0.5.
 
-    The URLs that rules fit are the labelled ones. Trees are fitted on a sample of at most FIT_URLS of them, with a
-    suffix's smoothed share of blocked URLs and its count among the features. If the sample lacks one of the verdicts, URLs
+    The URLs that rules fit are the labelled ones. Trees are fitted on a sample of at most FIT_URLS distinct ones, drawn
+    from each verdict in proportion but at least a tenth if it has so many, with a suffix's smoothed share of blocked URLs
+    and its count, both over all labelled rows, among the features. If the labelled rows lack one of the verdicts, URLs
     without a rule get the one that there is, or allow. score is the trees' probability of block.
 
     A null URL, or one without ``://``, has an empty host and path, no rule, and is judged by the trees. Repeated rows are
@@ -74,14 +84,17 @@ def judged(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, id_c
     named = pages.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = features(named.select("*", rule.alias("rule"), verdict.alias("verdict")))
-    lettered = ruled.where("verdict is not null").orderBy(F.xxhash64("url"), "id").limit(FIT_URLS)
-    fit_on = stored(lettered.withColumn("label", (F.col("verdict") == "block").cast("double")).coalesce(2))
-    rates = fit_on.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_count"))
-    rates = stored(rates)  # at most FIT_URLS rows
-    whole = lambda df: df.join(F.broadcast(rates), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
-    kinds = [r.verdict for r in fit_on.select("verdict").distinct().collect()]
+    label = (F.col("verdict") == "block").cast("double")
+    labelled = named.select("*", verdict.alias("verdict")).where("verdict is not null")
+    rates = stored(labelled.groupBy(F.regexp_extract("host", "([^.]*)$", 1).alias("suffix")).agg(((F.sum(label) + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_count")))
+    n_rates = rates.count()
+    whole = lambda df: df.join(small(rates, n_rates), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
+    single = stored(labelled.select("url", "host", "path", "verdict").distinct())
+    kinds = {r.verdict: r["count"] for r in single.groupBy("verdict").count().collect()}
+    parts = [single.where(F.col("verdict") == k).orderBy(F.xxhash64("url"), "url").limit(n) for k, n in sorted(_quotas(kinds, FIT_URLS).items())]
+    fit_on = stored(features(reduce(DataFrame.union, parts)).withColumn("label", label).coalesce(2)) if parts else None
     if len(kinds) < 2:
-        out = ruled.withColumn("score", F.lit(1.0 if kinds == ["block"] else 0.0))
+        out = ruled.withColumn("score", F.lit(1.0 if "block" in kinds else 0.0))
     else:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
         trees = GBTClassifier(maxIter=12, maxDepth=4, maxBins=64, stepSize=0.3, seed=seed).fit(vectors.transform(whole(fit_on)))

@@ -279,3 +279,16 @@ def test_weights_follow_all_texts(spark):
     one.learn([r.text.encode().split() for r in rows.collect()])
     several = mixlm.fitted(rows, 4, bits, pairs)
     assert one.mass.sum() > 8 * 3000 * 5 and abs(several.weights - one.model.weights).mean() < 0.1
+
+
+def test_one_url_many_times_leaves_both_verdicts(spark, monkeypatch):
+    """The URL of least hash fills a sample that counts repeats; suffixes outside the sample have their counts too."""
+    from pyspark.sql import functions as F
+
+    names = [f"http://h{i}.{'com/de' if i % 2 else 'com/fr'}/{i}" for i in range(60)]
+    least = spark.createDataFrame([(u,) for u in names], "url string").orderBy(F.xxhash64("url")).first().url
+    monkeypatch.setattr(urls, "FIT_URLS", 40)
+    every = [*names, *[least] * 60, *[f"http://n{i}.net/{'de' if i % 2 else 'fr'}/{i}" for i in range(20)]]
+    out = {r.id: r for r in urls.judged(spark.createDataFrame(list(enumerate(every)), "page_id long, url string")).collect()}
+    assert len(out) == len(every) and {0.0, 1.0}.isdisjoint({out[i].score for i in range(120, 140)})
+    assert urls._quotas({"allow": 1000, "block": 1}, 40) == {"allow": 39, "block": 1} and urls._quotas({"allow": 30, "block": 9}, 40) == {"allow": 30, "block": 9}
