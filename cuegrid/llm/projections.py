@@ -74,7 +74,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     """(id, n_links, component_id, kept) for each row; rows are linked where labels are equal and the cosine is at least the threshold.
 
     Equal vectors of a label are one node with a count. In each of 32 tables the nodes are cut into coarse cells by five
-    random projections and sorted along a fifth; a pair collides in a table if it shares the cells and lies in the other's
+    random projections and sorted along one more; a pair collides in a table if it shares the cells and lies in the other's
     window on that line (nodes meet through bins of the window's width: their own and the next). Pairs that collide in
     ``least_count`` tables are verified in double precision. That count is calibrated on the collision probability of a
     pair exactly at the threshold, for a recall of 0.9995 there and more above it. The cells keep pairs that are far
