@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its counted rows are at most this many (a few tens of MB).
-BROADCAST_ROWS = 400_000
+#: A side of a join is broadcast only if it is counted and its values hold at most so many bytes.
+BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +29,24 @@ def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: a cut of the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; else Spark shuffles it as usual."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its counted values are few bytes; else Spark shuffles it as usual."""
+    wide = [F.coalesce(F.octet_length(c.name), F.lit(0)) for c in df.schema if c.dataType.typeName() in ("string", "binary")]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(wide, F.lit(0))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if 16 * len(df.columns) * row.n + row.bytes <= BROADCAST_BYTES else df
 
 
 def bucket_of(col: Column, n: int) -> Column:
@@ -45,3 +57,13 @@ def bucket_of(col: Column, n: int) -> Column:
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id's text modulo n; 0 for a null id."""
     return F.coalesce(F.crc32(F.encode(col.cast("string"), "UTF-8")) % n, F.lit(0).cast("long"))
+
+
+def rows_left(whole: DataFrame, key: list[str], gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """The rows (doc, *key) whose key is not in ``gone``, and of each key in ``twice`` only one: that of least hash over all its columns. Both sides are broadcast only if they are counted and small. A null in a key is in neither."""
+    out = whole.join(small(gone), key, "left_anti")
+    if not twice.isEmpty():
+        hit = out.join(small(twice.withColumn("hit", F.lit(True))), key, "left")
+        one = hit.where("hit").groupBy(*key).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+        out = hit.where("hit is null").select("doc").unionByName(one.select("doc"))
+    return out.select("doc.*")

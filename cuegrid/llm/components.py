@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import stored
+from cuegrid.llm.common import discard, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,6 +27,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         took = seen.join(roots, "node", "left").select("node", "l", F.least("near", F.coalesce("up", "near")).alias("m"))
         jump = took.select(F.col("node").alias("m"), F.col("m").alias("mm"))
         step = stored(took.join(jump, "m").select("node", "l", F.least("m", "mm").alias("m")))
+        discard(label)
         if step.where("m < l").isEmpty():
+            discard(both)
             return step.select("node", F.col("m").alias("component"))
         label = step.select("node", F.col("m").alias("l"))
+        label.stored_at = step.stored_at

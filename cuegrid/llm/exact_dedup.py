@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import small, stored
+from cuegrid.llm.common import rows_left, small, stored
 
 SALTS = 32
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -22,17 +22,22 @@ def sha256(norm: Column) -> Column:
     return F.sha2(F.encode(norm, "UTF-8"), 256)
 
 
+def _best() -> Column:
+    """Most code points first, then the smallest id, null last."""
+    return F.struct((-F.col("len")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("keep_id"))
+
+
 def classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
-    """One row for each row of docs: id, row (a number of its own), digest, content (empty unless texts with equal
+    """One row for each row of docs: id, len, row (a number of its own), digest, content (empty unless texts with equal
     digests differ), keep_id, group_size, kept.
 
     Of equal texts the row with the most code points stays, then the smallest id (null last), then the first row.
     Digests are counted with salts first: a digest that occurs once has nothing to be compared with, and its text goes
     nowhere. Texts of repeated digests are combined within their input partition, then by (digest, salt, text), then by
-    (digest, text). The text itself is a key of each step, so texts whose digests collide stay apart, and one text
-    may be a third of all rows.
+    (digest, text): the whole text is a key of every one of these steps, which carry the winner so far with them. So
+    texts whose digests collide stay apart, and one text may be a third of all rows.
 
     Null and empty texts are equal. Repeated rows are rows of their own, of which one stays. An empty table gives none.
     Only the two named columns are read, so other columns cannot clash.
@@ -42,51 +47,52 @@ def classes(
     rows = stored(facts.select(F.monotonically_increasing_id().alias("row"), "id", "len", "digest"))
     salted = rows.groupBy("digest", (F.xxhash64("row") % SALTS).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(salted.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
-    texts = facts.join(small(repeated, repeated.count()), "digest", "left_semi").withColumn("salt", F.xxhash64("id", "len") % SALTS)
+    texts = facts.join(small(repeated), "digest", "left_semi").withColumn("salt", F.xxhash64("id", "len") % SALTS)
     # Spark runs the first of these groupings within each input partition before its shuffle.
-    local = texts.groupBy("digest", "salt", "norm").agg(F.count(F.lit(1)).alias("n"))
-    whole = stored(local.groupBy("digest", "norm").agg(F.sum("n").alias("group_size")))
+    won = texts.groupBy("digest", "salt", "norm").agg(F.min(_best()).alias("w"), F.count(F.lit(1)).alias("n"))
+    won = won.groupBy("digest", "norm").agg(F.min("w").alias("w"), F.sum("n").alias("group_size"))
+    whole = stored(won.select("digest", "norm", "group_size", "w.keep_id", (-F.col("w.neg")).alias("keep_len")))
     clash = stored(whole.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digest"))
+    content = F.lit("")
     if not clash.isEmpty():
-        return _winners(_apart(docs, id_, text, digest, clash))
-    return _winners(rows.withColumn("content", F.lit("")))
-
-
-def _apart(docs: DataFrame, id_: Column, text: Column, digest: Callable[[Column], Column], clash: DataFrame) -> DataFrame:
-    """Rows as classes() has them, with a hash of the text as content where digests collide; for tests with weak digests and the day that SHA-256 breaks."""
-    facts = docs.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), F.length(text).cast("long").alias("len"), normalised(text).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    hit = facts.join(clash.withColumn("hit", F.lit(True)), "digest", "left")
-    return stored(hit.select("row", "id", "len", "digest", F.when(F.col("hit"), F.col("norm")).otherwise(F.lit("")).alias("content")))
-
-
-def _winners(rows: DataFrame) -> DataFrame:
-    """Salt winners first, then the winners of whole groups, then each row beside its group's winner."""
-    best = F.struct((-F.col("len")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))
-    salted = rows.groupBy("digest", "content", (F.xxhash64("row") % SALTS).alias("salt")).agg(F.min(best).alias("w"), F.count(F.lit(1)).alias("n"))
-    won = salted.groupBy("digest", "content").agg(F.min("w").alias("w"), F.sum("n").alias("group_size"))
-    many = stored(won.where("group_size > 1").select("digest", "content", "group_size", "w.keep_id", "w.keep_row"))
-    out = rows.join(small(many, many.count()), ["digest", "content"], "left")
-    return out.select("id", "row", "digest", "content", F.coalesce("keep_id", F.when(F.col("group_size").isNull(), F.col("id"))).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"))
+        # Only texts whose digests collide go on beside their rows.
+        whole = whole.join(clash.withColumn("hit", F.lit(True)), "digest", "left")
+        content = F.when(F.col("hit"), F.col("norm")).otherwise(F.lit(""))
+        numbered = facts.select(F.monotonically_increasing_id().alias("row"), "*").join(clash.withColumn("hit", F.lit(True)), "digest", "left")
+        rows = stored(numbered.select("row", "id", "len", "digest", content.alias("content")))
+    else:
+        rows = rows.withColumn("content", content)
+    many = whole.where("group_size > 1").select("digest", content.alias("content"), "group_size", "keep_id", "keep_len")
+    return _placed(rows, stored(many))
+
+
+def _placed(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """Each row beside the winner of its group; of rows that equal the winner in length and id the first one is kept."""
+    key = ["digest", "content"]
+    equal = rows.join(small(many), key).where(F.col("len").eqNullSafe(F.col("keep_len")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    first = stored(equal.groupBy(*key).agg(F.min("row").alias("keep_row")))
+    out = rows.join(small(stored(many.join(first, key))), key, "left")
+    lone = F.col("group_size").isNull()
+    return out.select("id", "len", "row", "digest", "content", F.when(lone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (lone | (F.col("keep_row") == F.col("row"))).alias("kept"))
 
 
 def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row has: the columns of docs, nothing else.
 
-    Rows leave by an anti-join on (id, digest), whose side is broadcast only if it is counted and small. Rows that
-    repeat both id and text are told apart only if there are any.
+    Of equal texts the row with the most code points stays, then the smallest id (null last). Rows leave by an anti-join
+    on (id, length, digest), whose side is broadcast only if it is counted and small. Of rows that repeat all three the
+    one of least hash over all its columns stays.
     """
     named = stored(classes(docs, id_col=id_col, text_col=text_col))
-    key = [F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id_key"), F.col("digest")]
-    stay = named.where("kept and group_size > 1").select(*key)
-    gone = stored(named.where("not kept").select(*key).distinct())
-    both = stored(gone.join(stay, ["id_key", "digest"], "left_semi"))
-    gone = gone.join(both, ["id_key", "digest"], "left_anti") if not both.isEmpty() else gone
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("id_key"), sha256(normalised(F.col(f"`{text_col}`"))).alias("digest"))
-    out = whole.join(small(gone, gone.count()), ["id_key", "digest"], "left_anti")
-    if not both.isEmpty():
-        hit = out.join(both.withColumn("hit", F.lit(True)), ["id_key", "digest"], "left")
-        out = hit.where("hit is null").unionByName(hit.where("hit").dropDuplicates(["id_key", "digest"]))
-    return out.select("doc.*")
+    key = ["id_key", "len", "digest"]
+    id_key = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n")).alias("id_key")
+    stay = named.where("kept and group_size > 1").select(id_key(F.col("id")), "len", "digest")
+    lost = stored(named.where("not kept").select(id_key(F.col("id")), "len", "digest").distinct())
+    twice = stored(lost.join(stay, key, "left_semi"))
+    gone = stored(lost.join(twice, key, "left_anti")) if not twice.isEmpty() else lost
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_key(F.col(f"`{id_col}`")), F.length(text).cast("long").alias("len"), sha256(normalised(text)).alias("digest"))
+    return rows_left(whole, key, gone, twice)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

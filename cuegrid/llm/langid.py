@@ -11,15 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import crc_mod
-from cuegrid.llm.textnum import Words, mix64, pieces
+from cuegrid.llm.common import crc_mod, small, stored
+from cuegrid.llm.textnum import Words, freed, mix64, pieces
 
 SLOTS = 1 << 17
 #: The model is fitted on at most so many labelled texts of each language and so many consecutive words of each.
 FIT_TEXTS, FIT_WORDS = 400, 96
 #: A word is in the lexicon if the fitted texts hold it so often.
 LEXICON_COUNT = 3
-#: Words of a chain; a longer text is cut into chains, which bounds the memory of the forward-backward pass.
+#: Texts of all languages together on which the model is fitted at most; with more than 250 languages each has fewer.
+FIT_ALL = 100_000
+#: Words of a chain. A longer text is several chains that hand their messages on, so the cuts change no result.
 CHAIN = 256
 #: Chains side by side and bytes of texts at once, which bound a worker's memory.
 SIDE, TEXT_BYTES = 512, 1 << 20
@@ -82,24 +84,40 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
     return out[inverse]
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of chains that lie side by side: scores (steps, chains, labels), lengths falling.
+def forward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward messages of chains that lie side by side: scores (steps, chains, labels), lengths falling, start (chains, labels) what the first step is weighted by.
 
-    Returns marginals (steps, chains, labels), the summed pair marginals (labels, labels) and log-partition of each chain.
+    Returns (messages scaled to sum 1, exponentiated scores, log of the scale of each chain's last message).
     """
-    steps, chains, k = scores.shape
     top = scores.max(axis=2, keepdims=True)
     psi = np.exp(scores - top)
     go = np.exp(moves).astype(psi.dtype)
-    live = np.searchsorted(-lengths, -np.arange(steps), "left")  # chains longer than t
-    alpha, z = np.zeros_like(psi), np.zeros(chains)
-    for t in range(steps):
-        m = live[t]
-        a = psi[t, :m] if t == 0 else psi[t, :m] * (alpha[t - 1, :m] @ go)
+    alpha, z = np.zeros_like(psi), np.zeros(scores.shape[1])
+    for t, m in enumerate(_live(lengths, len(scores))):
+        a = psi[t, :m] * (alpha[t - 1, :m] @ go) if t else psi[t, :m] if start is None else psi[t, :m] * start[:m]
         s = a.sum(axis=1, keepdims=True)
         alpha[t, :m] = a / s
         z[:m] += np.log(s[:, 0]) + top[t, :m, 0]
+    return alpha, psi, z
+
+
+def _live(lengths: np.ndarray, steps: int) -> np.ndarray:
+    """How many chains are longer than each step."""
+    return np.searchsorted(-lengths, -np.arange(steps), "left")
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of chains that lie side by side: scores (steps, chains, labels), lengths falling; start and end (chains, labels) are the messages that come from before and after a chain.
+
+    Returns marginals (steps, chains, labels), the summed pair marginals (labels, labels) and log-partition of each chain.
+    """
+    steps, _, k = scores.shape
+    alpha, psi, z = forward(scores, lengths, moves, start)
+    go = np.exp(moves).astype(psi.dtype)
+    live = _live(lengths, steps)
     beta, pair = np.ones_like(psi), np.zeros((k, k))
+    if end is not None:
+        beta[lengths - 1, np.arange(len(lengths))] = end
     for t in range(steps - 2, -1, -1):
         m = live[t + 1]
         right = psi[t + 1, :m] * beta[t + 1, :m]
@@ -112,27 +130,71 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray)
     return both / np.maximum(both.sum(axis=2, keepdims=True), 1e-30), pair, z
 
 
-def _chains(first: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the chains of all texts, longest first."""
+def _chains(first: np.ndarray, size: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, text) of the chains of all texts, in the order of the texts."""
     n = np.diff(first)
     count = -(-n // size)
     owner = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     start = first[:-1][owner] + k * size
-    length = np.minimum(size, first[1:][owner] - start)
-    order = np.argsort(-length, kind="stable")
-    return start[order], length[order]
+    return start, np.minimum(size, first[1:][owner] - start), owner
+
+
+def _side_by_side(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(chains, their lengths, words (steps, chains)) of SIDE chains at a time, longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    for i in range(0, len(order), SIDE):
+        own = order[i : i + SIDE]
+        n = lengths[own]
+        yield own, n, starts[own][None, :] + np.minimum(np.arange(n[0])[:, None], n[None, :] - 1)
+
 
+def _messages(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each chain: what its neighbours in the same text send, ones at a text's borders.
 
-def word_marginals(words: Words, model: Model) -> np.ndarray:
+    A chain is a matrix from the label before it to the label at its end; one forward pass from each label gives its
+    rows, and the few chains of a text are then multiplied one after another.
+    """
+    k = scores.shape[1]
+    go = np.exp(moves)
+    start, end = np.ones((len(starts), k)), np.ones((len(starts), k))
+    several = np.flatnonzero(np.bincount(owner, minlength=1)[owner] > 1)
+    if not len(several):
+        return start, end
+    through, alone = np.empty((len(starts), k, k)), np.empty((len(starts), k))
+    for part, n, at in _side_by_side(starts[several], lengths[several]):
+        own, x, last = several[part], scores[at], (n - 1, np.arange(len(n)))
+        rows = []
+        for i in range(k):
+            alpha, _, z = forward(x, n, moves, np.broadcast_to(go[i], (len(own), k)))
+            rows.append((alpha[last], z))
+        top = np.max([z for _, z in rows], axis=0)
+        for i, (a, z) in enumerate(rows):
+            through[own, i] = a * np.exp(z - top)[:, None]
+        alone[own] = forward(x, n, moves)[0][last]
+    for j, c in enumerate(several):
+        if j and owner[several[j - 1]] == owner[c]:
+            start[c] = came @ go  # noqa: F821
+            came = came @ through[c]  # noqa: F821
+        else:
+            came = alone[c]
+        came = came / came.sum()
+    for j in range(len(several) - 2, -1, -1):
+        c, after = several[j], several[j + 1]
+        if owner[c] == owner[after]:
+            sent = through[after] @ end[after]
+            end[c] = sent / sent.sum()
+    return start, end
+
+
+def word_marginals(words: Words, model: Model, size: int = CHAIN) -> np.ndarray:
     """(words, langs): the probability of each language at each word."""
     scores = word_scores(words, model)
     out = np.zeros_like(scores)
-    starts, lengths = _chains(words.first)
-    for i in range(0, len(starts), SIDE):
-        s, n = starts[i : i + SIDE], lengths[i : i + SIDE]
-        at = s[None, :] + np.minimum(np.arange(n[0])[:, None], n[None, :] - 1)
-        marginal, _, _ = forward_backward(scores[at], n, model.moves)
+    starts, lengths, owner = _chains(words.first, size)
+    start, end = _messages(scores, starts, lengths, owner, model.moves)
+    for own, n, at in _side_by_side(starts, lengths):
+        marginal, _, _ = forward_backward(scores[at], n, model.moves, start[own].astype(scores.dtype), end[own].astype(scores.dtype))
         inside = np.arange(n[0])[:, None] < n[None, :]
         out[at[inside]] = marginal[inside]
     return out
@@ -188,14 +250,24 @@ def fit(texts: list[str], labels: list[str], *, epochs: int = 6, seed: int = 5)
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = FIT_TEXTS, words: int = FIT_WORDS) -> tuple[list[str], list[str]]:
-    """Runs of words from at most ``texts`` labelled texts of each language, the ones of least hash; at most ``words`` words of each from a hashed place in it."""
+    """Runs of words from at most ``texts`` labelled texts of each language, the ones of least hash; at most ``words`` words of each from a hashed place in it.
+
+    Only ids whose hash lies below a bound that follows from the language's counted texts, about four times as many as
+    are wanted, are ranked, so a language's ranking stays small however many texts it has. No language is left out: with
+    more than FIT_ALL / texts languages, each has fewer texts.
+    """
     id_, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     named = docs.select(id_.alias("id"), lang.alias("lang"), text.alias("text")).where("lang is not null and text is not null and id is not null")
+    counts = stored(named.groupBy("lang").count())
+    texts = max(1, min(texts, FIT_ALL // max(1, counts.count())))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+    near = named.select("id", "lang").join(small(counts), "lang").where(share * F.col("count") <= 4 * texts + 16)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = named.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= texts).select("id", "lang")
-    some = named.join(F.broadcast(ids), ["id", "lang"], "left_semi").withColumn("w", F.split(F.trim("text"), "[ \\t\\n\\x0B\\f\\r]+"))
+    ids = stored(near.select("id", "lang", rank.alias("rank")).where(F.col("rank") <= texts).select("id", "lang").distinct())
+    some = named.join(small(ids), ["id", "lang"], "left_semi").withColumn("w", F.split(F.trim("text"), "[ \\t\\n\\x0B\\f\\r]+"))
     some = some.withColumn("from", (F.abs(F.xxhash64("id") % F.greatest(F.lit(1), F.size("w") - words)) + 1).cast("int"))
-    rows = some.select("lang", F.array_join(F.slice("w", F.col("from"), words), " ").alias("t")).orderBy("lang", "t").limit(100_000).collect()
+    parts = some.select("lang", "id", F.array_join(F.slice("w", F.col("from"), words), " ").alias("t"))
+    rows = parts.groupBy("lang", "id").agg(F.min("t").alias("t")).orderBy("lang", "t").collect()  # at most FIT_ALL
     return [r.t for r in rows], [r.lang for r in rows]
 
 
@@ -204,7 +276,7 @@ def labelled(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     probability over the words that have letters, and the mean of each language; with per_word also ``labels``, the most likely language of each word.
 
     A null text and one without a letter are ``und`` with score 0, as is everything if nothing was labelled. All words of
-    a text count; chains are at most 256 words, so memory follows the longest text. Repeated rows and clashing columns
+    a text count in one chain; memory follows the longest text. Repeated rows and clashing columns
     do no harm: each row is read by itself and only two columns are read.
     """
     return _mapped(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), model, None, per_word)
@@ -245,6 +317,7 @@ def _mapped(named: DataFrame, model: Model, field: str | None, per_word: bool =
                     tags = names[marginal.argmax(axis=1)] if k else np.full(len(words), UNDETERMINED, object)
                     columns.append(pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(tags, pa.string())))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "shares", *["labels"] * per_word])
+        freed()
 
     return named.mapInArrow(run, f"id {kind}, lang_pred string, score double, shares array<double>" + ", labels array<string>" * per_word)
 

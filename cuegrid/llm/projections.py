@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import stored
+from cuegrid.llm.common import discard, stored
 from cuegrid.llm.components import components
 
 TABLES, CUTS = 32, 5
@@ -60,14 +60,14 @@ def _projected(vectors: DataFrame, reach: float, seed: int) -> DataFrame:
                     place = y[:, TABLES * CUTS :]
                     n = len(at) * TABLES
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(part.column("node").to_numpy(), TABLES)), pa.array(np.repeat(part.column("label_key").to_numpy(zero_copy_only=False), TABLES), pa.int64()),
+                        [pa.array(np.repeat(part.column("node").to_numpy(), TABLES)), pa.array(np.repeat(part.column("label_hash").to_numpy(), TABLES)),
                          pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))),
                          pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CUTS), pa.array(cells.reshape(-1))), pa.array(place.reshape(-1))],
-                        ["node", "label_key", "table", "cuts", "place"],
+                        ["node", "label_hash", "table", "cuts", "place"],
                     )
 
-    rows = vectors.mapInArrow(run, "node long, label_key long, table int, cuts array<long>, place double")
-    return rows.select("node", F.xxhash64("label_key", "table", "cuts").alias("cell"), F.floor(F.col("place") / (WINDOW * reach)).alias("bin"), "place")
+    rows = vectors.mapInArrow(run, "node long, label_hash long, table int, cuts array<long>, place double")
+    return rows.select("node", F.xxhash64("label_hash", "table", "cuts").alias("cell"), F.floor(F.col("place") / (WINDOW * reach)).alias("bin"), "place")
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 7) -> DataFrame:
@@ -87,26 +87,29 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     reach = math.sqrt(2 * (1 - threshold))
     need = least_count(collision_probability(reach, reach))
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
-    rows = stored(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label_key"), v.alias("v")))
+    rows = stored(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label_key"), v.alias("v")))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sound = rows.where("label_key is not null and id is not null and v is not null").withColumn("square", square).where("square > 0 and square < double('Infinity')")
     sound = sound.withColumn("unit", F.transform("v", lambda x: x / F.sqrt(F.col("square")))).where("exists(unit, x -> x <> 0)")
-    nodes = stored(sound.groupBy("label_key", "unit").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    places = stored(_projected(nodes.select("node", "label_key", "unit"), reach, seed))
+    nodes = stored(sound.groupBy("label_key", "unit").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    places = stored(_projected(nodes.select("node", F.xxhash64("label_key").alias("label_hash"), "unit"), reach, seed))
     near = places.select("cell", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("node").alias("a"), F.col("place").alias("pa"), F.col("bin").alias("ba"))
     met = near.join(places.select("cell", "bin", F.col("node").alias("b"), F.col("place").alias("pb")), ["cell", "bin"])
     met = met.where((F.abs(F.col("pa") - F.col("pb")) <= WINDOW * reach) & ((F.col("ba") != F.col("bin")) | (F.col("a") < F.col("b"))))
     counted = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
-    one = counted.join(nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua"), F.col("copies").alias("ca"), F.col("label_key")), "a")
-    two = one.join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub"), F.col("copies").alias("cb"), F.col("label_key")), ["b", "label_key"])
+    one = counted.join(nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua"), F.col("copies").alias("ca"), F.col("label_key").alias("la")), "a")
+    two = one.join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub"), F.col("copies").alias("cb"), F.col("label_key").alias("lb")), "b")
     cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    links = stored(two.where(F.size("ua") == F.size("ub")).where(cosine >= threshold).select("a", "b", "ca", "cb"))
+    links = stored(two.where((F.col("la") == F.col("lb")) & (F.size("ua") == F.size("ub"))).where(cosine >= threshold).select("a", "b", "ca", "cb"))
     degree = links.select(F.col("a").alias("node"), F.col("cb").alias("n")).unionByName(links.select(F.col("b").alias("node"), F.col("ca").alias("n"))).groupBy("node").agg(F.sum("n").alias("others"))
-    facts = nodes.join(degree, "node", "left").join(components(links.select("a", "b")), "node", "left")
-    facts = facts.select("label_key", "unit", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    mine = sound.select("row", "label_key", "unit").join(facts.where("n_links > 0"), ["label_key", "unit"]).select("row", "n_links", "component_id")
-    out = rows.select("row", "id").join(mine, "row", "left")
+    group = stored(nodes.join(components(links.select("a", "b")), "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component")))
+    least = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = group.join(least, "component").join(degree, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id").where("n_links > 0")
+    mine = nodes.select("node", "label_key", "unit").join(facts, "node")
+    found = sound.select("row", "label_key", "unit").join(mine, ["label_key", "unit"]).select("row", "n_links", "component_id")
+    discard(places)
     component = F.coalesce("component_id", "id")
+    out = rows.select("row", "id").join(found, "row", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 

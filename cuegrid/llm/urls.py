@@ -87,8 +87,8 @@ def judged(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, id_c
     label = (F.col("verdict") == "block").cast("double")
     labelled = named.select("*", verdict.alias("verdict")).where("verdict is not null")
     rates = stored(labelled.groupBy(F.regexp_extract("host", "([^.]*)$", 1).alias("suffix")).agg(((F.sum(label) + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_count")))
-    n_rates = rates.count()
-    whole = lambda df: df.join(small(rates, n_rates), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
+    beside = small(rates)
+    whole = lambda df: df.join(beside, "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
     single = stored(labelled.select("url", "host", "path", "verdict").distinct())
     kinds = {r.verdict: r["count"] for r in single.groupBy("verdict").count().collect()}
     parts = [single.where(F.col("verdict") == k).orderBy(F.xxhash64("url"), "url").limit(n) for k, n in sorted(_quotas(kinds, FIT_URLS).items())]

@@ -97,3 +97,13 @@ def test_vectors(spark):
     assert links[1] == (3, 1, True) and links[3] == (3, 1, False) and links[4] == (0, 4, True)
     assert all(links[i] == (0, i, True) for i in (5, 6, 7, 8, 9, 10, 11, 12))
     assert projections.near_duplicates(vectors(spark, [])).count() == 0
+
+
+def test_vectors_that_share_an_id(spark):
+    """Each row's links follow from its own vector and label."""
+    out = projections.near_duplicates(vectors(spark, [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.1, 0.0], 1)])).collect()
+    assert sorted((r.id, r.n_links, r.component_id, r.kept) for r in out) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    out = projections.near_duplicates(vectors(spark, [(1, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0, 0.0], 2), (2, [1.0, 0.1, 0.0], 1)])).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in out) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+    named = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b")], "vec_id long, embedding array<double>, label string")
+    assert sorted((r.id, r.n_links) for r in projections.near_duplicates(named).collect()) == [(1, 1), (2, 1), (3, 0)]

@@ -50,6 +50,23 @@ def test_near_duplicates_of_one_text(spark):
     assert got == brute.near_components(rows, 3, 85)
 
 
+def test_rows_that_share_an_id(spark):
+    """Results follow each row's own text, in any order of the rows."""
+    a, b = "one two three four five six seven eight nine ten", "red blue green black white pink brown grey gold teal"
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, a), (4, "x y z")]
+    for own in (rows, rows[::-1], [rows[i] for i in (1, 0, 3, 2, 5, 4)]):
+        df = spark.createDataFrame(own, "doc_id long, text string")
+        got = sorted((r.id, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=3, percent=85).collect())
+        assert got == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+        assert sorted(tuple(r) for r in minhash.keep(df, width=3, percent=85).collect()) == [(1, a), (1, b), (4, "x y z")]
+    for own in ([(5, "a b c d"), (5, "a  b  c   d"), (6, "a b c d")], [(6, "a b c d"), (5, "a  b  c   d"), (5, "a b c d")]):
+        df = spark.createDataFrame(own, "doc_id long, text string")
+        assert [tuple(r) for r in exact_dedup.keep(df).collect()] == [(5, "a  b  c   d")]
+        assert sorted((r.id, r.len, r.keep_id, r.kept) for r in exact_dedup.classes(df).collect()) == [(5, 7, 5, False), (5, 11, 5, True), (6, 7, 5, False)]
+    mixed = spark.createDataFrame([(None, "q"), ("null", "q"), ("null", "q"), (None, "r"), (None, None)], "doc_id string, text string")
+    assert sorted(map(str, (tuple(r) for r in exact_dedup.keep(mixed).collect()))) == sorted(map(str, [("null", "q"), (None, "r"), (None, None)]))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 40)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -68,8 +85,8 @@ def test_bpe_equals_the_library(docs):
 
     lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(4)
-    odd = ["".join(rng.choice("aAbB 'strééßİ日本1²\t\n.,<|>endoftext\U0001f600Σσς") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", "x" * 3000, "<|endoftext|> a<|startoftext|>b", "ẞ ͅ", "don't we'll"]
-    codec = bpe.codec(bpe.vocabulary_text())
+    odd = ["".join(rng.choice("aAbB 'strééßİ日本1²\t\n.,<|>endoftext\U0001f600Σσς") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", "x" * 3000, "<|endoftext|> a<|startoftext|>b", "ẞ ͅ", "don't we'll", "a\u0301\u08d1b \u0301\u1abf x\u0558y \u1c89\U00016ea0 \U000187f8z \U0001246f1"]
+    codec = bpe.Codec(bpe.vocabulary_text())
     for t in [r.text for r in docs.limit(60).collect() if r.text] + odd:
         ids = lib.encode(t, add_special_tokens=False).ids
         mine = codec.encode(t)
@@ -82,6 +99,29 @@ def test_bpe_equals_the_library(docs):
     assert unicodedata.is_normalized("NFC", text)
 
 
+def test_another_vocabulary_is_refused():
+    import public_tokenizers
+
+    with pytest.raises((ValueError, KeyError)):
+        bpe.Codec(bpe.vocabulary_text(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def test_bpe_equals_the_library_on_all_characters():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    codec = bpe.Codec(bpe.vocabulary_text())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}" for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    rng = random.Random(9)
+    marks = [c for c in every if unicodedata.combining(c)]
+    texts += ["a" + "".join(rng.choice(marks) for _ in range(4)) for _ in range(3000)]
+    for t, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        mine = codec.encode(t)
+        assert list(struct.unpack(f"<{len(mine) // 4}I", mine)) == want.ids, ascii(t)
+
+
 def test_rules_of_personal_data_equal_plain_patterns():
     fixed = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     rng = random.Random(5)
@@ -177,6 +217,29 @@ def test_forward_backward_equals_a_sum_over_paths():
             assert abs(marginal[t, 0, y] - sum(w for p, w in weight.items() if p[t] == y) / total) < 1e-6
 
 
+def test_a_long_text_equals_one_chain():
+    """Texts that are cut into chains have the marginals of an uncut pass."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cuegrid.llm.textnum import Words
+
+    rng = random.Random(2)
+    vocab = {"x": [f"ax{i}" for i in range(40)], "y": [f"by{i}" for i in range(40)], "z": [f"cz{i}" for i in range(40)]}
+    text = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    model = langid.fit([text(k, 60) for k in "xyz" for _ in range(20)], [k for k in "xyz" for _ in range(20)], epochs=2)
+    words = Words(pa.array([" ".join(text(rng.choice("xyz"), 30) for _ in range(100)), text("y", 5), "", " ".join(rng.choice(sum(vocab.values(), [])) for _ in range(700))]))
+    whole, cut = langid.word_marginals(words, model, 10_000), langid.word_marginals(words, model, 64)
+    assert np.abs(whole - cut).max() < 1e-4 and len(words) == 3705
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} v{i}", f"l{i % 300:03d}") for i in range(1200)]
+    monkeypatch.setattr(langid, "FIT_ALL", 600)
+    texts, langs = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(langs)) == 300 and len(texts) <= 600
+
+
 def test_mix_comes_near_its_targets(docs):
     rows = mixing.mixed(docs, ["doc_id"]).collect()
     taken, target, most = defaultdict(int), {}, defaultdict(int)
