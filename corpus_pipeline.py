@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing
-from cuegrid.llm.common import stored
+from cuegrid.llm.common import discard, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids in place of their texts."""
-    found = bpe.encoded(docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text"), id_col="doc")
+    found = bpe.token_ids(docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text"), id_col="doc")
     return found.select("id.doc_id", "id.lang", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -43,6 +43,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
