@@ -38,6 +38,22 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES,
         start = end
 
 
+_kept: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of the hash's factor and of its inverse; those of usual pieces are kept."""
+    if _kept and len(_kept[0]) >= n:
+        return _kept[0], _kept[1]
+    power, inverse = np.full(n, _P), np.full(n, _PINV)
+    power[0] = inverse[0] = 1
+    np.cumprod(power, out=power)
+    np.cumprod(inverse, out=inverse)
+    if n <= 1 << 20:
+        _kept[:] = [power, inverse]
+    return power, inverse
+
+
 def freed() -> None:
     """Gives the memory that Arrow keeps for later back to the system; called where a task ends."""
     pa.default_memory_pool().release_unused()
@@ -79,11 +95,8 @@ class Words:
         for i in range(0, len(self), _CHUNK):
             s, e = self.starts[i : i + _CHUNK], self.ends[i : i + _CHUNK]
             base, top = s[0], e[-1]
-            power, back = np.full(top - base + 1, _P), np.full(top - base + 1, _PINV)
-            power[0] = back[0] = 1
-            np.cumprod(power, out=power)
-            np.cumprod(back, out=back)
+            power, back = powers(top - base + 1)
             sums = np.zeros(top - base + 1, np.uint64)
-            np.cumsum((self.data[base:top].astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+            np.cumsum((self.data[base:top].astype(np.uint64) + np.uint64(1)) * power[: top - base], out=sums[1:])
             out[i : i + _CHUNK] = mix64((sums[e - base] - sums[s - base]) * back[s - base] + (e - s).astype(np.uint64))
         return out
