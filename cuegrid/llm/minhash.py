@@ -105,10 +105,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for piece in pieces(batch):
                 values, first = shingle_sets(piece.column("text"), width)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([_digests(values, first), lists], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([_digests(values, first), lists], ["digest", "shingles"])
         freed()
 
-    return docs.mapInArrow(run, "node binary, shingles array<long>")
+    return docs.mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def _linked(common: Column, n: Column, m: Column, percent: int) -> Column:
@@ -154,7 +154,7 @@ def _rest(verified: DataFrame, sets: DataFrame, parts: DataFrame, percent: int)
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs; documents are linked where 100 * intersection >= percent * union of their shingle sets.
 
-    Equal sets are one class from the start, known by the set's digest. Each class's sketch is cut into bands; a
+    Equal sets are one class from the start, found by the set's digest and then known by a number. Each class's sketch is cut into bands; a
     bucket holds the classes that share a band. A bucket's pivot is the member whose buckets hold most members: in a
     group of near copies the text that they were made from. Every member is compared with its pivots on whole sets, and
     links are joined to components. Members that are not in their pivot's component are then compared with all others of
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     sketched = stored(_sketched(named, width))
     full = sketched.where("n > 0 and id is not null")
     classes = full.groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("c"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes.select(F.col("digest").alias("node"), "copies", "c.*"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "copies", "c.*"))
     keys = classes.select("node", F.explode("bands").alias("bucket"))
     shared = stored(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "size"))
     members = stored(keys.join(small(shared), "bucket"))
@@ -178,18 +178,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     pivots = members.join(few, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("near")).alias("x"), "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
     pairs = stored(members.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct())
     discard(shared, members)
-    ids = stored(classes.join(few, "node", "left_semi").select("id").distinct())
-    sets = stored(_sets(named.join(small(ids), "id", "left_semi"), width).join(few, "node", "left_semi").dropDuplicates(["node"]))
+    chosen = stored(classes.join(few, "node", "left_semi").select("node", "digest", "id"))
+    own = _sets(named.join(small(chosen.select("id").distinct()), "id", "left_semi"), width)
+    sets = stored(own.join(small(chosen.select("node", "digest")), "digest").select("node", "shingles").dropDuplicates(["node"]))
     both = pairs.join(sets.select("node", F.col("shingles").alias("s")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("p")), "pivot")
     verified = stored(both.select("pivot", "node", F.size("s").alias("n"), F.size("p").alias("np"), F.size(F.array_intersect("s", "p")).alias("common")))
-    discard(pairs, ids, nodes)
+    discard(pairs, chosen, nodes)
     links = verified.where(_linked(F.col("common"), F.col("n"), F.col("np"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     parts = components(links)
     rest = stored(_rest(verified, sets, parts, percent))
     if not rest.isEmpty():
         parts = components(links.unionByName(rest))
     discard(sets, verified, rest)
-    top = stored(classes.join(parts, "node", "left").where("copies > 1 or component is not null").select(F.col("node").alias("digest"), "id", F.coalesce("component", "node").alias("component")))
+    top = stored(classes.join(parts, "node", "left").where("copies > 1 or component is not null").select("digest", "id", F.coalesce("component", "node").alias("component")))
     least = top.groupBy("component").agg(F.min("id").alias("component_id"))
     out = sketched.select("id", "n", "digest").join(top.drop("id").join(least, "component").select("digest", "component_id"), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

@@ -5,6 +5,7 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased, oth
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def freed() -> None:
-    """Gives the memory that Arrow keeps for later back to the system; called where a task ends."""
+    """Gives memory that Arrow and the C library keep for later back to the system; called where a task ends, as Spark's Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim is not None:
+        trim(0)
 
 
 def _lengths(col: pa.Array) -> np.ndarray:
