@@ -211,7 +211,7 @@ def _addresses(region: str, tokens: list, words: list[str], number: list[bool],
 
 @dataclass
 class Model:
-    """Weights of (kind, feature) and of two entities side by side."""
+    """Weights of (kind, feature)."""
 
     weights: dict[str, float] = field(default_factory=dict)
 
@@ -461,16 +461,16 @@ def _joined(spans: list[Span]) -> str:
 
 
 def digests(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts of the base spans, their digest, and all spans as text."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans): counts of the base spans, their digest, all spans as text, and how many of them the field added and there are in all."""
 
     def columns(texts: list[str], spans: list[list[Span]]) -> tuple[list[str], list[pa.Array]]:
         base = [[s for s in own if s.base] for own in spans]
         counts = [pa.array([sum(s.kind == k for s in own) for own in base], pa.int64()) for k in KINDS]
         sha = pa.array([hashlib.sha256(_joined(own).encode()).hexdigest() for own in base], pa.string())
-        return [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"], [*counts, sha, pa.array([_joined(own) for own in spans], pa.string())]
+        return [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"], [*counts, sha, pa.array([_joined(own) for own in spans], pa.string()), pa.array([sum(not s.base for s in own) for own in spans], pa.int64()), pa.array([len(own) for own in spans], pa.int64())]
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return _mapped(docs, model, id_col, text_col, f"{counts}, base_sha256 string, spans string", columns)
+    return _mapped(docs, model, id_col, text_col, f"{counts}, base_sha256 string, spans string, n_added long, n_spans long", columns)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -289,6 +289,72 @@ def test_model_predicts_better_than_the_base(spark):
     assert score > 0.98 * base and sum(r.bits_per_byte * r.n_bytes for r in rows) / sum(r.n_bytes for r in rows) < 2.5
 
 
+def test_hosts_paths_and_rules_equal_a_loop(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice(["http", "://", "://", "/", "?", "#", "a.", "org", "com", "example.", "es/", "en/1", "fr/", "de/", "O", "/", "x"]) for _ in range(rng.randint(0, 9)))) for i in range(600)] + [(1000, None)]
+
+    def plain(url):
+        head, mark, rest = (url or "").partition("://")
+        rest = rest if mark else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(r), r, v) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
+        return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+    for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        want = plain(dict(rows)[r.id])
+        assert (r.host, r.path, r.rule) == want[:3] and r.verdict in ({want[3]} if want[3] else {"allow", "block"})
+
+
+def test_trees_judge_urls_without_a_rule(spark):
+    """Labelled URLs that differ in length and digits; the same kinds under a host that no rule names."""
+    rng = random.Random(13)
+    make = lambda host, bad: f"http://{host}" + ("".join(str(rng.randrange(10)) for _ in range(40)) if bad else rng.choice(["about", "news", "team"]))
+    rows = [(i, make(f"h{i % 9}.com/{'de' if i % 2 else 'fr'}/", i % 2)) for i in range(400)] + [(1000 + i, make("shop.net/", i % 2)) for i in range(100)]
+    out = {r.id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert sum(out[1000 + i] == ("block" if i % 2 else "allow") for i in range(100)) > 90
+
+
+def test_quotes_equal_the_sql(spark, tmp_path):
+    """Generated threads with nested quotes: links, threads and positions against the SQL."""
+    import duckdb
+
+    from cuegrid.llm import quotes
+
+    rng = random.Random(14)
+    rows = []
+    for conv in range(12):
+        said: list[str] = []
+        for turn in range(rng.randint(1, 14)):
+            lines = []
+            if said and rng.random() < 0.8:
+                for _ in range(rng.randint(1, 3)):
+                    old = rng.choice(said)
+                    lines += [rng.choice(["> ", ">", ">> ", "> > "]) + x for x in rng.sample(old.split("\n"), k=min(2, len(old.split("\n"))))]
+            lines += [f"{rng.choice(['Yes', 'No', 'Well'])} {rng.choice('abcdef')} {rng.randint(0, 30)}" for _ in range(rng.randint(0, 3))]
+            rng.random() < 0.3 and lines.append("> never said")
+            said.append("\n".join(lines))
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), said[-1]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotes.linked(df).withColumnRenamed("conv", "conv_id")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(quotes.OP1_SQL)
+    names = [x[0] for x in found.description]
+    want = sorted(map(repr, (tuple(r[names.index(c)] for c in out.columns) for r in found.fetchall())))
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(map(repr, got)) == want
+    at = {c: i for i, c in enumerate(out.columns)}
+    assert sum(r[at["n_linked"]] > 0 for r in got) > 30 and max(r[at["depth"]] for r in got) > 3 and max(r[at["quote_depth"]] for r in got) > 1
+    text = {(c, t): x for c, t, _, x in rows}
+    for r in got:  # a reply quotes a line or passage that the message it replies to has of its own
+        if r[at["reply_to"]] is not None:
+            own = " ".join(x for x in text[r[at["conv_id"]], r[at["reply_to"]]].lower().split("\n") if not x.startswith(">"))
+            assert any(x.lstrip("> ").lower() in own for x in text[r[at["conv_id"]], r[at["turn"]]].split("\n") if x.startswith(">"))
+
+
 def test_trees_follow_their_labels(spark):
     rows = [(i, f"http://h{i % 9}.{'com/de' if i % 2 else 'com/fr'}/{i}") for i in range(200)] + [(1000 + i, f"http://h{i}.net/{'de' if i % 2 else 'fr'}/{i}") for i in range(40)]
     out = {r.id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
