@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,29 +29,51 @@ def _cut(words: list[dict], most: float) -> list[tuple[list[dict], bool]]:
         gaps = [own[i]["start"] - own[i - 1]["end"] for i in range(1, len(own))]
         at = next((min((abs(i + 1 - len(own) / 2), i + 1) for i, g in enumerate(gaps) if g > p)[1] for p in PAUSES if max(gaps) > p), None)
         force = at is None
-        at = at or len(own) // 2
+        at = at or (len(own) + 1) // 2
         todo += [(own[at:], forced or force), (own[:at], forced or force)]
     return done
 
 
+def _halved(start: float, end: float, words: list[str], most: float, forced: bool = False) -> list[tuple[float, float, list[str], bool]]:
+    """Pieces of a row without word times: halves of its words and of its time, as long as there is something to halve."""
+    if len(words) < 2 or end - start <= most:
+        return [(start, end, words, forced)]
+    middle, half = (start + end) / 2, len(words) // 2
+    return _halved(start, middle, words[:half], most, True) + _halved(middle, end, words[half:], most, True)
+
+
 def split_long(rows: DataFrame, *, most: float = 30.0) -> DataFrame:
-    """rows (recording_id, id, speaker, words) as pieces of at most so many seconds: (recording_id, id, piece, speaker, start_s, end_s, text, words, forced)."""
+    """rows (recording_id, id, speaker, words) as pieces of at most so many seconds: (recording_id, id, piece, speaker, start_s, end_s, text, words, forced).
+
+    A row with fewer than two words that have finite times keeps its own start_s, end_s and text, null where rows have no
+    such columns, and is halved by words and time as long as it is too long. No row is lost.
+    """
+    own = [c if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("start_s", "double"), ("end_s", "double"), ("text", "string"))]
 
     def run(batches):
         for b in batches:
             out = []
             for r in b.itertuples():
-                words = [w if isinstance(w, dict) else w.asDict() for w in r.words]
-                for k, (own, forced) in enumerate(_cut(words, most) if words else []):
-                    out.append((r.recording_id, r.id, k, r.speaker, own[0]["start"], own[-1]["end"], " ".join(w["word"] for w in own), own, forced))
+                words = [w if isinstance(w, dict) else w.asDict() for w in (r.words if r.words is not None else [])]
+                words = [w for w in words if w["start"] is not None and w["end"] is not None and math.isfinite(w["start"]) and math.isfinite(w["end"])]
+                timed = pd.notna(r.start_s) and pd.notna(r.end_s)
+                if len(words) > 1 or words and not timed:
+                    for k, (part, forced) in enumerate(_cut(words, most)):
+                        out.append((r.recording_id, r.id, k, r.speaker, part[0]["start"], part[-1]["end"], " ".join(w["word"] for w in part), part, forced))
+                elif timed and r.text is not None and math.isfinite(r.end_s - r.start_s):
+                    for k, (start, end, part, forced) in enumerate(_halved(r.start_s, r.end_s, r.text.split(), most)):
+                        out.append((r.recording_id, r.id, k, r.speaker, start, end, " ".join(part), words, forced))
+                else:
+                    out.append((r.recording_id, r.id, 0, r.speaker, r.start_s if timed else None, r.end_s if timed else None, r.text, words, False))
             yield pd.DataFrame(out, columns=["recording_id", "id", "piece", "speaker", "start_s", "end_s", "text", "words", "forced"])
 
-    return rows.select("recording_id", "id", "speaker", "words").mapInPandas(run, f"recording_id long, id long, piece int, speaker string, start_s double, end_s double, text string, words {WORDS}, forced boolean")
+    return rows.select("recording_id", "id", "speaker", "words", *own).mapInPandas(run, f"recording_id long, id long, piece int, speaker string, start_s double, end_s double, text string, words {WORDS}, forced boolean")
 
 
-def build(rows: DataFrame, *, least: float = 0.2) -> DataFrame:
+def build(rows: DataFrame, *, least: float = 0.4) -> DataFrame:
     """Rows (recording_id, id, start_s, end_s, text) cleaned: loops trimmed, overlapping repeats and lines without speech dropped, numbered by time, with overlaps flagged."""
-    sound = rows.where("NOT isnan(start_s) AND NOT isnan(end_s) AND end_s > start_s").withColumn("text", tx.trim_loop(F.col("text")))
+    finite = "abs({0}) < double('Infinity')"  # neither null, nor infinite, nor NaN, which is greater than all
+    sound = rows.where(f"{finite.format('start_s')} AND {finite.format('end_s')} AND end_s > start_s").withColumn("text", tx.trim_loop(F.col("text")))
     once = sequence.collapse_repeats(sound, F.lower(tx.collapsed(F.col("text"))))
     kept = once.where(~tx.is_non_speech(F.col("text")) & ~tx.is_made_up(F.col("text")) & (F.col("end_s") - F.col("start_s") >= least))
     order = Window.partitionBy("recording_id").orderBy("start_s", "id")

@@ -50,8 +50,11 @@ def test_voices_taken_once(spark):
 def test_long_rows_are_cut_at_pauses(spark):
     words = [{"word": f"w{i}", "start": i * 1.0 + (0.5 if i >= 6 else 0), "end": i * 1.0 + (0.5 if i >= 6 else 0) + 0.95} for i in range(10)]
     df = spark.createDataFrame([(1, 1, "a", words), (1, 2, "a", [])], f"recording_id long, id long, speaker string, words {segments.WORDS}")
-    got = [(r.piece, r.start_s, r.end_s, r.forced) for r in segments.split_long(df, most=8.0).orderBy("piece").collect()]
-    assert got == [(0, 0.0, 5.95, False), (1, 6.5, 10.45, False)]
+    got = [(r.id, r.piece, r.start_s, r.end_s, r.forced) for r in segments.split_long(df, most=8.0).orderBy("id", "piece").collect()]
+    assert got == [(1, 0, 0.0, 5.95, False), (1, 1, 6.5, 10.45, False), (2, 0, None, None, False)]
+    df = spark.createDataFrame([(1, 3, "a", None, 0.0, 40.0, "a b c"), (1, 4, "a", words[:1], 0.0, 50.0, "w0"), (1, 5, None, None, None, None, None)], f"recording_id long, id long, speaker string, words {segments.WORDS}, start_s double, end_s double, text string")
+    got = [(r.id, r.piece, r.start_s, r.end_s, r.text, r.forced) for r in segments.split_long(df).orderBy("id", "piece").collect()]
+    assert got == [(3, 0, 0.0, 20.0, "a", True), (3, 1, 20.0, 40.0, "b c", True), (4, 0, 0.0, 50.0, "w0", False), (5, 0, None, None, None, False)]
 
 
 def test_rows_are_cut_where_the_speaker_changes(spark):
@@ -63,6 +66,6 @@ def test_rows_are_cut_where_the_speaker_changes(spark):
 
 
 def test_segments_are_cleaned_and_numbered(spark):
-    rows = [(1, 1, 5.0, 6.0, "[music]"), (1, 2, 3.0, 4.5, "hello"), (1, 3, 4.0, 5.0, "hello"), (1, 4, 0.0, 1.0, "first"), (1, 5, 9.0, 8.0, "odd"), (1, 6, 7.0, 7.1, "short")]
+    rows = [(1, 1, 5.0, 6.0, "[music]"), (1, 2, 3.0, 4.5, "hello"), (1, 3, 4.0, 5.0, "hello"), (1, 4, 0.0, 1.0, "first"), (1, 5, 9.0, 8.0, "odd"), (1, 6, 7.0, 7.3, "short"), (1, 7, 10.0, float("inf"), "endless"), (1, 8, float("nan"), 11.0, "nowhere")]
     got = [(r.id, r.text, r.overlap) for r in segments.build(spark.createDataFrame(rows, "recording_id long, id long, start_s double, end_s double, text string")).orderBy("id").collect()]
     assert got == [(0, "first", False), (1, "hello", False)]
