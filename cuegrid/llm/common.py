@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets how many rows go to a Python worker at once, for the session. Documents are long: fewer than Arrow's usual 10,000 keep executors and their workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: a cut of the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
