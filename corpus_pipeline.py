@@ -6,17 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing
-from cuegrid.llm.common import discard, stored
-
-
-def _short_batches(spark: SparkSession) -> None:
-    """Documents are long: a batch of fewer rows than Arrow's usual 10,000 keeps executors and their Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+from cuegrid.llm.common import discard, short_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and those of no sure language go."""
-    _short_batches(spark)
+    short_batches(spark)
     return langid.keep(docs)
 
 
@@ -27,7 +22,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more."""
-    _short_batches(spark)
+    short_batches(spark)
     return minhash.keep(docs)
 
 
@@ -38,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids in place of their texts."""
-    _short_batches(spark)
+    short_batches(spark)
     found = bpe.token_ids(docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text"), id_col="doc")
     return found.select("id.doc_id", "id.lang", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
