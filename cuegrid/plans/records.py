@@ -71,12 +71,6 @@ def spread_plan(spark, d):
     return words.spread(a.spans(spark, d).select("recording_id", "start_s", "end_s"), (F.col("recording_id") % 10) * 0.1)
 
 
-def _items(spark, d, body) -> DataFrame:
-    """One JSON text for each recording, of its first 400 words only, as the SQL of these queries has it; _blocks has all."""
-    rows = spoken(spark, d).where("id <= 400")
-    return rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("id", body.alias("x")))).alias("xs")).withColumn("xs", F.transform("xs", lambda x: x["x"]))
-
-
 #: Words of one JSON text.
 BLOCK_WORDS = 400
 
@@ -96,23 +90,15 @@ def _plain(items: DataFrame) -> DataFrame:
     return items.withColumn("json", F.to_json(F.struct(F.col("xs").alias("words")))).drop("xs")
 
 
-@register("src05_plain_words", f"WITH {WORDS} SELECT recording_id, id - 1 AS pos, word, start_s, least(end_s + (id % 4), start_s + 2.5) AS end_s FROM words WHERE id <= 400 AND regexp_matches(word, '[\\p{{L}}\\p{{N}}]')")
-def plain_words(spark, d):
-    return readers.plain_words(_plain(_items(spark, d, _plain_item())))
-
-
+@register("src05_plain_words", f"WITH {WORDS} SELECT recording_id, id - 1 AS pos, word, start_s, least(end_s + (id % 4), start_s + 2.5) AS end_s FROM words WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]')")
 @register("src05_all_plain_words", f"WITH {WORDS} SELECT recording_id, id - 1 AS pos, word, start_s, least(end_s + (id % 4), start_s + 2.5) AS end_s FROM words WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]')")
 def all_plain_words(spark, d):
     return readers.plain_words(_plain(_blocks(spark, d, _plain_item())))
 
 
-@register("src04_stamped_words", f"""WITH {WORDS}, t AS (SELECT *, CASE WHEN id % 3 <> 0 THEN floor(start_s * 100) / 100 + 0.05::DOUBLE END AS stamp FROM words WHERE id <= 400), n AS (SELECT *, lead(stamp) OVER (PARTITION BY recording_id ORDER BY id) AS later FROM t WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]'))
+@register("src04_stamped_words", f"""WITH {WORDS}, t AS (SELECT *, CASE WHEN id % 3 <> 0 THEN floor(start_s * 100) / 100 + 0.05::DOUBLE END AS stamp FROM words), n AS (SELECT *, lead(stamp) OVER (PARTITION BY recording_id ORDER BY id) AS later FROM t WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]'))
 SELECT recording_id, id - 1 AS pos, word, floor(coalesce(stamp, start_s) * 1000 + 0.5) / 1000 AS start_s, floor(CASE WHEN stamp IS NULL THEN least(end_s, start_s + 2.5) ELSE
   least(coalesce(least(CASE WHEN end_s > stamp THEN end_s END, CASE WHEN later > stamp THEN later END), stamp + 0.3), stamp + 2.5) END * 1000 + 0.5) / 1000 AS end_s FROM n""")
-def stamped_words(spark, d):
-    return _stamped(_items(spark, d, _stamped_item()))
-
-
 @register("src04_all_stamped_words", f"""WITH {WORDS}, t AS (SELECT *, CASE WHEN id % 3 <> 0 THEN floor(start_s * 100) / 100 + 0.05::DOUBLE END AS stamp FROM words), n AS (SELECT *, lead(stamp) OVER (PARTITION BY recording_id ORDER BY id) AS later FROM t WHERE regexp_matches(word, '[\\p{{L}}\\p{{N}}]'))
 SELECT recording_id, id - 1 AS pos, word, floor(coalesce(stamp, start_s) * 1000 + 0.5) / 1000 AS start_s, floor(CASE WHEN stamp IS NULL THEN least(end_s, start_s + 2.5) ELSE
   least(coalesce(least(CASE WHEN end_s > stamp THEN end_s END, CASE WHEN later > stamp THEN later END), stamp + 0.3), stamp + 2.5) END * 1000 + 0.5) / 1000 AS end_s FROM n""")
@@ -195,12 +181,7 @@ def octaves_folded(spark, d):
     return signal.octaves_folded(a.spans(spark, d).select("recording_id", "speaker", hz.cast("double").alias("hz")))
 
 
-@register("udf04_translated", "SELECT conv_id AS recording_id, turn AS id, turn // 4 AS batch, text, upper(text) AS text_tgt FROM conversations WHERE conv_id % 10 = 3 AND regexp_matches(text, '^[ -~\\n]*$')")
-def translated(spark, d):
-    rows = a.table(spark, d, "conversations").where("conv_id % 10 = 3").where(F.col("text").rlike("^[ -~\\n]*$"))
-    return plugins.translated(rows.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("id"), F.floor(F.col("turn") / 4).alias("batch"), "text"))
-
-
+@register("udf04_translated")
 @register("udf04_all_translated")
 def all_translated(spark, d):
     """Every text of every conversation; the query above and its SQL keep a tenth of them."""

@@ -264,11 +264,7 @@ def reference_candidates(spark, d):
     return _candidates(spark, d)
 
 
-@register("top02_picked_references", _CANDIDATES + "SELECT recording_id, speaker, id FROM rk WHERE rank = 1 AND recording_id % 5 <> 0")
-def picked_references(spark, d):
-    return _candidates(spark, d).where("rank = 1 AND recording_id % 5 <> 0").select("recording_id", "speaker", "id")
-
-
+@register("top02_picked_references", _CANDIDATES + "SELECT recording_id, speaker, CASE WHEN recording_id % 5 <> 0 THEN id END AS id FROM rk WHERE rank = 1")
 @register("top02_all_picked_references", _CANDIDATES + "SELECT recording_id, speaker, CASE WHEN recording_id % 5 <> 0 THEN id END AS id FROM rk WHERE rank = 1")
 def all_picked_references(spark, d):
     """Every recording; those divisible by 5 have a choice of off, which gives a row without a segment."""

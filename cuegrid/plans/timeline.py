@@ -203,12 +203,7 @@ def review_chunks(spark, d):
     return sequence.review_chunks(a.spans(spark, d), size=12, overlap=3).select("recording_id", "chunk", "id")
 
 
-@register("win20_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(substr(text, 1, 20)) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
-def context(spark, d):
-    rows = a.dialogue(spark, d).withColumn("text", F.substring("text", 1, 20))
-    return sequence.context_before(rows, rows=3).select("recording_id", "id", F.array_join("context", " | ").alias("context"))
-
-
+@register("win20_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(text) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
 @register("win20_whole_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(text) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
 def whole_context(spark, d):
     """Whole texts of the rows before; the query above and its SQL cut them."""

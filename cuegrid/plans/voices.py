@@ -75,13 +75,8 @@ def usable_token_rates(spark, d):
     return a.table(spark, d, "lineitem").where(voices.usable_token_rate(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") * 20)).select("l_orderkey", "l_linenumber")
 
 
-@register("jon21_side_by_side", "SELECT turn AS pos, string_agg('m' || (conv_id % 3) || ': ' || left(text, 9), ' | ' ORDER BY conv_id % 3) AS texts FROM conversations WHERE conv_id < 3 AND turn IN (SELECT turn FROM conversations WHERE conv_id = 0) GROUP BY 1")
-def side_by_side(spark, d):
-    out = a.table(spark, d, "conversations").where("conv_id < 3").select(F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"), F.col("turn").alias("pos"), F.left("text", F.lit(9)).alias("text"))
-    both = voices.side_by_side(out)
-    return both.select("pos", F.array_join(F.transform("texts", lambda x: F.concat(x["model"], F.lit(": "), x["text"])), " | ").alias("texts"))
-
-
+@register("jon21_side_by_side", """WITH o AS (SELECT conv_id // 3 AS comparison, conv_id % 3 AS m, turn AS pos, text FROM conversations), f AS (SELECT DISTINCT comparison, pos FROM o WHERE m = (SELECT min(m) FROM o x WHERE x.comparison = o.comparison))
+SELECT comparison, pos, string_agg('m' || m || ': ' || text, ' | ' ORDER BY m, text) AS texts FROM f JOIN o USING (comparison, pos) GROUP BY 1, 2""")
 @register("jon21_all_side_by_side", """WITH o AS (SELECT conv_id // 3 AS comparison, conv_id % 3 AS m, turn AS pos, text FROM conversations), f AS (SELECT DISTINCT comparison, pos FROM o WHERE m = (SELECT min(m) FROM o x WHERE x.comparison = o.comparison))
 SELECT comparison, pos, string_agg('m' || m || ': ' || text, ' | ' ORDER BY m, text) AS texts FROM f JOIN o USING (comparison, pos) GROUP BY 1, 2""")
 def all_side_by_side(spark, d):
@@ -284,12 +279,7 @@ def marked_lines(spark, d):
     return rows.select("recording_id", "id", nb.within_length(nb.speech_seconds(F.length("text"), 15.0, 0.26), F.col("available"), 0.15, 0.25).alias("fits"))
 
 
-@register("src15_listed_formats", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, 0) DESC, p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_partkey % 4 <> 0")
-def listed_formats(spark, d):
-    w = Window.partitionBy("p_brand").orderBy(F.desc(F.coalesce("p_size", F.lit(0))), F.desc("p_retailprice"), "p_partkey")
-    return a.table(spark, d, "part").where("p_partkey % 4 <> 0").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank"))
-
-
+@register("src15_listed_formats", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, 0) DESC, p_retailprice DESC, p_partkey) AS rank FROM part")
 @register("src15_all_listed_formats", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_size, 0) DESC, p_retailprice DESC, p_partkey) AS rank FROM part")
 def all_listed_formats(spark, d):
     """Every part; each has a codec of video or of sound, as those of jon22."""
