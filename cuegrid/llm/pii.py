@@ -1,8 +1,9 @@
 """Personal data in texts: rules, and a semi-Markov conditional random field that adds spans which the rules miss.
 
 The rules give the base spans. The field scores whole candidate spans (their digit groups, separators, check digits,
-borders and the word before), and dynamic programming over the tokens of a region, with segments of at most MOST_TOKENS
-tokens, chooses boundaries and types together. It learns from the rules' own spans in a bounded sample, some of them
+borders and the word before) and the step from one span to the next (both kinds, and whether the gap is short), and
+dynamic programming over the tokens of a region, with segments of at most MOST_TOKENS tokens, chooses boundaries and
+types together. It learns from the rules' own spans in a bounded sample, some of them
 rewritten the way people hide them (without the plus, with other separators, with "at" and "dot" spelled out).
 """
 
@@ -35,6 +36,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 FIT_REGIONS = 2000
 #: Bounds of a segment, and of a region's context around what makes it hot.
 MOST_TOKENS, MOST_DIGITS, REACH = 24, 19, 64
+#: Tokens outside between two segments whose gap is short; the weight of a step depends on it.
+NEAR = 4
 #: Regions that one Python worker remembers at most, none longer than MEMO_CHARS.
 REMEMBERED, MEMO_CHARS = 50_000, 400
 _HOT = re.compile(r"[0-9@]+|[\[({] ?(?:at|dot) ?[\])}]|\bdot\b", re.IGNORECASE)
@@ -211,7 +214,7 @@ def _addresses(region: str, tokens: list, words: list[str], number: list[bool],
 
 @dataclass
 class Model:
-    """Weights of (kind, feature)."""
+    """Weights of (kind, feature), and of (kind before, kind, whether the gap between them is short)."""
 
     weights: dict[str, float] = field(default_factory=dict)
 
@@ -219,27 +222,56 @@ class Model:
         k, get = c.kind, self.weights.get
         return sum([get(f"{k}:{f}", 0.0) for f in c.features])
 
+    def steps(self) -> list[list[tuple[float, float]]]:
+        """steps[p][k]: the weights of kind k after kind p (len(KINDS): the region's first), by a short and by a long gap."""
+        return [[tuple(self.weights.get(_step(p, k, far), 0.0) for far in (0, 1)) for k in range(len(KINDS))] for p in range(len(KINDS) + 1)]
 
-def _best(n: int, cands: list[Candidate], scores: list[float]) -> list[Candidate]:
-    """The segmentation of greatest score: each token is outside (0) or in one chosen candidate."""
+
+def _step(before: int, kind: int, far: int) -> str:
+    return f"{before}>{kind}:{far}"
+
+
+def _ends_and_begins(cands: list[Candidate], use: list[int]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
     ends: dict[int, list[int]] = {}
-    for x, c in enumerate(cands):
-        if scores[x] > 0:
-            ends.setdefault(c.last + 1, []).append(x)
-    top, back = [0.0] * (n + 1), [-1] * (n + 1)
-    for t in range(1, n + 1):
-        top[t] = top[t - 1]
-        for x in ends.get(t, ()):
-            s = top[cands[x].first] + scores[x]
-            if s > top[t]:
-                top[t], back[t] = s, x
-    out, t = [], n
-    while t:
-        if back[t] < 0:
-            t -= 1
-        else:
-            out.append(cands[back[t]])
-            t = cands[back[t]].first
+    begins: dict[int, list[int]] = {}
+    for x in use:
+        ends.setdefault(cands[x].last + 1, []).append(x)
+        begins.setdefault(cands[x].first, []).append(x)
+    return ends, begins
+
+
+def _best(n: int, cands: list[Candidate], scores: list[float], steps: list[list[tuple[float, float]]]) -> list[Candidate]:
+    """The segmentation of greatest score: each token is outside (0) or in one chosen candidate, and each chosen candidate adds its step from the one before.
+
+    A candidate whose score cannot make up for the worst change of steps around it is in no best segmentation and is left out.
+    """
+    flat = [w for row in steps for pair in row for w in pair]
+    slack = 2 * max(0.0, max(flat)) - min(0.0, min(flat))
+    use = [x for x in range(len(cands)) if scores[x] + slack > 0]
+    if not use:
+        return []
+    ends, begins = _ends_and_begins(cands, use)
+    top: dict[int, float] = {}
+    back: dict[int, int] = {}
+    far: dict[int, int] = {}  # of each kind the best candidate that ends a long gap ago
+    for t in range(n):
+        for y in ends.get(t - NEAR - 1, ()):
+            k = cands[y].kind
+            if k not in far or top[y] > top[far[k]]:
+                far[k] = y
+        for x in begins.get(t, ()):
+            k = cands[x].kind
+            ways = [(steps[-1][k][0], -1), *[(top[y] + steps[p][k][1], y) for p, y in far.items()]]
+            ways += [(top[y] + steps[cands[y].kind][k][0], y) for e in range(t - NEAR, t + 1) for y in ends.get(e, ())]
+            gain, back[x] = max(ways)
+            top[x] = gain + scores[x]
+    value, x = max((v, x) for x, v in top.items())
+    if value <= 0:
+        return []
+    out = []
+    while x >= 0:
+        out.append(cands[x])
+        x = back[x]
     return out[::-1]
 
 
@@ -249,25 +281,66 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if b > -1e300 else a
 
 
-def _posterior(n: int, cands: list[Candidate], scores: list[float]) -> list[float]:
-    """The probability of each candidate by the semi-Markov forward-backward sums."""
-    ends: dict[int, list[int]] = {}
-    begins: dict[int, list[int]] = {}
-    for x, c in enumerate(cands):
-        ends.setdefault(c.last + 1, []).append(x)
-        begins.setdefault(c.first, []).append(x)
-    go, back = [0.0] * (n + 1), [0.0] * (n + 1)
-    for t in range(1, n + 1):
-        s = go[t - 1]
-        for x in ends.get(t, ()):
-            s = _add(s, go[cands[x].first] + scores[x])
-        go[t] = s
-    for t in range(n - 1, -1, -1):
-        s = back[t + 1]
+def _posterior(n: int, cands: list[Candidate], scores: list[float], steps: list[list[tuple[float, float]]]) -> tuple[list[float], dict[tuple[int, int, int], float]]:
+    """The probability of each candidate, and the expected number of each step (before, kind, far), by the semi-Markov forward-backward sums."""
+    kinds, none = range(len(KINDS)), -math.inf
+    ends, begins = _ends_and_begins(cands, list(range(len(cands))))
+    go, rest = [none] * len(cands), [0.0] * len(cands)
+    sums = [[none] * len(kinds)] * len(cands)
+    far = [none] * len(kinds)
+    for t in range(n):
+        for y in ends.get(t - NEAR - 1, ()):
+            far[cands[y].kind] = _add(far[cands[y].kind], go[y])
         for x in begins.get(t, ()):
-            s = _add(s, back[cands[x].last + 1] + scores[x])
-        back[t] = s
-    return [math.exp(min(0.0, go[c.first] + scores[x] + back[c.last + 1] - go[n])) for x, c in enumerate(cands)]
+            k, sums[x] = cands[x].kind, list(far)
+            s = steps[-1][k][0]
+            for p in kinds:
+                s = _add(s, far[p] + steps[p][k][1])
+            for e in range(t - NEAR, t + 1):
+                for y in ends.get(e, ()):
+                    s = _add(s, go[y] + steps[cands[y].kind][k][0])
+            go[x] = s + scores[x]
+    later = [none] * len(kinds)
+    for t in range(n, 0, -1):
+        for z in begins.get(t + NEAR + 1, ()):
+            later[cands[z].kind] = _add(later[cands[z].kind], scores[z] + rest[z])
+        for x in ends.get(t, ()):
+            k, s = cands[x].kind, 0.0
+            for q in kinds:
+                s = _add(s, later[q] + steps[k][q][1])
+            for b in range(t, t + NEAR + 1):
+                for z in begins.get(b, ()):
+                    s = _add(s, scores[z] + rest[z] + steps[k][cands[z].kind][0])
+            rest[x] = s
+    total = 0.0
+    for s in go:
+        total = _add(total, s)
+    expected: dict[tuple[int, int, int], float] = {}
+
+    def meet(key: tuple[int, int, int], log: float) -> None:
+        expected[key] = expected.get(key, 0.0) + math.exp(min(0.0, log - total))
+
+    for x, c in enumerate(cands):
+        after, k = scores[x] + rest[x], c.kind
+        meet((len(KINDS), k, 0), steps[-1][k][0] + after)
+        for p in kinds:
+            if sums[x][p] > none:
+                meet((p, k, 1), sums[x][p] + steps[p][k][1] + after)
+        for e in range(c.first - NEAR, c.first + 1):
+            for y in ends.get(e, ()):
+                meet((cands[y].kind, k, 0), go[y] + steps[cands[y].kind][k][0] + after)
+    return [math.exp(min(0.0, go[x] + rest[x] - total)) for x in range(len(cands))], expected
+
+
+def _taken(cands: list[Candidate], hit: list[bool]) -> dict[tuple[int, int, int], float]:
+    """How often each step is taken by the candidates that are hit."""
+    out: dict[tuple[int, int, int], float] = {}
+    last = None
+    for c in sorted((c for c, y in zip(cands, hit, strict=True) if y), key=lambda c: c.first):
+        key = (len(KINDS), c.kind, 0) if last is None else (last.kind, c.kind, int(c.first - last.last - 1 > NEAR))
+        out[key] = out.get(key, 0.0) + 1
+        last = c
+    return out
 
 
 def _rewritten(kind: str, text: str, rng: random.Random) -> str:
@@ -338,19 +411,27 @@ def fit(rows: list[str], *, epochs: int = 4, seed: int = 3) -> Model:
             hit = [(c.kind, tokens[c.first][0], tokens[c.last][1]) in gold for c in cands]
             data.append((len(tokens), cands, names, hit))
     rng = random.Random(seed)
+
+    def move(f: str, g: float, start: float) -> None:
+        w = weights.get(f, start)
+        d = g - 1e-4 * w
+        grad[f] = grad.get(f, 1e-4) + d * d
+        weights[f] = w + 0.25 * d / math.sqrt(grad[f])
+
     for _ in range(epochs):
         rng.shuffle(data)
         for n, cands, names, hit in data:
             scores = [sum([weights.get(f, -0.3 if f.endswith(":bias") else 0.0) for f in fs]) for fs in names]
-            for fs, p, y in zip(names, _posterior(n, cands, scores), hit, strict=True):
-                g = y - p
-                if abs(g) < 1e-3:
-                    continue
-                for f in fs:
-                    w = weights.get(f, -0.3 if f.endswith(":bias") else 0.0)
-                    d = g - 1e-4 * w
-                    grad[f] = grad.get(f, 1e-4) + d * d
-                    weights[f] = w + 0.25 * d / math.sqrt(grad[f])
+            chances, steps = _posterior(n, cands, scores, model.steps())
+            for fs, p, y in zip(names, chances, hit, strict=True):
+                if abs(y - p) >= 1e-3:
+                    for f in fs:
+                        move(f, y - p, -0.3 if f.endswith(":bias") else 0.0)
+            taken = _taken(cands, hit)
+            for key in {**steps, **taken}:
+                g = taken.get(key, 0.0) - steps.get(key, 0.0)
+                if abs(g) >= 1e-3:
+                    move(_step(*key), g, 0.0)
     return model
 
 
@@ -358,14 +439,14 @@ class Finder:
     """Spans of texts with one model; regions seen before are remembered."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.steps = model, model.steps()
         self.known: dict[str, list[tuple[int, int, int]]] = {}
 
     def _solved(self, region: str) -> list[tuple[int, int, int]]:
         found = self.known.get(region)
         if found is None:
             tokens, cands = candidates(region)
-            best = _best(len(tokens), cands, [self.model.score(c) for c in cands]) if cands else []
+            best = _best(len(tokens), cands, [self.model.score(c) for c in cands], self.steps) if cands else []
             found = [(c.kind, tokens[c.first][0], tokens[c.last][1]) for c in best]
             if len(region) <= MEMO_CHARS:
                 if len(self.known) >= REMEMBERED:

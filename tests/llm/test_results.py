@@ -154,31 +154,51 @@ def test_personal_data_that_rules_miss():
 
 
 def test_segmentation_is_the_best_of_all():
+    """Best segmentation, chances of candidates and expected steps against all segmentations, one by one."""
     rng = random.Random(8)
-    for _ in range(200):
-        n = rng.randint(1, 7)
-        cands = [pii.Candidate(rng.randrange(4), a, b, ()) for a in range(n) for b in range(a, n) if rng.random() < 0.5]
-        scores = [rng.uniform(-1, 2) for _ in cands]
-
-        def best(t: int, cands=cands, scores=scores, n=n) -> tuple[float, float]:
+    for _ in range(120):
+        n = rng.randint(1, 14)
+        spans = [(a, b) for a in range(n) for b in range(a, min(n, a + 3))]
+        cands = [pii.Candidate(rng.randrange(4), a, b, ()) for a, b in rng.sample(spans, min(len(spans), 9))]
+        scores = [rng.uniform(-1.5, 2) for _ in cands]
+        steps = [[(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(4)] for _ in range(5)]
+
+        def all_of(t: int, chosen: tuple = (), n=n, cands=cands):
             if t >= n:
-                return 0.0, 1.0
-            top, mass = best(t + 1)
-            for c, s in zip(cands, scores, strict=True):
+                yield chosen
+                return
+            yield from all_of(t + 1, chosen)
+            for x, c in enumerate(cands):
                 if c.first == t:
-                    x, m = best(c.last + 1)
-                    top, mass = max(top, x + s), mass + m * math.exp(s)
-            return top, mass
-
-        top, mass = best(0)
-        index = {id(c): s for c, s in zip(cands, scores, strict=True)}
-        assert abs(sum(index[id(c)] for c in pii._best(n, cands, scores)) - top) < 1e-9
-        for c, s, p in zip(cands, scores, pii._posterior(n, cands, scores), strict=True):
-            before = [x for x in zip(cands, scores, strict=True) if x[0].last < c.first]
-            go = [1.0] * (c.first + 1)
-            for t in range(1, c.first + 1):
-                go[t] = go[t - 1] + sum(go[x.first] * math.exp(y) for x, y in before if x.last + 1 == t)
-            assert abs(p - go[c.first] * math.exp(s) * best(c.last + 1)[1] / mass) < 1e-9
+                    yield from all_of(c.last + 1, (*chosen, x))
+
+        def keys(chosen: tuple, cands=cands) -> list[tuple[int, int, int]]:
+            own = [cands[x] for x in chosen]
+            return [(4, own[0].kind, 0), *[(a.kind, b.kind, int(b.first - a.last - 1 > pii.NEAR)) for a, b in zip(own, own[1:], strict=False)]] if own else []
+
+        value = {ch: sum(scores[x] for x in ch) + sum(steps[p][k][far] for p, k, far in keys(ch)) for ch in all_of(0)}
+        best = tuple(cands.index(c) for c in pii._best(n, cands, scores, steps))
+        assert abs(value[best] - max(value.values())) < 1e-9
+        mass = sum(math.exp(v) for v in value.values())
+        chances, expected = pii._posterior(n, cands, scores, steps)
+        for x, p in enumerate(chances):
+            assert abs(p - sum(math.exp(v) for ch, v in value.items() if x in ch) / mass) < 1e-9
+        want: dict = defaultdict(float)
+        for ch, v in value.items():
+            for key in keys(ch):
+                want[key] += math.exp(v) / mass
+        assert all(abs(want[k] - expected.get(k, 0.0)) < 1e-9 for k in {*want, *expected})
+        assert {k: v for k, v in pii._taken(cands, [x in best for x in range(len(cands))]).items()} == {k: keys(best).count(k) for k in keys(best)}
+
+
+def test_steps_between_spans_are_learned():
+    """The kind before tells: the same doubtful number counts after a kind that it follows in the rows learned from."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    model = pii.fit([f"ann{digits(2)}@host.example.com +1 ({digits(3)}) 555-{digits(4)}" for _ in range(200)])
+    email, phone = pii.KINDS.index("email"), pii.KINDS.index("phone")
+    steps = model.steps()
+    assert steps[email][phone][0] > steps[phone][phone][0] and steps[email][phone][0] > steps[phone][email][0]
 
 
 def test_language_of_held_out_documents(spark):
