@@ -288,6 +288,36 @@ def test_links_of_vectors_equal_a_loop(spark):
     assert all(got[i] <= want[i] for i in range(240))
 
 
+def test_links_of_planted_groups(spark):
+    """Tight groups (one ball each), broad ones (several balls, links from ball to ball), chains and equal vectors against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for spread, size in ((0.03, 150), (0.09, 120), (0.16, 120), (0.2, 60), (0.0, 4), (0.05, 2)):
+        base = rng.standard_normal(16)
+        rows += [base + spread * np.linalg.norm(base) / 4 * rng.standard_normal(16) * (spread > 0) for _ in range(size)]
+    a, b = rng.standard_normal((2, 16))
+    rows += [math.cos(t) * a / np.linalg.norm(a) + math.sin(t) * b / np.linalg.norm(b) for t in np.linspace(0, 3, 40)]
+    x = np.array(rows)
+    label = np.arange(len(x)) % 7 == 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    table = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(rows, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.id: r for r in projections.near_duplicates(table.repartition(5)).collect()}
+    degree = near.sum(axis=1) - 1
+    mine = np.array([got[i].n_links for i in range(len(x))])
+    assert (mine <= degree).all() and mine.sum() >= 0.999 * degree.sum()
+    seen = np.arange(len(x))
+    while True:
+        step = np.where(near, seen[None, :], len(x)).min(axis=1)
+        if (step == seen).all():
+            break
+        seen = step
+    assert np.mean([got[i].component_id == seen[i] for i in range(len(x))]) >= 0.99
+    assert all(r.kept == (r.component_id == r.id) for r in got.values())
+
+
 def test_base_scores_equal_counts(spark, docs):
     rows = {r.doc_id: r for r in mixlm.op9_mixlm(spark, SMALL).collect()}
     held = {i: r.held_out for i, r in rows.items()}
