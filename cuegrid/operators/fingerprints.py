@@ -43,3 +43,26 @@ def rows_hash(rows: DataFrame, by: list[str], order: list[str], columns: list[st
 
 def diarization(source: Column, model: str, speakers: int) -> Column:
     return F.concat_ws("|", source, F.lit(model), F.lit(str(speakers)))
+
+
+def input_hash(source: Column, size: Column, modified_ms: Column, content_hash: Column, *, whole: int = 64 << 20) -> Column:
+    """Identity of an input: of an address its text, of a file its content's hash, of one beyond ``whole`` bytes its path, size and time, of one without a size that it is missing."""
+    told = F.concat_ws(":", F.lit("file"), source, size.cast("string"), modified_ms.cast("string"))
+    other = F.when(size.isNull(), F.sha2(F.concat(F.lit("missing:"), source), 256)).when(size <= whole, content_hash).otherwise(F.sha2(told, 256))
+    return F.when(source.rlike("(?i)^https?://"), F.sha2(F.concat(F.lit("url:"), source), 256)).otherwise(other)
+
+
+def config_slices(config: dict) -> dict[str, object]:
+    """The part of a configuration that each stage's output depends on; stage_chain of it tells what to do again."""
+    of = lambda part, *names: {n: config.get(part, {}).get(n) for n in names}
+    tts = config.get("tts", {})
+    clone = tts.get("clone") or {}
+    return {
+        "s1": {"input": config.get("input")},
+        "s2": config.get("asr"),
+        "s3": {"translate": config.get("translate"), **of("alignment", "borrow_silence_ms", "gap_ms")},
+        "s4": config.get("separation"),
+        "s5": {k: v for k, v in tts.items() if k != "clone"},
+        "s6": {"alignment": config.get("alignment"), **of("translate", "chars_per_second"), "clone": {**clone, **{"server": config.get("server", {}).get("host")}} if clone.get("enabled") else None},
+        "s7": {"mix": config.get("mix"), "keep_original_track": config.get("keep_original_track")},
+    }

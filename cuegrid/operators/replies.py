@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions import fixed
+from cuegrid.functions.numbers import places
+from cuegrid.operators.speech import disputed, effective_gender
 
 
 def _first_json(text: str) -> str | None:
@@ -88,3 +90,32 @@ def error_class(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     for part, name in reversed(rules):
         out = F.when(low.contains(part), name).otherwise(out)
     return out
+
+
+def review_lines(rows: DataFrame, genders: DataFrame, *, most: Column) -> DataFrame:
+    """(recording_id, id, speaker, gender, gender_disputed, name, source, text, max_chars, over) of rows with a translation, for a reviewer.
+
+    rows: recording_id, id, speaker, source, text. genders: recording_id, speaker, voice, pitch, told, name; a voice settles
+    the gender and ends a dispute, else pitch and then words tell. ``over`` is by how many characters the text exceeds ``most``.
+    """
+    said = rows.withColumn("text", F.trim("text")).where("text <> ''").join(genders, ["recording_id", "speaker"], "left")
+    pitch, told = (F.coalesce(c, F.lit("unknown")) for c in ("pitch", "told"))
+    return said.select(
+        "recording_id", "id", "speaker", F.coalesce("voice", effective_gender(pitch, told)).alias("gender"), (F.col("voice").isNull() & disputed(pitch, told)).alias("gender_disputed"), F.nullif("name", F.lit("")).alias("name"),
+        F.coalesce("source", F.lit("")).alias("source"), "text", most.alias("max_chars"), F.greatest(F.lit(0), F.length("text") - most).alias("over"),
+    )
+
+
+def phrase_requests(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(recording_id, text, phrases, pauses): rows (recording_id, text) that were spoken in two phrases or more, with the phrases' seconds and the pauses between them."""
+    item = F.struct("phrase", places(F.col("end_s") - F.col("start_s"), 2).alias("seconds"), "pause_after")
+    own = phrases.groupBy("recording_id").agg(F.array_sort(F.collect_list(item)).alias("xs")).where(F.size("xs") > 1)
+    said = rows.select("recording_id", F.trim("text").alias("text")).where("text <> ''").join(own, "recording_id")
+    return said.select("recording_id", "text", F.transform("xs", lambda x: x["seconds"]).alias("phrases"), F.transform(F.slice("xs", 1, F.size("xs") - 1), lambda x: x["pause_after"]).alias("pauses"))
+
+
+def track_selector(quality: Column) -> Column:
+    """Selector of tracks for a quality: sound alone, the best, or no higher than so many lines."""
+    lines = F.regexp_replace(quality, "p", "")
+    limited = F.concat(F.lit("bv*[height<="), lines, F.lit("]+ba/b[height<="), lines, F.lit("]/b"))
+    return F.when(quality == "audio", "ba[ext=m4a]/ba/b").when(quality == "best", "bv*+ba/b").otherwise(limited)

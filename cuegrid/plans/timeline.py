@@ -206,7 +206,7 @@ def review_chunks(spark, d):
 @register("win20_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(text) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
 @register("win20_whole_context", f"""WITH {a.DIALOGUE} SELECT recording_id, id, coalesce(array_to_string(list(text) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM dialogue""")
 def whole_context(spark, d):
-    """Whole texts of the rows before; the query above and its SQL cut them."""
+    """Whole texts of the rows before."""
     return sequence.context_before(a.dialogue(spark, d), rows=3).select("recording_id", "id", F.array_join("context", " | ").alias("context"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as tx
-from cuegrid.functions.numbers import places
-from cuegrid.operators import changes, intervals, replies, segments, voices
-from cuegrid.plans.records import spoken
+from cuegrid.functions.numbers import places, target_chars
+from cuegrid.operators import changes, fingerprints, intervals, replies, segments, voices, words
+from cuegrid.plans.records import WORDS, spoken
 from cuegrid.plans.registry import Registry
 from cuegrid.plans.speech import _GENDER, _PROFILE, _profiles
 from cuegrid.plans.texts import SAID_SQL, said
@@ -292,3 +292,45 @@ def all_listed_formats(spark, d):
 def playlists(spark, d):
     total = F.sum(F.coalesce("o_totalprice", F.lit(0.0)))
     return a.table(spark, d, "orders").groupBy("o_custkey").agg(F.when(total > 0, places(total, 2)).alias("seconds"), F.count(F.lit(1)).alias("entries"))
+
+
+@register("str38_track_selectors", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ba[ext=m4a]/ba/b' WHEN 1 THEN 'bv*+ba/b' ELSE 'bv*[height<=' || (p_partkey % 4) * 360 || ']+ba/b[height<=' || (p_partkey % 4) * 360 || ']/b' END AS selector FROM part""")
+def track_selectors(spark, d):
+    kind = F.col("p_partkey") % 4
+    quality = F.when(kind == 0, "audio").when(kind == 1, "best").otherwise(F.concat((kind * 360).cast("string"), F.lit("p")))
+    return a.table(spark, d, "part").select("p_partkey", replies.track_selector(quality).alias("selector"))
+
+
+@register("hsh04_input_hashes", """WITH f AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/in/' || page_id END AS source, CASE WHEN page_id % 3 > 0 THEN page_id * 1000000 END AS size FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(source, '^[hH][tT][tT][pP][sS]?://') THEN sha256('url:' || source) WHEN size IS NULL THEN sha256('missing:' || source) WHEN size <= 67108864 THEN 'c' || page_id ELSE sha256('file:' || source || ':' || size || ':' || page_id * 7) END AS hash FROM f""")
+def input_hashes(spark, d):
+    key = F.col("page_id")
+    source = F.when(key % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/in/"), key.cast("string")))
+    size = F.when(key % 3 > 0, key * 1000000)
+    return a.table(spark, d, "pages").select("page_id", fingerprints.input_hash(source, size, key * 7, F.concat(F.lit("c"), key.cast("string"))).alias("hash"))
+
+
+@register("str27_phrase_requests", f"""WITH {WORDS}, b AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER w >= 0.3 OR lag(end_s) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM words WINDOW w AS (PARTITION BY recording_id ORDER BY id)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY recording_id ORDER BY id) AS phrase FROM b), g AS (SELECT recording_id, phrase, min(start_s) AS s, arg_max(end_s, id) AS e FROM r GROUP BY 1, 2),
+p AS (SELECT *, lead(s) OVER (PARTITION BY recording_id ORDER BY phrase) - e AS gap FROM g),
+t AS (SELECT conv_id AS recording_id, trim(arg_min(text, turn)) AS text FROM conversations GROUP BY 1)
+SELECT recording_id, text, string_agg(floor((e - s) * 100 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY phrase) AS phrases, string_agg(floor(gap * 1000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY phrase) AS pauses FROM p JOIN t USING (recording_id) WHERE text <> '' GROUP BY 1, 2 HAVING count(*) > 1""")
+def phrase_requests(spark, d):
+    """Lists as texts of hundredths and thousandths of a second."""
+    first = a.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("recording_id")).agg(F.min_by("text", "turn").alias("text"))
+    out = replies.phrase_requests(first, words.phrases(spoken(spark, d)))
+    whole = lambda c, n: F.array_join(F.transform(c, lambda x: F.round(x * n).cast("long").cast("string")), ",")
+    return out.select("recording_id", "text", whole("phrases", 100).alias("phrases"), whole("pauses", 1000).alias("pauses"))
+
+
+@register("str29_review_lines", f"""WITH {a.DIALOGUE}, g AS (SELECT DISTINCT recording_id, speaker, CASE WHEN recording_id % 5 = 0 THEN 'f' END AS voice, CASE recording_id % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'f' ELSE 'unknown' END AS pitch, CASE recording_id % 2 WHEN 0 THEN 'm' ELSE 'unknown' END AS told FROM dialogue),
+l AS (SELECT recording_id, id, speaker, trim(text) AS text, coalesce(voice, CASE WHEN pitch <> 'unknown' THEN pitch ELSE told END) AS gender, voice IS NULL AND pitch <> 'unknown' AND told <> 'unknown' AND pitch <> told AS gender_disputed,
+  greatest(1, floor(greatest(0, slot * 0.8::DOUBLE - 0.26::DOUBLE) * 15::DOUBLE + 0.5))::BIGINT AS max_chars FROM dialogue JOIN g USING (recording_id, speaker) WHERE trim(text) <> '')
+SELECT *, greatest(0, length(text) - max_chars)::BIGINT AS over FROM l""")
+def review_lines(spark, d):
+    rows, key = a.dialogue(spark, d), F.col("recording_id")
+    told = rows.select("recording_id", "speaker").distinct().select(
+        "recording_id", "speaker", F.when(key % 5 == 0, "f").alias("voice"), F.when(key % 3 == 0, "m").when(key % 3 == 1, "f").otherwise("unknown").alias("pitch"), F.when(key % 2 == 0, "m").otherwise("unknown").alias("told"), F.lit(None).cast("string").alias("name")
+    )
+    out = replies.review_lines(rows.withColumn("source", F.col("text")), told, most=target_chars(F.col("slot") * 0.8, 15.0, 0.0, 0.26))
+    return out.select("recording_id", "id", "speaker", "text", "gender", "gender_disputed", F.col("max_chars").cast("long").alias("max_chars"), F.col("over").cast("long").alias("over"))

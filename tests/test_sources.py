@@ -109,3 +109,11 @@ def test_profiles_of_tones(spark):
     assert got["a"].gender == "m" and abs(got["a"].f0 - 120) < 3
     assert got["b"].gender == "f" and abs(got["b"].f0 - 240) < 5
     assert "c" not in got
+
+
+def test_a_stage_depends_on_its_part_of_the_configuration():
+    base = {"input": "x", "asr": {"model": "a"}, "translate": {"chars_per_second": 15}, "alignment": {"gap_ms": 80, "borrow_silence_ms": 400, "max_tempo": 1.2}, "tts": {"voice": "v", "clone": {"enabled": False, "steps": 4}}, "mix": {"db": -12}}
+    changed = lambda part, **new: {k for k, v in fingerprints.config_slices({**base, part: {**base[part], **new}}).items() if v != fingerprints.config_slices(base)[k]}
+    assert changed("alignment", max_tempo=1.3) == {"s6"} and changed("alignment", gap_ms=90) == {"s3", "s6"}
+    assert changed("tts", clone={"enabled": True}) == {"s6"} and changed("tts", clone={"enabled": False, "steps": 8}) == set()
+    assert changed("translate", chars_per_second=16) == {"s3", "s6"} and changed("mix", db=-9) == {"s7"}
