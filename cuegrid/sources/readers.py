@@ -22,6 +22,21 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEGMENT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+
+
+def folder_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, bytes) of each folder right under root, with all that lies below it; contents are not read, files that vanish count for nothing. Spark lists no empty files, so a folder of nothing else has no row."""
+    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    return _files(spark, root).select(below.alias("below"), "length").where("below LIKE '%/%'").groupBy(F.substring_index("below", "/", 1).alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
+def file_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, hash) of files by content, empty ones left out; Spark reads a file of at most 2 GB whole, so larger ones take ``fingerprints.input_hash``."""
+    return _files(spark, root).select("path", F.sha2("content", 256).alias("hash"))
+
+
 def _numbered(files: DataFrame, items: Column) -> DataFrame:
     """Items with their places; where a recording is in several files, ``first`` is the place of a file's first item."""
     rows = files.select("recording_id", *(["first"] if "first" in files.columns else []), F.posexplode(items).alias("pos", "x"))

@@ -117,3 +117,15 @@ def test_a_stage_depends_on_its_part_of_the_configuration():
     assert changed("alignment", max_tempo=1.3) == {"s6"} and changed("alignment", gap_ms=90) == {"s3", "s6"}
     assert changed("tts", clone={"enabled": True}) == {"s6"} and changed("tts", clone={"enabled": False, "steps": 8}) == set()
     assert changed("translate", chars_per_second=16) == {"s3", "s6"} and changed("mix", db=-9) == {"s7"}
+
+
+def test_sizes_and_hashes_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "b").mkdir()
+    for name, body in (("a/x.json", b"12345"), ("a/deep/y.bin", b"123"), ("b/z", b""), ("top", b"1")):
+        (tmp_path / name).write_bytes(body)
+    assert {r.folder: r.bytes for r in readers.folder_sizes(spark, str(tmp_path)).collect()} == {"a": 8}
+    got = {r.path.rsplit("/", 1)[1]: r.hash for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert got["y.bin"] == hashlib.sha256(b"123").hexdigest() and len(got) == 3
