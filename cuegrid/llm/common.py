@@ -50,6 +50,7 @@ def discard(*tables: DataFrame) -> None:
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if its counted values are few bytes; else Spark shuffles it as usual."""
     wide = [F.coalesce(F.octet_length(c.name), F.lit(0)) for c in df.schema if c.dataType.typeName() in ("string", "binary")]
+    wide += [F.greatest(F.size(c.name), F.lit(0)) * 48 for c in df.schema if c.dataType.typeName() == "array"]
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(wide, F.lit(0))), F.lit(0)).alias("bytes")).first()
     return F.broadcast(df) if 16 * len(df.columns) * row.n + row.bytes <= BROADCAST_BYTES else df
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing, mixlm, pii, projections, quotes, urls
+from cuegrid.llm import bpe, exact_dedup, filter_audit, langid, lexical, minhash, mixing, mixlm, pii, projections, quotes, urls, winnowing
 
 
 def queries() -> dict:
@@ -17,9 +17,19 @@ def queries() -> dict:
         "op8_minhash": minhash.op8_minhash,
         "op9_mixlm": mixlm.op9_mixlm,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_lexical": lexical.op11_lexical,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_winnowing": winnowing.op13_winnowing,
     }
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotes": quotes.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {
+        "op1_quotes": quotes.OP1_SQL,
+        "op3_mixing": mixing.OP3_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op11_lexical": lexical.OP11_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_winnowing": winnowing.OP13_SQL,
+    }

@@ -14,6 +14,10 @@ import pyarrow as pa
 PIECE_BYTES = 4 << 20
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words of ASCII letters and digits and of all other characters beyond ASCII.
+SIGNS = np.zeros(256, bool)
+SIGNS[:128] = True
+SIGNS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -70,16 +74,16 @@ def _lengths(col: pa.Array) -> np.ndarray:
 
 
 class Words:
-    """The words of a column of texts: ``data`` the lower-cased bytes, ``starts`` and ``ends`` of each word, ``row`` of each word, ``first`` word of each row (and the end)."""
+    """The words of a column of texts, runs of bytes that are not ``between`` words: ``data`` the lower-cased bytes, ``starts`` and ``ends`` of each word, ``row`` of each word, ``first`` word of each row (and the end)."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, between: np.ndarray = _WS):
         n = _lengths(col)
         raw = np.frombuffer(col.cast(pa.large_string()).fill_null("").buffers()[2] or b"", np.uint8) if len(col) else np.zeros(0, np.uint8)
         if len(raw) != n.sum():  # a slice shares its parent's buffer
             raw = np.frombuffer("".join(x or "" for x in col.to_pylist()).encode(), np.uint8)
         self.data = _LOWER[raw]
         begins = np.concatenate(([0], np.cumsum(n)))
-        word = ~_WS[raw]
+        word = ~between[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[begins] = True
         prev = np.concatenate(([False], word[:-1])) if len(raw) else word
