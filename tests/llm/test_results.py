@@ -429,9 +429,23 @@ def test_known_words_are_scored_in_their_context(spark):
 
 def _small_model(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = mixlm.word_counts(rows.withColumn("learn", F.lit(True))).cache()
-    own, bits = mixlm.word_trees(counts), [18] * 5
-    return rows, counts, mixlm.fresh(own, bits, mixlm.tables(counts, rows, 2, own, bits))
+    topics = mixlm.learnt_topics(rows)
+    counts = mixlm.word_counts(rows.withColumn("learn", F.lit(True)), topics).cache()
+    own, bits = mixlm.word_trees(counts), [18] * 6
+    return rows, counts, mixlm.fresh(topics, own, bits, mixlm.tables(counts, rows, 2, topics, own, bits))
+
+
+def _topic(topics, before):
+    """The topic after some words, word by word; the number of kinds where there is none."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not before:
+        return len(topics.prior)
+    said = topics.prior.copy()
+    for w in before:
+        said = said + topics.logs[int(mixlm.Words(pa.array([w.decode()])).hashes()[0]) % mixlm.TOPIC_FEATURES]
+    return int(np.argmax(np.round(said, 6)))
 
 
 def _paths(model, word):
@@ -456,29 +470,31 @@ def test_scores_equal_a_loop_over_bits(spark):
     seen: dict = defaultdict(lambda: [0, 0])
 
     def steps(text):
-        short = before = None
+        before, earlier = None, []
         for w in [*text.encode().split(), b""]:
+            topic = _topic(model.topics, earlier)
             for so_far, depth, place, bit in _paths(model, w):
                 padded = b"\0" * 3 + b" " + so_far
                 node = (place, depth)
-                keys = [("last2", padded[-2:], node), ("last4", padded[-4:], node), ("word", so_far, node), *[(k, w_, so_far, node) if len(so_far) < mixlm.HEAD else None for k, w_ in (("short", short), ("before", before))]]
+                keys = [("last2", padded[-2:], node), ("last4", padded[-4:], node), ("kind", topic, padded[-3:], node), ("word", so_far, node), ("topic", topic, so_far, node), ("before", before, so_far, node) if len(so_far) < mixlm.HEAD else None]
                 yield keys, depth, bit
-            before, short = w, w if len(w) <= mixlm.SHORT else short
+            before = w
+            earlier.append(w)
 
     for t in texts:
         for keys, _, bit in steps(t):
             for k in keys:
                 seen[k][bit] += k is not None
     learner = mixlm.Learner(model)
-    learner.learn(mixlm.Part(pa.array(texts)))
+    learner.learn(mixlm.Part(pa.array(texts), model.topics))
     model = mixlm.merged(model, learner.sums())
     probe = [*texts[:8], "the unseen cat", "", "zzz of of"]
-    got = mixlm.Scorer(mixlm.for_scoring(model)).scores(mixlm.Part(pa.array(probe)), len(probe))
+    got = mixlm.Scorer(mixlm.for_scoring(model)).scores(mixlm.Part(pa.array(probe), model.topics), len(probe))
     for t, have in zip(probe, got, strict=True):
         want = 0.0
         for keys, depth, bit in steps(t):
             pairs = [int(mixlm.coded(np.array(seen[k][0]))) * 256 + int(mixlm.coded(np.array(seen[k][1]))) if k in seen and k else 0 for k in keys]
-            chosen = 3 * (pairs[2] != 0) + (2 if pairs[4] else int(pairs[3] != 0))
+            chosen = 4 * (pairs[3] != 0) + 2 * (pairs[4] != 0) + (pairs[5] != 0)
             place = chosen * 8 + min(depth, 7)
             mixed = model.bias[place]
             for o, p in enumerate(pairs):
@@ -506,13 +522,14 @@ def test_counts_are_whole(spark, monkeypatch):
         parts = list(mixlm.shares(w, 1 << 20))
         assert sum(parts, np.zeros(len(w), np.int64)).tolist() == w.tolist() and all(p.sum() <= 1 << 20 for p in parts)
     rows, counts, model = _small_model(spark, ["a b a", "b " * 500, "c a b"])
-    many = counts.withColumn("trained", F.when(F.col("token") == F.lit(b"a"), F.lit(6_000_000_000)).otherwise(F.col("trained")))
+    topic = counts.where(F.col("token") == F.lit(b"a")).agg(F.min("topic")).first()[0]
+    many = counts.withColumn("trained", F.when(F.col("token") == F.lit(b"a"), F.when(F.col("topic") == topic, F.lit(6_000_000_000)).otherwise(0)).otherwise(F.col("trained")))
     bits = model.bits
-    word = mixlm.tables(many, rows, 2, model.trees, bits)[2]
+    word = mixlm.tables(many, rows, 2, model.topics, model.trees, bits)[3]
     assert max(int(x) for x in mixlm.coded(np.array([6_000_000_000]))) in {*(word >> 8).tolist(), *(word & 255).tolist()}
     monkeypatch.setitem(mixlm.FULL, 2, 3)
-    early = mixlm.tables(counts, rows, 2, model.trees, bits)
-    assert all(np.array_equal(x, y) for x, y in zip(early, model.tables, strict=True)) and early[3].any()
+    early = mixlm.tables(counts, rows, 2, model.topics, model.trees, bits)
+    assert all(np.array_equal(x, y) for x, y in zip(early, model.tables, strict=True)) and early[5].any()
 
 
 def test_weights_of_several_tasks_are_near_those_of_one(spark):
@@ -524,11 +541,41 @@ def test_weights_of_several_tasks_are_near_those_of_one(spark):
     texts = [f"w{i} x{i % 7} of the w{i % 11}" for i in range(3000)]
     rows, _, model = _small_model(spark, texts)
     one = mixlm.Learner(copy.deepcopy(model))
-    one.learn(mixlm.Part(pa.array(texts)))
-    several = mixlm.fitted(rows, 4, model)
+    one.learn(mixlm.Part(pa.array(texts), model.topics))
+    several = mixlm.fitted(rows, 4, model)  # four learners
     assert one.mass.sum() > 3000 * 5 and abs(several.weights - one.model.weights).mean() < 0.1
 
 
+def test_scores_do_not_depend_on_the_split(spark):
+    rows = [(i, f"the w{i % 9} and der x{i % 5} " * (1 + i % 4), i % 5 > 0) for i in range(300)] + [(900, None, True), (901, "", False)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    one, seven = ({r.id: r for r in mixlm.scored(table.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys()
+    assert all(abs(one[i].score - seven[i].score) < 1e-6 and abs(one[i].base_score - seven[i].base_score) < 1e-9 for i in one)
+
+
+def test_topics_follow_the_words(spark):
+    """Two kinds of texts without a word in common: from its first words a text has the topic of its kind."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([f"{'ab'[i % 2]}{k}" for k in range(40)]) for _ in range(30)) for i in range(200)]
+    topics = mixlm.learnt_topics(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))
+    words = mixlm.Words(pa.array(texts))
+    now, last = topics.running(words.hashes(), words.first)
+    kinds = [set(last[k::2].tolist()) for k in (0, 1)]
+    assert kinds[0].isdisjoint(kinds[1]) and set(now[words.first[:-1]].tolist()) == {len(topics.prior)}
+    second = now[words.first[:-1] + 3]
+    assert all(second[i] in kinds[i % 2] for i in range(200))
+
+
+def test_own_occurrences_are_taken_out():
+    import numpy as np
+
+    pairs = np.array([3 << 8 | 2, 0 << 8 | 1, 200 << 8 | 5, 15 << 8 | 15])
+    assert mixlm.without(pairs, np.array([1, 1, 0, 0]), np.array([1, 1, 3, 20])).tolist() == [3 << 8 | 1, 0, 200 << 8 | 5, 15]
+
+
 def test_one_url_many_times_leaves_both_verdicts(spark, monkeypatch):
     """The URL of least hash fills a sample that counts repeats; suffixes outside the sample have their counts too."""
     from pyspark.sql import functions as F
