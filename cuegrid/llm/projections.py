@@ -137,7 +137,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     all, which one-dimensional windows alone do not.
 
     A null label, id or vector, a zero vector and one with null or non-finite components link with nothing: 0 links,
-    their own component, kept. Vectors of different lengths are not compared. Repeated ids are rows of their own.
+    their own component, kept; all finite others count, however large or small. Vectors of different lengths are not compared. Repeated ids are rows of their own.
     An empty table gives none. Only the three named columns are read.
     """
     reach = math.sqrt(2 * (1 - threshold))
@@ -145,7 +145,11 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = stored(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label_key"), v.alias("v")))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    sound = rows.where("label_key is not null and id is not null and v is not null").withColumn("square", square).where("square > 0 and square < double('Infinity')")
+    largest = F.array_max(F.transform("v", F.abs))
+    sound = rows.where("label_key is not null and id is not null and forall(v, x -> x is not null)").withColumn("largest", largest).where("largest > 0 and largest < double('Infinity')")
+    # Squares of very large or small components leave the range of doubles: these vectors are divided by their largest component.
+    scaled = F.when(F.col("largest").between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / F.col("largest")))
+    sound = sound.withColumn("v", scaled).withColumn("square", square)
     sound = sound.withColumn("unit", F.transform("v", lambda x: x / F.sqrt(F.col("square")))).where("exists(unit, x -> x <> 0)")
     nodes = stored(sound.groupBy("label_key", "unit").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     places = stored(_projected(nodes.select("node", F.xxhash64("label_key").alias("label_hash"), "unit"), reach, seed))

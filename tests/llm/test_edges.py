@@ -107,3 +107,10 @@ def test_vectors_that_share_an_id(spark):
     assert sorted((r.id, r.n_links, r.component_id) for r in out) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
     named = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b")], "vec_id long, embedding array<double>, label string")
     assert sorted((r.id, r.n_links) for r in projections.near_duplicates(named).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_vectors_of_any_size(spark):
+    """Vectors whose squares leave the range of doubles link by their angle like others."""
+    rows = [(1, [1e160, 0.0], 1), (2, [1e160, 1e158], 1), (3, [1e-170, 0.0], 1), (4, [5e-324, 0.0], 1), (5, [0.0, 1e300], 1), (6, [0.0, 2.0], 1), (7, [0.0, 0.0], 1), (8, [float("inf"), 1.0], 1)]
+    out = {r.id: (r.n_links, r.component_id) for r in projections.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}

@@ -587,3 +587,17 @@ def test_one_url_many_times_leaves_both_verdicts(spark, monkeypatch):
     out = {r.id: r for r in urls.judged(spark.createDataFrame(list(enumerate(every)), "page_id long, url string")).collect()}
     assert len(out) == len(every) and {0.0, 1.0}.isdisjoint({out[i].score for i in range(120, 140)})
     assert urls._quotas({"allow": 1000, "block": 1}, 40) == {"allow": 39, "block": 1} and urls._quotas({"allow": 30, "block": 9}, 40) == {"allow": 30, "block": 9}
+
+
+def test_exact_sql_deletes_all_space(spark, tmp_path):
+    """The six kinds of space within texts: one class, in SQL and in the operator."""
+    import duckdb
+
+    rows = [(i, f"a{c}b") for i, c in enumerate(" \t\n\x0b\f\r")] + [(9, "a-b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: tuple(r) for r in con.execute(f"SELECT doc_id, keep_id, group_size, kept FROM ({exact_dedup.OP10_SQL})").fetchall()}
+    got = {r.id: (r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.classes(table).collect()}
+    assert got == want and want[0][2] == 6
