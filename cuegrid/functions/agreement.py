@@ -57,8 +57,12 @@ def flip(word: str, to: str) -> str | None:
 
 
 def agreed(text: str, pronoun: str, to: str) -> str:
-    """text with the predicates of a pronoun in its gender: the first telling word of three, those joined to it, and stressing words, up to another subject or the sentence's end."""
-    out, at = [], 0
+    return agreed_with_fixes(text, pronoun, to)[0]
+
+
+def agreed_with_fixes(text: str, pronoun: str, to: str) -> tuple[str, list[tuple[str, str]]]:
+    """(text, fixes): the words that were replaced, as pairs; text with the predicates of a pronoun in its gender: the first telling word of three, those joined to it, and stressing words, up to another subject or the sentence's end."""
+    out, at, fixes = [], 0, []
     for sentence in re.finditer(r"[^.!?;…]+", text):
         words = list(re.finditer(r"[а-яёА-ЯЁ]+", sentence[0]))
         low = [w[0].lower() for w in words]
@@ -81,9 +85,44 @@ def agreed(text: str, pronoun: str, to: str) -> str:
             change |= {i for i in range(last + 1, stop) if low[i] in STRESS}
         for i in sorted(change):
             a, b = sentence.start() + words[i].start(), sentence.start() + words[i].end()
-            out += [text[at:a], flip(text[a:b], to) or text[a:b]]
+            new = flip(text[a:b], to)
+            fixes += [(text[a:b], new)] if new else []
+            out += [text[at:a], new or text[a:b]]
             at = b
-    return "".join([*out, text[at:]])
+    return "".join([*out, text[at:]]), fixes
+
+
+def replayed(text: str, fixes: list[tuple[str, str]]) -> str:
+    """text with each fix's first whole word replaced, one fix after another."""
+    for old, new in fixes:
+        text = re.sub(f"(?<![а-яёА-ЯЁ]){re.escape(old)}(?![а-яёА-ЯЁ])", lambda _, w=new: w, text, count=1)
+    return text
+
+
+FIXES = "array<struct<old:string,new:string>>"
+
+
+def agree_with_fixes(text: Column, pronoun: str, gender: Column) -> Column:
+    """(text, fixes): agree() with the list of replaced words."""
+
+    @F.pandas_udf(f"text string, fixes {FIXES}")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, genders in batches:
+            told = [agreed_with_fixes(t, pronoun, g) if isinstance(t, str) and g in ("m", "f") else (t, []) for t, g in zip(texts, genders, strict=True)]
+            yield pd.DataFrame({"text": [t for t, _ in told], "fixes": [[{"old": a, "new": b} for a, b in f] for _, f in told]})
+
+    return run(text, gender)
+
+
+def replay(texts: Column, fixes: Column) -> Column:
+    """A list of texts with the fixes replayed on each of them."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for lists, changes in batches:
+            yield pd.Series([None if xs is None else [replayed(x, [(f["old"], f["new"]) for f in fs]) if isinstance(x, str) else None for x in xs] for xs, fs in zip(lists, changes, strict=True)])
+
+    return run(texts, fixes)
 
 
 def agree(text: Column, pronoun: str, gender: Column) -> Column:

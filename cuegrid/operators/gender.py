@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuegrid.functions import agreement
 from cuegrid.functions import text as tx
 from cuegrid.operators.intervals import overlap_join
 
@@ -41,3 +42,33 @@ def by_text(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     verdict = F.when((male >= 2) & (female == 0), "m").when((female >= 2) & (male == 0), "f").otherwise("unknown")
     by = votes.groupBy("recording_id", F.col("who").alias("speaker")).agg(verdict.alias("verdict"), F.count_if(F.col("pronoun") == SELF).alias("self"), F.count_if(F.col("pronoun") == ADDRESS).alias("address"))
     return by.withColumnRenamed("verdict", "gender")
+
+
+def agreed_with_voices(rows: DataFrame, genders: DataFrame, names: dict[str, str], *, scene: float = 8.0) -> DataFrame:
+    """(recording_id, id, before, after, fixes, phrases) of rows (recording_id, id, start_s, end_s, speaker, text, phrases) whose words change.
+
+    What a speaker says of themselves follows the gender (m or f) of their own voice in genders (recording_id, speaker,
+    gender); what is said to another follows the voice of the one addressed, where the text tells anything of that
+    person. The same replacements are replayed on the row's phrases. A speaker without a known gender changes nothing.
+    """
+    key = ["recording_id", "id"]
+    voice = genders.where("gender IN ('m', 'f')").select("recording_id", F.col("speaker").alias("who"), "gender")
+    to = addressees(rows, names, scene=scene)
+    mine, theirs = voice.select("recording_id", F.col("who").alias("speaker"), F.col("gender").alias("own")), voice.select("recording_id", F.col("who").alias("addressee"), F.col("gender").alias("their"))
+    told = rows.where("text <> ''").select(*key, "speaker", "text", "phrases").join(to, key).join(mine, ["recording_id", "speaker"], "left").join(theirs, ["recording_id", "addressee"], "left")
+    first = told.withColumn("self", agreement.agree_with_fixes(F.col("text"), SELF, F.col("own")))
+    said = F.when(F.size(tx.gender_hits(F.col("self.text"), ADDRESS)) > 0, F.col("their"))
+    both = first.withColumn("other", agreement.agree_with_fixes(F.col("self.text"), ADDRESS, said)).withColumn("fixes", F.concat("self.fixes", "other.fixes")).where(F.size("fixes") > 0)
+    return both.select(*key, F.col("text").alias("before"), F.col("other.text").alias("after"), "fixes", agreement.replay(F.col("phrases"), F.col("fixes")).alias("phrases"))
+
+
+def with_agreement(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """rows with the texts and phrases of agreed_with_voices, and ``agreed``: whether the row changed."""
+    new = log.select("recording_id", "id", F.col("after").alias("_text"), F.col("phrases").alias("_phrases"))
+    out = rows.join(new, ["recording_id", "id"], "left").withColumn("agreed", F.col("_text").isNotNull())
+    return out.withColumn("text", F.coalesce("_text", "text")).withColumn("phrases", F.coalesce("_phrases", "phrases")).drop("_text", "_phrases")
+
+
+def agreement_warnings(log: DataFrame) -> DataFrame:
+    """(recording_id, changed, ids): how many rows of a recording were changed and which."""
+    return log.groupBy("recording_id").agg(F.count(F.lit(1)).alias("changed"), F.array_sort(F.collect_list("id")).alias("ids"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.functions import fixed
-from cuegrid.functions.numbers import places
+from cuegrid.functions.numbers import bounded_target_chars, places
+from cuegrid.operators.sequence import scene_batches
 from cuegrid.operators.speech import disputed, effective_gender
 
 
@@ -48,11 +49,26 @@ def translations(replies: DataFrame, expected: DataFrame) -> DataFrame:
     return last.join(expected.select("recording_id", "id").distinct(), ["recording_id", "id"], "left_semi")
 
 
-def batch_requests(rows: DataFrame, size: int = 20) -> DataFrame:
-    """(recording_id, batch, request): one JSON line for each row; a batch has at most ``size`` of them."""
-    line = F.to_json(F.struct("id", F.round("slot", 2).alias("slot"), "text"))
-    lines = rows.groupBy("recording_id", F.floor(F.col("id") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("xs"))
-    return lines.select("recording_id", "batch", F.array_join(F.transform("xs", lambda x: x["l"]), "\n").alias("request"))
+def _number(x: Column) -> Column:
+    """A number as JSON has it: no fraction where it is whole."""
+    return F.regexp_replace(x.cast("string"), "\\.0$", "")
+
+
+def batch_requests(rows: DataFrame, genders: DataFrame, *, size: int, rate: float, cap: float, overhead: float = 0.0, fill: bool = True, lead: str = "Translate the lines. One on each line:") -> DataFrame:
+    """(recording_id, batch, request): after a lead a JSON line for each row (recording_id, id, start_s, end_s, speaker, room, text).
+
+    A line has the id, the room in seconds, the characters to reach (``fill``) or not to pass, bounded by the text's own
+    length, the speaker where genders (recording_id, speaker, gender) say m or f, and the text. Batches end at changes of
+    scene and at ``size`` rows, so a request is short.
+    """
+    told = rows.join(genders.where("gender IN ('m', 'f')").select("recording_id", "speaker", "gender"), ["recording_id", "speaker"], "left")
+    chars = bounded_target_chars(F.length("text"), F.col("room"), rate, cap, overhead)
+    who = F.when(F.col("gender") == "m", ',"speaker":"male"').when(F.col("gender") == "f", ',"speaker":"female"').otherwise("")
+    body = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))  # {"text":"..."}
+    quoted = F.substring(body, F.lit(9), F.length(body) - 9)
+    line = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"slot_seconds":'), _number(places(F.col("room"), 2)), F.lit(',"target_chars":' if fill else ',"max_chars":'), chars.cast("long").cast("string"), who, F.lit(',"text":'), quoted, F.lit("}"))
+    lines = scene_batches(told, size=size).groupBy("recording_id", "batch").agg(F.array_sort(F.collect_list(F.struct("start_s", "id", line.alias("l")))).alias("xs"))
+    return lines.select("recording_id", "batch", F.concat(F.lit(lead + "\n"), F.array_join(F.transform("xs", lambda x: x["l"]), "\n")).alias("request"))
 
 
 def glossary_text(glossary: Column) -> Column:
@@ -107,11 +123,12 @@ def review_lines(rows: DataFrame, genders: DataFrame, *, most: Column) -> DataFr
 
 
 def phrase_requests(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(recording_id, text, phrases, pauses): rows (recording_id, text) that were spoken in two phrases or more, with the phrases' seconds and the pauses between them."""
+    """(recording_id, id, text, phrases, pauses): rows (recording_id, id, text) whose own words (phrases by recording and id) were spoken in two phrases or more, with the phrases' seconds and the pauses between them."""
+    key = ["recording_id", "id"]
     item = F.struct("phrase", places(F.col("end_s") - F.col("start_s"), 2).alias("seconds"), "pause_after")
-    own = phrases.groupBy("recording_id").agg(F.array_sort(F.collect_list(item)).alias("xs")).where(F.size("xs") > 1)
-    said = rows.select("recording_id", F.trim("text").alias("text")).where("text <> ''").join(own, "recording_id")
-    return said.select("recording_id", "text", F.transform("xs", lambda x: x["seconds"]).alias("phrases"), F.transform(F.slice("xs", 1, F.size("xs") - 1), lambda x: x["pause_after"]).alias("pauses"))
+    own = phrases.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("xs")).where(F.size("xs") > 1)
+    said = rows.select(*key, F.trim("text").alias("text")).where("text <> ''").join(own, key)
+    return said.select(*key, "text", F.transform("xs", lambda x: x["seconds"]).alias("phrases"), F.transform(F.slice("xs", 1, F.size("xs") - 1), lambda x: x["pause_after"]).alias("pauses"))
 
 
 def track_selector(quality: Column) -> Column:

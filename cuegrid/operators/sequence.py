@@ -22,6 +22,25 @@ def so_far(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+#: Results of a fold that are copied at each step, at most; the rest stands in full lists of so many.
+_FULL = 64
+
+
+def no_results(kind: str) -> list[Column]:
+    """Fields of a fold's state that gather results of that kind, one for each step."""
+    return [F.expr(f"CAST(array() AS array<array<{kind}>>)").alias("full"), F.expr(f"CAST(array() AS array<{kind}>)").alias("latest")]
+
+
+def gathered(s: Column, item: Column) -> list[Column]:
+    """The fields with one result more. Appending copies at most _FULL results and the list of full lists, not all results so far."""
+    full = F.size(s["latest"]) >= _FULL
+    return [F.when(full, F.concat(s["full"], F.array(s["latest"]))).otherwise(s["full"]).alias("full"), F.when(full, F.array(item)).otherwise(F.concat(s["latest"], F.array(item))).alias("latest")]
+
+
+def results(s: Column) -> Column:
+    return F.flatten(F.concat(s["full"], F.array(s["latest"])))
+
+
 def islands(df: DataFrame, order: Window, broken: Column, name: str = "island") -> DataFrame:
     """df with the number of the run that each row is in; ``broken`` says that a row begins a new one."""
     return df.withColumn("_b", F.coalesce(broken, F.lit(True)).cast("int")).withColumn(name, F.sum("_b").over(so_far(order))).drop("_b")
@@ -110,15 +129,15 @@ def plan_alignment(
     item = F.struct("start_s", "id", "effective1", "effective2", "cut")
     grouped = chained.groupBy(*BY, "chain").agg(F.array_sort(F.collect_list(item)).alias("xs"))
     none = F.lit(None).cast("double")
-    start = F.struct(none.alias("reached"), F.expr("CAST(array() AS array<struct<id:bigint,at:double,capped:boolean>>)").alias("out"))
+    start = F.struct(none.alias("reached"), *no_results("struct<id:bigint,at:double,capped:boolean>"))
 
     def step(s: Column, x: Column) -> Column:
         free = F.greatest(x["start_s"], F.coalesce(s["reached"] + gap, x["start_s"]))
         over = free - x["start_s"] > most_shift
         at = F.when(over, x["start_s"] + most_shift).otherwise(free)
-        return F.struct((at + F.when(over, x["effective2"]).otherwise(x["effective1"])).alias("reached"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), at.alias("at"), over.alias("capped")))).alias("out"))
+        return F.struct((at + F.when(over, x["effective2"]).otherwise(x["effective1"])).alias("reached"), *gathered(s, F.struct(x["id"].alias("id"), at.alias("at"), over.alias("capped"))))
 
-    placed = grouped.select(*BY, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("p")).select(*BY, "p.*")
+    placed = grouped.select(*BY, F.explode(F.aggregate("xs", start, step, results)).alias("p")).select(*BY, "p.*")
     out = rows.join(placed, [*BY, "id"])
     effective = F.when(F.col("capped"), F.col("effective2")).otherwise(F.col("effective1"))
     shift = F.when(F.col("capped"), F.lit(most_shift)).otherwise(F.col("at") - F.col("start_s"))
@@ -149,15 +168,15 @@ def pull_continuations(df: DataFrame, *, gap: float = 0.05, most: float = 3.0, p
     chained = islands(rows, w, ~F.col("_goes"), "chain")
     item = F.struct("start_s", "id", "shift_ms", "aligned_duration", "_rest")
     grouped = chained.groupBy(*BY, "chain").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("reached"), F.expr("CAST(array() AS array<struct<id:bigint,shift:bigint>>)").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("reached"), *no_results("struct<id:bigint,shift:bigint>"))
 
     def step(s: Column, x: Column) -> Column:
         now = x["start_s"] + x["shift_ms"] / 1000
         wanted = F.greatest(x["start_s"] - most, s["reached"] + x["_rest"])
         shift = F.when(s["reached"].isNotNull() & (wanted < now - 0.05), F.floor((wanted - x["start_s"]) * 1000 + F.lit(0.5)).cast("bigint")).otherwise(x["shift_ms"])
-        return F.struct((x["start_s"] + shift / 1000 + x["aligned_duration"]).alias("reached"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), shift.alias("shift")))).alias("out"))
+        return F.struct((x["start_s"] + shift / 1000 + x["aligned_duration"]).alias("reached"), *gathered(s, F.struct(x["id"].alias("id"), shift.alias("shift"))))
 
-    moved = grouped.select(*BY, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("p")).select(*BY, F.col("p.id").alias("id"), F.col("p.shift").alias("new_shift_ms"))
+    moved = grouped.select(*BY, F.explode(F.aggregate("xs", start, step, results)).alias("p")).select(*BY, F.col("p.id").alias("id"), F.col("p.shift").alias("new_shift_ms"))
     return df.join(moved, [*BY, "id"], "left").withColumn("new_shift_ms", F.coalesce("new_shift_ms", "shift_ms"))
 
 
@@ -183,14 +202,14 @@ def sentences(words: DataFrame, *, most_gap: float = 0.7, most_seconds: float =
     final = F.lag("word").over(w).rlike('[.!?…]["»”)\\]]*$')
     cut = islands(words, w, final | (F.col("start_s") - F.lag("end_s").over(w) > most_gap), "_piece")
     grouped = cut.groupBy(*BY, "_piece").agg(F.array_sort(F.collect_list(F.struct("id", "start_s", "end_s"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("begun"), F.lit(0).cast("long").alias("k"), F.expr("CAST(array() AS array<struct<id:bigint,k:bigint>>)").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("begun"), F.lit(0).cast("long").alias("k"), *no_results("struct<id:bigint,k:bigint>"))
 
     def step(s: Column, x: Column) -> Column:
         fresh = F.coalesce(x["end_s"] - s["begun"] > most_seconds, F.lit(True))
         k = s["k"] + fresh.cast("long")
-        return F.struct(F.when(fresh, x["start_s"]).otherwise(s["begun"]).alias("begun"), k.alias("k"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), k.alias("k")))).alias("out"))
+        return F.struct(F.when(fresh, x["start_s"]).otherwise(s["begun"]).alias("begun"), k.alias("k"), *gathered(s, F.struct(x["id"].alias("id"), k.alias("k"))))
 
-    split = grouped.select(*BY, "_piece", F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("p")).select(*BY, "_piece", "p.*")
+    split = grouped.select(*BY, "_piece", F.explode(F.aggregate("xs", start, step, results)).alias("p")).select(*BY, "_piece", "p.*")
     new = split.withColumn("_new", F.coalesce((F.col("k") != F.lag("k").over(w)) | (F.col("_piece") != F.lag("_piece").over(w)), F.lit(True)).cast("int"))
     numbered = new.select(*BY, "id", (F.sum("_new").over(so_far(w)) - 1).cast("long").alias("sentence"))
     return words.join(numbered, [*BY, "id"])

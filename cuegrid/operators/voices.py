@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +18,38 @@ def voice_of(speaker: Column, voices: Column, default: str) -> Column:
 
 
 def nearest_voice(speakers: DataFrame, voices: DataFrame, *, slack: float = 25.0) -> DataFrame:
-    """(recording_id, speaker, voice): the voice (name, f0, accent) whose pitch is nearest the speaker's f0; one without an accent wins if it is nearly as near. Voices are a short list, counted before they are broadcast."""
-    if voices.count() > 10_000:
+    """(recording_id, speaker, voice): the voice (name, f0, accent) whose pitch is nearest the speaker's f0, the first by name of equals; one without an accent wins if it is nearly as near.
+
+    Voices are a cast's short list: it goes to every task sorted by pitch, and each speaker is held against the two
+    pitches around its own. More than 10,000 voices are refused.
+    """
+    held = [(r.f0, r.name, r.accent) for r in voices.where("f0 IS NOT NULL AND NOT isnan(f0)").select("f0", "name", "accent").limit(10_001).collect()]
+    if len(held) > 10_000:
         raise ValueError("voices are a list of at most 10,000 rows")
-    pairs = speakers.where("f0 IS NOT NULL").crossJoin(F.broadcast(voices.where("f0 IS NOT NULL").select("name", F.col("f0").alias("vf"), "accent"))).withColumn("d", F.abs(F.col("vf") - F.col("f0")))
-    best = pairs.groupBy("recording_id", "speaker").agg(F.min(F.struct("d", "name")).alias("any"), F.min(F.when(~F.col("accent"), F.struct("d", "name"))).alias("clean"))
-    return best.select("recording_id", "speaker", F.when(F.col("clean.d") <= F.col("any.d") + slack, F.col("clean.name")).otherwise(F.col("any.name")).alias("voice"))
+
+    def ladder(own: list[tuple]) -> tuple[np.ndarray, list[str]]:
+        first = {}
+        for f0, name, _ in sorted(own):
+            first.setdefault(f0, name)
+        return np.array(list(first)), list(first.values())
+
+    every, clean = ladder(held), ladder([v for v in held if v[2] is False])
+
+    def near(f0: float, steps: tuple[np.ndarray, list[str]]) -> tuple[float, str] | None:
+        at = int(np.searchsorted(steps[0], f0))
+        return min(((abs(float(steps[0][k]) - f0), steps[1][k]) for k in (at - 1, at) if 0 <= k < len(steps[1])), default=None)
+
+    @F.pandas_udf("string")
+    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pitches in batches:
+            out = []
+            for f0 in pitches:
+                best, plain = near(f0, every), near(f0, clean)
+                out.append(None if best is None else plain[1] if plain and plain[0] <= best[0] + slack else best[1])
+            yield pd.Series(out, dtype=object)
+
+    named = speakers.where("f0 IS NOT NULL").select("recording_id", "speaker", pick("f0").alias("voice"))
+    return named.where("voice IS NOT NULL")
 
 
 def assigned(speakers: DataFrame, voices: list[tuple[str, str, float | None, bool]]) -> DataFrame:

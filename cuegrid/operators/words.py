@@ -15,14 +15,14 @@ def pauses(words: DataFrame, *, least: float = 0.3) -> DataFrame:
     return words.withColumn("_n", after).where(F.col("_n") - F.col("end_s") >= least).select("recording_id", "id", F.col("end_s").alias("start_s"), F.col("_n").alias("end_s"))
 
 
-def phrases(words: DataFrame, *, least: float = 0.3) -> DataFrame:
-    """(recording_id, phrase, start_s, end_s, pause_after): runs of words between pauses; a recording without one has none."""
-    w = Window.partitionBy("recording_id").orderBy("id")
+def phrases(words: DataFrame, *, least: float = 0.3, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """(by, phrase, start_s, end_s, pause_after): runs of words between pauses; what has no pause has none. ``by`` names whose words go together: a recording's, or a segment's."""
+    w = Window.partitionBy(*by).orderBy("id")
     runs = islands(words, w, F.col("start_s") - F.lag("end_s").over(w) >= least, "phrase")
-    by = runs.groupBy("recording_id", "phrase").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "id").alias("end_s"))
-    order = Window.partitionBy("recording_id").orderBy("phrase")
+    own = runs.groupBy(*by, "phrase").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "id").alias("end_s"))
+    order = Window.partitionBy(*by).orderBy("phrase")
     pause = F.coalesce(places(F.lead("start_s").over(order) - F.col("end_s"), 3), F.lit(0.0))
-    return by.withColumn("pause_after", pause).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("recording_id"))).where(F.col("_n") > 1).drop("_n")
+    return own.withColumn("pause_after", pause).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("_n") > 1).drop("_n")
 
 
 def refined(rows: DataFrame, *, window: float) -> DataFrame:

@@ -238,3 +238,13 @@ def tidy_reasons(spark, d):
     nested = '[s3] gateway said 500: {"error":{"message":"no   room"}}'
     message = F.when(F.col("id") % 3 == 0, F.lit(nested)).when(F.col("id") % 3 == 1, F.concat(F.lit("[s5]  "), "text")).otherwise("plain")
     return a.dialogue(spark, d).select("recording_id", "id", text.tidy_reason(message).alias("reason"))
+
+
+@register("str15_agreed_lines")
+def agreed_lines(spark, d):
+    """Lines made to agree with a woman's and a man's voice, with their phrases; lists as texts."""
+    rows = said(spark, d).withColumn("phrases", F.split("text", "(?<=[,.!?…]) "))
+    voices = rows.select("recording_id", "speaker").distinct().withColumn("gender", F.when(F.col("speaker") == "user", "f").when(F.col("speaker") == "assistant", "m").otherwise("unknown"))
+    log = gender.agreed_with_voices(rows, voices, dict(_NAMES))
+    fixes = F.array_join(F.transform("fixes", lambda f: F.concat(f["old"], F.lit(">"), f["new"])), ",")
+    return log.select("recording_id", "id", "before", "after", fixes.alias("fixes"), F.array_join("phrases", "|").alias("phrases"))

@@ -125,10 +125,18 @@ def parsed_translations(spark, d):
     return replies.translations(body.select("recording_id", F.concat(F.lit("Here: "), "j").alias("reply")), rows)
 
 
-@register("str28_batch_requests", f"""WITH {a.DIALOGUE}, l AS (SELECT recording_id, id // 2 AS batch, id, '{{"id":' || id || ',"n":' || length(text) || '}}' AS l FROM dialogue) SELECT recording_id, batch, count(*) AS n FROM l GROUP BY 1, 2""")
+@register("str28_batch_requests", f"""WITH {a.DIALOGUE}, n AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER w > 3 OR lag(end_s) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM dialogue WINDOW w AS (PARTITION BY recording_id ORDER BY start_s, id)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY recording_id ORDER BY start_s, id ROWS UNBOUNDED PRECEDING) AS scene FROM n),
+p AS (SELECT *, (row_number() OVER (PARTITION BY recording_id, scene ORDER BY start_s, id) - 1) // 2 AS part FROM s),
+q AS (SELECT *, dense_rank() OVER (PARTITION BY recording_id ORDER BY scene, part) - 1 AS batch FROM p),
+l AS (SELECT *, '{{"id":' || id || ',"slot_seconds":' || regexp_replace((floor(slot * 100 + 0.5) / 100)::VARCHAR, '\\.0$', '') || ',"target_chars":'
+  || least(greatest(1, floor(greatest(0, slot - 0.26::DOUBLE) * 15.0::DOUBLE + 0.5)), greatest(8, floor(length(text) * 1.1::DOUBLE + 0.5)))::BIGINT
+  || CASE speaker WHEN 'user' THEN ',"speaker":"female"' WHEN 'assistant' THEN ',"speaker":"male"' ELSE '' END || ',"text":' || to_json(text)::VARCHAR || '}}' AS line FROM q)
+SELECT recording_id, batch, 'Translate the lines. One on each line:' || chr(10) || string_agg(line, chr(10) ORDER BY start_s, id) AS request FROM l GROUP BY 1, 2""")
 def batch_requests(spark, d):
-    out = replies.batch_requests(a.dialogue(spark, d), size=2)
-    return out.select("recording_id", "batch", F.size(F.split("request", "\n")).cast("long").alias("n"))
+    rows = a.dialogue(spark, d).withColumn("room", F.col("slot"))
+    told = rows.select("recording_id", "speaker").distinct().withColumn("gender", F.when(F.col("speaker") == "user", "f").when(F.col("speaker") == "assistant", "m").otherwise("unknown"))
+    return replies.batch_requests(rows, told, size=2, rate=15.0, cap=1.1, overhead=0.26)
 
 
 @register("str31_prompts", "SELECT c_custkey, 'Say ' || c_name || ' and {who} twice: ' || c_custkey AS prompt FROM customer")
@@ -310,17 +318,21 @@ def input_hashes(spark, d):
     return a.table(spark, d, "pages").select("page_id", fingerprints.input_hash(source, size, key * 7, F.concat(F.lit("c"), key.cast("string"))).alias("hash"))
 
 
-@register("str27_phrase_requests", f"""WITH {WORDS}, b AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER w >= 0.3 OR lag(end_s) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM words WINDOW w AS (PARTITION BY recording_id ORDER BY id)),
-r AS (SELECT *, sum(b) OVER (PARTITION BY recording_id ORDER BY id) AS phrase FROM b), g AS (SELECT recording_id, phrase, min(start_s) AS s, arg_max(end_s, id) AS e FROM r GROUP BY 1, 2),
-p AS (SELECT *, lead(s) OVER (PARTITION BY recording_id ORDER BY phrase) - e AS gap FROM g),
-t AS (SELECT conv_id AS recording_id, trim(arg_min(text, turn)) AS text FROM conversations GROUP BY 1)
-SELECT recording_id, text, string_agg(floor((e - s) * 100 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY phrase) AS phrases, string_agg(floor(gap * 1000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY phrase) AS pauses FROM p JOIN t USING (recording_id) WHERE text <> '' GROUP BY 1, 2 HAVING count(*) > 1""")
+@register("str27_phrase_requests", f"""WITH {WORDS}, v AS (SELECT recording_id, turn, i, i * 0.5::DOUBLE + (i // 7) * 0.5::DOUBLE AS start_s, i * 0.5::DOUBLE + (i // 7) * 0.5::DOUBLE + 0.4::DOUBLE AS end_s FROM words1),
+b AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER w >= 0.3 OR lag(end_s) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM v WINDOW w AS (PARTITION BY recording_id, turn ORDER BY i)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY recording_id, turn ORDER BY i) AS phrase FROM b), g AS (SELECT recording_id, turn, phrase, min(start_s) AS s, arg_max(end_s, i) AS e FROM r GROUP BY 1, 2, 3),
+p AS (SELECT *, lead(s) OVER (PARTITION BY recording_id, turn ORDER BY phrase) - e AS gap FROM g),
+t AS (SELECT conv_id AS recording_id, turn, trim(text) AS text FROM conversations)
+SELECT recording_id, turn AS id, text, string_agg(floor((e - s) * 100 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY phrase) AS phrases, string_agg(floor(gap * 1000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY phrase) AS pauses FROM p JOIN t USING (recording_id, turn) WHERE text <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def phrase_requests(spark, d):
-    """Lists as texts of hundredths and thousandths of a second."""
-    first = a.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("recording_id")).agg(F.min_by("text", "turn").alias("text"))
-    out = replies.phrase_requests(first, words.phrases(spoken(spark, d)))
+    """Every turn with the words of its own; lists as texts of hundredths and thousandths of a second."""
+    turns = a.table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("id"), "text")
+    each = turns.select("recording_id", F.col("id").alias("segment"), F.posexplode(F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")).alias("i", "word"))
+    start = (F.col("i") + 1) * 0.5 + F.floor((F.col("i") + 1) / 7) * 0.5
+    own = words.phrases(each.select("recording_id", "segment", F.col("i").alias("id"), start.alias("start_s"), (start + 0.4).alias("end_s")), by=("recording_id", "segment"))
+    out = replies.phrase_requests(turns, own.withColumnRenamed("segment", "id"))
     whole = lambda c, n: F.array_join(F.transform(c, lambda x: F.round(x * n).cast("long").cast("string")), ",")
-    return out.select("recording_id", "text", whole("phrases", 100).alias("phrases"), whole("pauses", 1000).alias("pauses"))
+    return out.select("recording_id", "id", "text", whole("phrases", 100).alias("phrases"), whole("pauses", 1000).alias("pauses"))
 
 
 @register("str29_review_lines", f"""WITH {a.DIALOGUE}, g AS (SELECT DISTINCT recording_id, speaker, CASE WHEN recording_id % 5 = 0 THEN 'f' END AS voice, CASE recording_id % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'f' ELSE 'unknown' END AS pitch, CASE recording_id % 2 WHEN 0 THEN 'm' ELSE 'unknown' END AS told FROM dialogue),
