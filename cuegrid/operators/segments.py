@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from cuegrid.functions import text as tx
 from cuegrid.functions.numbers import places
 from cuegrid.operators import sequence
-from cuegrid.operators.intervals import speaker_of
+from cuegrid.operators.intervals import snap_to_speech, speaker_of
+from cuegrid.operators.words import refined
 
 #: Seconds: pauses at which a long row is cut, widest first.
 PAUSES = (0.4, 0.3, 0.2, 0.15)
@@ -122,3 +123,71 @@ def split_by_speaker(rows: DataFrame, turns: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["recording_id", "id", "piece", "speaker_name", "start_s", "end_s"])
 
     return whole.join(told, ["recording_id", "id"], "left").mapInPandas(run, "recording_id long, id long, piece int, speaker_name string, start_s double, end_s double")
+
+
+FLAGS = "array<string>"
+
+
+def built(rows: DataFrame, *, window: float = 0.4, least: float = 0.4, most: float = 30.0) -> DataFrame:
+    """Segments from recognised rows (recording_id, id, speaker, start_s, end_s, text, words): (recording_id, id, source_id, piece, speaker, start_s, end_s, text, words, flags, overlap).
+
+    Rows of no finite, positive length go. Edges move to the first and last word where these are within the window; rows
+    over ``most`` seconds are split, and pieces cut by force flagged ``force_split``. Then loops are trimmed, repeats that
+    overlap and lines without speech or under ``least`` seconds dropped, and what is left is numbered by time from 0.
+    source_id and piece say which row a segment came from, so that what is known of a row finds its segments again. A row
+    without a speaker has speaker_0.
+    """
+    finite = "abs({0}) < double('Infinity')"
+    sound = words_of(rows).where(f"{finite.format('start_s')} AND {finite.format('end_s')} AND end_s > start_s")
+    edged = refined(sound, window=window).withColumn("start_s", F.col("refined_start")).withColumn("end_s", F.col("refined_end")).drop("refined_start", "refined_end")
+    names = ["recording_id", "id", "piece", "speaker", "start_s", "end_s", "text", "words", "forced"]
+    short = edged.where(F.col("end_s") - F.col("start_s") <= most).withColumn("piece", F.lit(0)).withColumn("forced", F.lit(False)).select(*names)
+    pieces = short.unionByName(split_long(edged.where(F.col("end_s") - F.col("start_s") > most), most=most).select(*names))
+    order = Window.partitionBy("recording_id").orderBy("source_id", "piece")
+    numbered = pieces.withColumnRenamed("id", "source_id").withColumn("id", F.row_number().over(order).cast("long"))
+    done = build(numbered.withColumn("text", F.coalesce("text", F.lit(""))), least=least)
+    flags = F.when(F.col("forced"), F.array(F.lit("force_split"))).otherwise(F.array().cast(FLAGS))
+    return done.select("recording_id", "id", "source_id", "piece", F.coalesce("speaker", F.lit("speaker_0")).alias("speaker"), "start_s", "end_s", F.trim(tx.collapsed(F.col("text"))).alias("text"), "words", flags.alias("flags"), "overlap")
+
+
+def words_of(rows: DataFrame) -> DataFrame:
+    """rows with lists of words that are never null."""
+    return rows.withColumn("words", F.coalesce("words", F.array().cast(WORDS)))
+
+
+def with_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
+    """segments as ``built`` gives them with the speakers of turns (recording_id, id, start_s, end_s, speaker), split where the speaker of their words changes and numbered anew.
+
+    ``before`` is the segment's number before. A piece has the words that begin in it and their text, and is flagged
+    ``force_split``. Recordings without turns stay as they are.
+    """
+    known = turns.select("recording_id").distinct()
+    told = segments.join(known, "recording_id", "left_semi")
+    cut = split_by_speaker(told.select("recording_id", "id", "start_s", "end_s", "words"), turns).withColumnRenamed("piece", "part")
+    own = Window.partitionBy("recording_id", "id").orderBy("part")
+    cut = cut.withColumn("_to", F.lead("start_s").over(own)).withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy("recording_id", "id")))
+    rest = told.drop("start_s", "end_s", "speaker", "overlap")
+    both = cut.join(rest, ["recording_id", "id"]).withColumnRenamed("speaker_name", "speaker")
+    inside = F.filter("words", lambda w: ((F.col("part") == 0) | (F.round(w["start"], 3) >= F.col("start_s"))) & (F.col("_to").isNull() | (F.round(w["start"], 3) < F.col("_to"))))
+    split = F.col("_parts") > 1
+    both = both.withColumn("words", F.when(split, inside).otherwise(F.col("words"))).withColumn("text", F.when(split, F.trim(tx.collapsed(F.array_join(F.transform("words", lambda w: w["word"]), " ")))).otherwise(F.col("text")))
+    both = both.withColumn("flags", F.when(split, F.array_union("flags", F.array(F.lit("force_split")))).otherwise(F.col("flags")))
+    names = ["recording_id", "id", "part", "source_id", "piece", "speaker", "start_s", "end_s", "text", "words", "flags"]
+    every = both.select(*names).unionByName(segments.join(known, "recording_id", "left_anti").withColumn("part", F.lit(0)).select(*names))
+    order = Window.partitionBy("recording_id").orderBy("start_s", "before", "part")
+    numbered = every.withColumnRenamed("id", "before").withColumn("id", (F.row_number().over(order) - 1).cast("long"))
+    return sequence.overlap_flags(numbered.drop("part"))
+
+
+def recognised(rows: DataFrame, regions: DataFrame, turns: DataFrame, doubts: DataFrame | None = None, *, snap: float = 0.4, window: float = 0.4, least: float = 0.4, most: float = 30.0) -> DataFrame:
+    """From recognised rows to segments with speakers: edges to detected speech, built segments, speakers by turns, doubts flagged ``speaker_doubt``.
+
+    doubts (recording_id, source_id) are recognised rows whose pitch disputes their speaker; every segment that came from
+    such a row is flagged.
+    """
+    snapped = snap_to_speech(rows, regions, window=snap).withColumn("start_s", F.col("snapped_start")).withColumn("end_s", F.col("snapped_end")).drop("snapped_start", "snapped_end")
+    out = with_speakers(built(snapped, window=window, least=least, most=most), turns)
+    if doubts is None:
+        return out
+    marked = out.join(doubts.select("recording_id", "source_id").distinct().withColumn("_doubt", F.lit(True)), ["recording_id", "source_id"], "left")
+    return marked.withColumn("flags", F.when(F.col("_doubt"), F.array_union("flags", F.array(F.lit("speaker_doubt")))).otherwise(F.col("flags"))).select(*out.columns)

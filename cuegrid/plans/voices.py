@@ -193,9 +193,9 @@ def built_segments(spark, d):
     return segments.build(said(spark, d)).select("recording_id", "id", "start_s", "end_s", "text", "overlap")
 
 
-def _rows_of_words(spark, d):
+def _rows_of_words(spark, d, size=120):
     one = F.struct("id", "word", F.col("start_s").alias("start"), F.col("end_s").alias("end"))
-    grouped = spoken(spark, d).groupBy("recording_id", F.floor(F.col("id") / 120).alias("k")).agg(F.array_sort(F.collect_list(one)).alias("ws"))
+    grouped = spoken(spark, d).groupBy("recording_id", F.floor(F.col("id") / size).alias("k")).agg(F.array_sort(F.collect_list(one)).alias("ws"))
     words = F.transform("ws", lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end")))
     return grouped.select("recording_id", F.col("k").alias("id"), F.lit("a").alias("speaker"), words.alias("words"))
 
@@ -346,3 +346,27 @@ def review_lines(spark, d):
     )
     out = replies.review_lines(rows.withColumn("source", F.col("text")), told, most=target_chars(F.col("slot") * 0.8, 15.0, 0.0, 0.26))
     return out.select("recording_id", "id", "speaker", "text", "gender", "gender_disputed", F.col("max_chars").cast("long").alias("max_chars"), F.col("over").cast("long").alias("over"))
+
+
+def _recognised_rows(spark, d):
+    """Rows of 120 words and of 9 words of each recording, with edges a little off."""
+    rows = _rows_of_words(spark, d).unionByName(_rows_of_words(spark, d, 9).withColumn("id", F.col("id") + 1000))
+    text = F.array_join(F.transform("words", lambda w: w["word"]), " ")
+    start, end = F.element_at("words", 1)["start"], F.element_at("words", -1)["end"]
+    return rows.withColumn("text", text).withColumn("start_s", start + ((F.col("id") % 7) - 3) * 0.2).withColumn("end_s", end + ((F.col("id") % 5) - 2) * 0.3)
+
+
+@register("win21_whole_segments")
+def whole_segments(spark, d):
+    return segments.built(_recognised_rows(spark, d), most=20.0).withColumn("words", F.size("words")).withColumn("flags", F.array_join("flags", ","))
+
+
+@register("orc07_recognised")
+def recognised(spark, d):
+    """Regions are every third word's time widened; turns change every eleven seconds."""
+    rows = _recognised_rows(spark, d)
+    regions = spoken(spark, d).where("id % 3 <> 0").select("recording_id", (F.col("start_s") - 0.05).alias("start_s"), (F.col("end_s") + 0.1).alias("end_s"))
+    turns = spoken(spark, d).groupBy("recording_id", F.floor(F.col("start_s") / 11).alias("k")).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).select("recording_id", F.col("k").alias("id"), "start_s", "end_s", F.concat(F.lit("T"), (F.col("k") % 3).cast("string")).alias("speaker"))
+    doubts = rows.where("id % 13 = 0").select("recording_id", F.col("id").alias("source_id"))
+    out = segments.recognised(rows, regions, turns, doubts, most=20.0)
+    return out.withColumn("words", F.size("words")).withColumn("flags", F.array_join("flags", ","))
