@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm import bpe, exact_dedup, langid, minhash, mixing
-from cuegrid.llm.common import discard, short_batches, stored
+from cuegrid.llm.common import discard, short_batches, working_tables
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table of documents. Each stage's result is a table in the shared folder; what a stage stored on its way, and the result before, are deleted when it has ended."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with working_tables(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
         discard(*before)
         before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +32,48 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Folders of stored tables that were not deleted yet, oldest first.
+_made: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: a cut of the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if at in _made:
+        _made.remove(at)
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within, the given function stores a result as stored() does; at the end all other tables that were stored meanwhile are deleted."""
+    before, results = set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        results.add(out.stored_at)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made if p not in before and p not in results]:
+            _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored() tables that nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_at)
 
 
 def small(df: DataFrame) -> DataFrame:
