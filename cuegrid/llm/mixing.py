@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import bucket_of, stored
 
 WEIGHTS = (5, 2, 1)
-#: Rows of one source and size class are dealt to so many buckets, so that no source is counted through in one task.
-SALTS = 32
+#: Rows of one source and size class are dealt to so many buckets at least, so that no source is counted through in one task; beyond, a bucket for each so many rows of the table.
+SALTS, SALT_ROWS = 32, 1 << 21
+
+
+def salts_for(rows: int) -> int:
+    """A power of two, so that tables of one order of size are dealt alike."""
+    return max(SALTS, 1 << max(0, math.ceil(math.log2(max(1, rows / SALT_ROWS)))))
 
 
-def _sized(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str, salts: int) -> DataFrame:
     size = F.coalesce(F.expr(f"regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+')"), F.lit(0)).cast("long")
     out = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
@@ -20,10 +27,12 @@ def _sized(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("z")).alias("skey"),
         size.alias("size"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("tie"),
+        # Rows without an id are dealt by their texts.
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.md5(F.col(f"`{text_col}`")), F.lit("")).alias("own"),
     )
     bits = F.length(F.bin("size"))
     level = bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8")
-    return out.select("*", level.cast("long").alias("level"), bucket_of(F.col("id"), SALTS).alias("salt"))
+    return out.select("*", level.cast("long").alias("level"), bucket_of(F.col("own"), salts).alias("salt")).drop("own")
 
 
 def _targets(cells: DataFrame, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
@@ -64,12 +73,12 @@ def mixed(
     Systematic sampling: documents of a source stand in an order by size class; the running sum of their
     expected copies plus one offset of the source crosses an integer once for each copy. The running sum
     is the count of earlier cells (source, size class, salt) plus a row number within the cell, so one
-    source may hold most rows. The offset comes from the md5 of the source and ``seed``: reruns agree.
+    source may hold most rows; salts grow with the table, and rows without an id are salted by text. The offset comes from the md5 of the source and ``seed``: reruns agree.
 
     Null and empty texts have size 0. Repeated rows are rows of their own. An empty table gives none.
     Columns are carried in a struct, so names cannot clash.
     """
-    sized = _sized(docs, carry, id_col, text_col, source_col)
+    sized = _sized(docs, carry, id_col, text_col, source_col, salts_for(docs.count()))
     cells = stored(sized.groupBy("skey", "level", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     targets = _targets(cells, weights, budget, cap)
     order = Window.partitionBy("skey").orderBy("level", "salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +109,7 @@ WITH d AS (
          coalesce('s' || source, 'z') AS skey FROM documents),
 b AS (
   SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 AS level,
-         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 32, 0) AS salt FROM d),
+         coalesce(('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 8))::BIGINT % 32, 0) AS salt FROM d),
 s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM b GROUP BY skey),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS most,
              (SELECT sum(source_size) FROM s)::DOUBLE AS all_words FROM s),

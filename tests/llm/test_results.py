@@ -273,6 +273,18 @@ def test_mix_comes_near_its_targets(docs):
     assert rows == mixing.mixed(docs, ["doc_id"]).collect() or sorted(map(str, rows)) == sorted(map(str, mixing.mixed(docs, ["doc_id"]).collect()))
 
 
+def test_rows_without_ids_are_dealt_out(spark):
+    """No task of the window gets much more than its share, with null ids alone and one source; reruns agree."""
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("words "), F.col("id").cast("string")).alias("text"), F.lit("one").alias("source"))
+    cells = mixing._sized(rows, ["doc_id"], "doc_id", "text", "source", mixing.salts_for(60_000)).groupBy("skey", "level", "salt").count()
+    n = [r["count"] for r in cells.collect()]
+    assert len(n) == 32 and max(n) < 1.2 * sum(n) / len(n)
+    out = mixing.mixed(rows, ["text"])
+    first = {r.row.text: r.copies for r in out.collect()}
+    assert first == {r.row.text: r.copies for r in mixing.mixed(rows.repartition(7), ["text"]).collect()} and abs(sum(first.values()) - 1.5 * 60_000) < 2
+    assert mixing.salts_for(10) == 32 and mixing.salts_for(10**10) == 8192
+
+
 def test_links_of_vectors_equal_a_loop(spark):
     import numpy as np
 
