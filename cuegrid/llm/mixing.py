@@ -106,10 +106,10 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce('s' || source, 'z') AS skey FROM documents),
+         coalesce('s' || source, 'z') AS skey, coalesce(doc_id::VARCHAR, md5(text), '') AS own FROM documents),
 b AS (
   SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) % 8 AS level,
-         coalesce(('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 8))::BIGINT % 32, 0) AS salt FROM d),
+         coalesce(('0x' || substr(md5(own), 1, 8))::BIGINT % 32, 0) AS salt FROM d),
 s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM b GROUP BY skey),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS most,
              (SELECT sum(source_size) FROM s)::DOUBLE AS all_words FROM s),
