@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,11 @@ def _projected(vectors: DataFrame, reach: float, seed: int) -> DataFrame:
     return rows.select("node", "table", F.xxhash64("label_hash", "table", "cuts").alias("cell"), F.floor(F.col("place") / (WINDOW * reach)).alias("bin"), "place")
 
 
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once and not for each element that ``then`` goes through."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _cosine(a: str, b: str) -> Column:
     """Null for vectors of different lengths, which then link with nothing."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -144,13 +149,13 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     need = least_count(collision_probability(reach, reach))
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = stored(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label_key"), v.alias("v")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     largest = F.array_max(F.transform("v", F.abs))
-    sound = rows.where("label_key is not null and id is not null and forall(v, x -> x is not null)").withColumn("largest", largest).where("largest > 0 and largest < double('Infinity')")
+    sound = rows.where("label_key is not null and id is not null and forall(v, x -> x is not null)").where((largest > 0) & (largest < float("inf")))
     # Squares of very large or small components leave the range of doubles: these vectors are divided by their largest component.
-    scaled = F.when(F.col("largest").between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / F.col("largest")))
-    sound = sound.withColumn("v", scaled).withColumn("square", square)
-    sound = sound.withColumn("unit", F.transform("v", lambda x: x / F.sqrt(F.col("square")))).where("exists(unit, x -> x <> 0)")
+    scaled = _given(largest, lambda m: F.when(m.between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / m)))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = _given(scaled, lambda v: _given(length(v), lambda n: F.transform(v, lambda x: x / n)))
+    sound = stored(sound.select("row", "id", "label_key", unit.alias("unit")))
     nodes = stored(sound.groupBy("label_key", "unit").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     places = stored(_projected(nodes.select("node", F.xxhash64("label_key").alias("label_hash"), "unit"), reach, seed))
     members = stored(_balls(nodes, places, math.acos(threshold) / 2))
