@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -129,7 +130,7 @@ def wrapped(text: Column, width: int = 42, most: int = 2) -> Column:
 def _without_groups(words: list[str], most: int) -> list[str]:
     out, i = [], 0
     while i < len(words):
-        end = next((j for j in range(i, min(i + most, len(words))) if words[j] and words[j][-1] in "])}"), None) if words[i] and words[i][0] in "[({" else None
+        end = next((j for j in range(i, min(i + most, len(words))) if re.search(r"[\])}][\W_]*$", words[j])), None) if words[i] and words[i][0] in "[({" else None
         if end is None:
             out.append(words[i])
             end = i

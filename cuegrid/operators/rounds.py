@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.functions.numbers import fits_length, shorten_target_chars, target_chars, whole
@@ -21,15 +21,20 @@ KEY = ["recording_id", "id"]
 Model = Callable[[DataFrame], DataFrame]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder of ``spark.checkpoint.dir``; in local mode a new folder where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in local mode a new one where that is unset."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

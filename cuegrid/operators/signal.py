@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of pitch tracking: range in Hz, threshold of the normalised difference, margin for an octave, least level.
@@ -108,17 +108,34 @@ def clip_pauses(clips: DataFrame) -> DataFrame:
     return clips.select("path", "samples", "rate").mapInPandas(run, "path string, start_s double, end_s double")
 
 
+#: How far from exactly an octave a pitch may lie, and the passes that settle the centre.
+OCTAVE_REACH, PASSES = 2 / 12, 3
+
+
 def octaves_folded(samples: DataFrame) -> DataFrame:
-    """samples (recording_id, speaker, hz) with frames that are an octave off the commonest pitch moved to it."""
-    step = F.floor(F.log2("hz") * 12 + F.lit(0.5))
-    counts = samples.groupBy("recording_id", "speaker", step.alias("tone")).agg(F.count(F.lit(1)).alias("k"))
-    near = counts.select("recording_id", "speaker", "k", F.explode(F.array(*[F.struct((F.col("tone") + d).alias("tone"), F.lit(w).alias("w")) for d, w in ((-1, 1), (0, 2), (1, 1))])).alias("s"))
-    smooth = near.groupBy("recording_id", "speaker", "s.tone").agg(F.sum(F.col("k") * F.col("s.w")).alias("mass"))
-    mode = smooth.groupBy("recording_id", "speaker").agg(F.min(F.struct((-F.col("mass")).alias("m"), "tone")).alias("b")).select("recording_id", "speaker", (F.col("b.tone") / 12).alias("centre"))
-    away = F.log2("hz") - F.col("centre")
-    turns = F.floor(away + F.lit(0.5))
-    moved = F.when((turns != 0) & (F.abs(away - turns) <= 2 / 12), F.col("hz") / F.pow(F.lit(2.0), turns)).otherwise(F.col("hz"))
-    return samples.join(mode, ["recording_id", "speaker"]).select("recording_id", "speaker", moved.alias("hz"))
+    """samples (recording_id, speaker, hz) with frames that lie about an octave off the voice moved by that octave.
+
+    The voice's centre is the commonest semitone, neighbours counted in (the lowest of equals), then three times the upper
+    median of what has been moved so far. A pitch that is not within two semitones of exactly an octave off is real and
+    stays. Equal pitches are counted first, so a speaker with most samples is a histogram.
+    """
+    who = ["recording_id", "speaker"]
+    counts = samples.groupBy(*who, "hz").agg(F.count(F.lit(1)).alias("k")).withColumn("x", F.log2("hz"))
+    tones = counts.groupBy(*who, F.floor(F.col("x") * 12 + F.lit(0.5)).alias("tone")).agg(F.sum("k").alias("k"))
+    near = tones.select(*who, F.explode(F.array(*[F.struct((F.col("tone") + d).alias("tone"), (F.col("k") * w).alias("k"), F.lit(d == 0).alias("own")) for d, w in ((-1, 1), (0, 2), (1, 1))])).alias("s"))
+    smooth = near.groupBy(*who, "s.tone").agg(F.sum("s.k").alias("mass"), F.bool_or("s.own").alias("held")).where("held")
+    centre = smooth.groupBy(*who).agg(F.min(F.struct((-F.col("mass")).alias("m"), "tone")).alias("b")).select(*who, (F.col("b.tone") / 12).alias("centre"))
+
+    def moved(x: Column) -> Column:
+        off = x - F.col("centre")
+        return F.when(F.abs(off - 1) <= OCTAVE_REACH, x - 1).when(F.abs(off + 1) <= OCTAVE_REACH, x + 1).otherwise(x)
+
+    for _ in range(PASSES):
+        folded = counts.join(centre, who).withColumn("y", moved(F.col("x")))
+        group = Window.partitionBy(*who)
+        ranked = folded.withColumn("n", F.sum("k").over(group)).withColumn("upto", F.sum("k").over(group.orderBy("y")))
+        centre = ranked.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*who).agg(F.min("y").alias("centre"))
+    return samples.join(centre, who).select(*who, F.pow(F.lit(2.0), moved(F.log2("hz"))).alias("hz"))
 
 
 def profile_speech(clips: DataFrame, *, frame: int = 1024, hop: int = 320) -> DataFrame:

@@ -175,10 +175,23 @@ def stage_inputs(spark, d):
     return fingerprints.rows_hash(a.table(spark, d, "conversations"), ["conv_id"], ["turn"], ["turn", "role"])
 
 
-@register("agg06_octaves_folded")
+def _fold_sql(k: int) -> str:
+    """y{k}: the logarithms moved towards the centre c{k}; c{k + 1}: their upper median."""
+    return f"""y{k} AS (SELECT l.*, CASE WHEN abs(x - c - 1) <= 2 / 12::DOUBLE THEN x - 1 WHEN abs(x - c + 1) <= 2 / 12::DOUBLE THEN x + 1 ELSE x END AS y FROM l JOIN c{k} USING (recording_id, speaker)),
+c{k + 1} AS (SELECT recording_id, speaker, list_sort(list(y))[count(*) // 2 + 1] AS c FROM y{k} GROUP BY 1, 2)"""
+
+
+@register("agg06_octaves_folded", f"""WITH {a.SPANS}, l AS (SELECT recording_id, speaker, log2((100 + floor((end_s - start_s) * 4) + CASE WHEN id % 17 = 0 THEN 110 WHEN id % 19 = 0 THEN 330 ELSE 0 END)::DOUBLE) AS x FROM spans),
+t AS (SELECT recording_id, speaker, floor(x * 12 + 0.5) AS tone, count(*) AS k FROM l GROUP BY 1, 2, 3),
+m AS (SELECT t.recording_id, t.speaker, t.tone, 2 * t.k + coalesce(u.k, 0) + coalesce(o.k, 0) AS mass FROM t LEFT JOIN t u ON u.recording_id = t.recording_id AND u.speaker = t.speaker AND u.tone = t.tone - 1 LEFT JOIN t o ON o.recording_id = t.recording_id AND o.speaker = t.speaker AND o.tone = t.tone + 1),
+c0 AS (SELECT recording_id, speaker, arg_min(tone, [-mass, tone]) / 12::DOUBLE AS c FROM m GROUP BY 1, 2),
+{", ".join(_fold_sql(k) for k in range(4))}
+SELECT recording_id, speaker, floor(pow(2, y) * 1000 + 0.5)::BIGINT AS mhz FROM y3""")
 def octaves_folded(spark, d):
-    hz = 100 + F.floor((F.col("end_s") - F.col("start_s")) * 4) + F.when(F.col("id") % 17 == 0, 110).otherwise(0)
-    return signal.octaves_folded(a.spans(spark, d).select("recording_id", "speaker", hz.cast("double").alias("hz")))
+    """Pitches of which some lie an octave off and others two; thousandths of a Hz."""
+    hz = 100 + F.floor((F.col("end_s") - F.col("start_s")) * 4) + F.when(F.col("id") % 17 == 0, 110).when(F.col("id") % 19 == 0, 330).otherwise(0)
+    out = signal.octaves_folded(a.spans(spark, d).select("recording_id", "speaker", hz.cast("double").alias("hz")))
+    return out.select("recording_id", "speaker", F.floor(F.col("hz") * 1000 + 0.5).cast("long").alias("mhz"))
 
 
 @register("udf04_translated")

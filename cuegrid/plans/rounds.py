@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from cuegrid.plans.registry import Registry
 from cuegrid.plans.speech import FLOOR, OVERHEAD, RATE, TOLERANCE
 from cuegrid.plans.timeline import _PLAN
 from cuegrid.sources import adapters as a
+from cuegrid.sources import readers, workspace
 
 register = Registry()
 
@@ -202,3 +205,15 @@ def phrase_pauses(spark, d):
     p = rounds.phrase_pauses(F.col("slot"), F.col("tts_duration") * 0.75, F.col("pauses"), F.lit(22050))
     out = rows.select("recording_id", "id", p.alias("p")).where("p IS NOT NULL")
     return out.select("recording_id", "id", (F.floor(F.col("p.scale") * 1e6 + 0.5) / 1e6).alias("scale"), F.array_join(F.transform("p.silences", lambda x: x.cast("string")), ",").alias("silences"))
+
+
+@register("snk01_written_recordings", f"""WITH {a.DIALOGUE} SELECT recording_id, id, start_s AS start, end_s AS end, speaker, CASE WHEN recording_id % 3 = 0 THEN 'again: ' || text ELSE text END AS text_src, CASE WHEN id % 4 = 0 THEN 'first,' || id ELSE '' END AS flags FROM dialogue WHERE NOT (recording_id % 3 = 0 AND id > 2)""")
+def written_recordings(spark, d):
+    """All recordings are written, then every third one is replaced by its first three rows; what is read is what was written last."""
+    root = f"{rounds.shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    flags = F.when(F.col("id") % 4 == 0, F.array(F.lit("first"), F.col("id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    rows = a.dialogue(spark, d).select("recording_id", F.col("id").cast("int").alias("id"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), "speaker", F.col("text").alias("text_src"), flags.alias("flags"))
+    workspace.write_recordings(rows, root)
+    workspace.write_recordings(rows.where("recording_id % 3 = 0 AND id <= 2").withColumn("text_src", F.concat(F.lit("again: "), "text_src")), root)
+    read = workspace.read_recordings(spark, root, readers.SEGMENT)
+    return read.select("recording_id", F.col("id").cast("long").alias("id"), "start", "end", "speaker", "text_src", F.array_join("flags", ",").alias("flags"))

@@ -73,9 +73,18 @@ def trim_loop(spark, d):
     return said(spark, d).select("recording_id", "id", text.trim_loop(F.col("text")).alias("text"))
 
 
-@register("str03_dropped_brackets")
+@register("str03_dropped_brackets", f"""WITH RECURSIVE {a.DIALOGUE}, b AS (SELECT recording_id, id, list_transform(string_split(text, ' '), lambda x, i: CASE WHEN (i + id) % 7 = 0 THEN '(' WHEN (i + id) % 11 = 0 THEN '[' ELSE '' END || x || CASE WHEN (i + id) % 5 = 0 THEN '),' WHEN (i * id) % 13 = 1 THEN ']' ELSE '' END) AS ws FROM dialogue),
+j AS (SELECT recording_id, id, i, ws[i] AS w, CASE WHEN regexp_matches(ws[i], '^[\\[({{]') THEN list_min(list_filter(range(i, least(len(ws), i + 7) + 1), lambda k: regexp_matches(ws[k], '[\\])}}][^\\p{{L}}\\p{{N}}]*$'))) END AS c FROM b, unnest(range(1, len(ws) + 1)) AS t(i)),
+r AS (SELECT recording_id, id, 1::BIGINT AS i FROM b UNION ALL SELECT r.recording_id, r.id, coalesce(j.c, r.i) + 1 FROM r JOIN j ON j.recording_id = r.recording_id AND j.id = r.id AND j.i = r.i),
+k AS (SELECT recording_id, id, string_agg(w, ' ' ORDER BY i) AS text FROM r JOIN j USING (recording_id, id, i) WHERE c IS NULL GROUP BY 1, 2)
+SELECT recording_id, id, coalesce(k.text, '') AS text FROM b LEFT JOIN k USING (recording_id, id)""")
 def dropped_brackets(spark, d):
-    return a.lines(spark, d).select("recording_id", "id", F.array_join(text.bracketless(F.split("text", " ")), " ").alias("text"))
+    """Texts into which brackets are put by the number of the word."""
+    n = lambda i: i + 1 + F.col("id")
+    open_ = lambda i: F.when(n(i) % 7 == 0, "(").when(n(i) % 11 == 0, "[").otherwise("")
+    close = lambda i: F.when(n(i) % 5 == 0, "),").when(((i + 1) * F.col("id")) % 13 == 1, "]").otherwise("")
+    words = F.transform(F.split("text", " "), lambda x, i: F.concat(open_(i), x, close(i)))
+    return a.dialogue(spark, d).select("recording_id", "id", F.array_join(text.bracketless(words), " ").alias("text"))
 
 
 @register("str04_same_text", f"""WITH {a.LINES}, p AS (SELECT *, lag(text) OVER (PARTITION BY recording_id ORDER BY id) AS last FROM lines)

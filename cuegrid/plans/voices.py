@@ -200,7 +200,14 @@ def _rows_of_words(spark, d, size=120):
     return grouped.select("recording_id", F.col("k").alias("id"), F.lit("a").alias("speaker"), words.alias("words"))
 
 
-@register("win06_split_segments")
+@register("win06_split_segments", f"""WITH RECURSIVE {WORDS}, g AS (SELECT recording_id, id // 120 AS k, list({{'w': word, 's': start_s, 'e': end_s}} ORDER BY id) AS ws FROM words GROUP BY 1, 2),
+r AS (SELECT recording_id, k, ws, false AS forced FROM g UNION ALL
+  SELECT recording_id, k, unnest([ws[1:cut], ws[cut + 1:len(ws)]]), forced OR least_gap IS NULL FROM (
+    SELECT *, coalesce(list_sort(list_transform(list_filter(range(1, len(ws)), lambda i: ws[i + 1].s - ws[i].e > least_gap), lambda i: [abs(i - len(ws) / 2), i]))[1][2]::BIGINT, (len(ws) + 1) // 2) AS cut FROM (
+      SELECT *, CASE WHEN most > 0.4 THEN 0.4::DOUBLE WHEN most > 0.3 THEN 0.3::DOUBLE WHEN most > 0.2 THEN 0.2::DOUBLE WHEN most > 0.15 THEN 0.15::DOUBLE END AS least_gap FROM (
+        SELECT *, list_max(list_transform(range(1, len(ws)), lambda i: ws[i + 1].s - ws[i].e)) AS most FROM r WHERE len(ws) > 1 AND ws[-1].e - ws[1].s > 20))))
+SELECT recording_id, k AS id, (row_number() OVER (PARTITION BY recording_id, k ORDER BY ws[1].s) - 1)::INT AS piece, ws[1].s AS start_s, ws[-1].e AS end_s, array_to_string(list_transform(ws, lambda x: x.w), ' ') AS text, forced
+FROM r WHERE NOT (len(ws) > 1 AND ws[-1].e - ws[1].s > 20)""")
 def split_segments(spark, d):
     return segments.split_long(_rows_of_words(spark, d), most=20.0).select("recording_id", "id", "piece", "start_s", "end_s", "text", "forced")
 
