@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuegrid import plugins
 from cuegrid.operators import edges, rounds
 from cuegrid.plans.registry import Registry
 from cuegrid.plans.speech import FLOOR, OVERHEAD, RATE, TOLERANCE
@@ -217,3 +218,13 @@ def written_recordings(spark, d):
     workspace.write_recordings(rows.where("recording_id % 3 = 0 AND id <= 2").withColumn("text_src", F.concat(F.lit("again: "), "text_src")), root)
     read = workspace.read_recordings(spark, root, readers.SEGMENT)
     return read.select("recording_id", F.col("id").cast("long").alias("id"), "start", "end", "speaker", "text_src", F.array_join("flags", ",").alias("flags"))
+
+
+@register("udf04_translated_batches", """WITH c AS (SELECT conv_id AS recording_id, turn AS id, turn // 4 AS batch, text FROM conversations),
+b AS (SELECT recording_id, batch, arg_min(string_split(text, ' ')[1], id) FILTER (trim(text) <> '') AS term, min(id) AS first, count(*) FILTER (length(text) < 8 AND trim(text) <> '') AS missing, count(*) FILTER (trim(text) <> '') AS sent FROM c GROUP BY 1, 2),
+g AS (SELECT b.recording_id, b.batch, b.missing, b.sent, count(DISTINCT o.term) FILTER (o.term <> '') AS terms, least(3, (SELECT count(*) FROM c WHERE c.recording_id = b.recording_id AND c.batch < b.batch)) AS told
+      FROM b LEFT JOIN b o ON o.recording_id = b.recording_id AND o.batch < b.batch GROUP BY 1, 2, 3, 4, b.first)
+SELECT recording_id, id, batch, CASE WHEN length(text) >= 8 AND trim(text) <> '' THEN terms || '/' || told || ' ' || trim(text) END AS text_tgt, CASE WHEN sent = 0 THEN 0 WHEN missing > 0 THEN 3 ELSE 1 END AS attempts FROM c JOIN g USING (recording_id, batch)""")
+def translated_batches(spark, d):
+    rows = a.table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("id"), F.floor(F.col("turn") / 4).alias("batch"), "text")
+    return plugins.translated_batches(rows, "glossary").select("recording_id", "id", "batch", "text_tgt", F.col("attempts").cast("long").alias("attempts"))

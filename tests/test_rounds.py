@@ -153,3 +153,30 @@ def test_edges_equal_a_walk(spark):
     assert np.mean([x is None for x in want.values()]) > 0.1
     none = edges.reference_edges(spark.createDataFrame([], "recording_id long, id long, frame_id long, level double"), df.limit(2)).collect()
     assert len(none) == 2 and all(r.cut_start is None for r in none)
+
+
+def test_batches_carry_glossary_and_context(spark):
+    """A scripted model: lines left out are asked again, the last attempt counts as far as it goes, terms stay as they were first told."""
+    import json
+
+    from cuegrid import plugins
+
+    class Script:
+        def __init__(self):
+            self.asked = {}
+
+        def complete(self, system, user):
+            told, lines = json.loads(system), [json.loads(x) for x in user.split("\n")]
+            n = self.asked[user] = self.asked.get(user, 0) + 1
+            if any(x["text"] == "broken" for x in lines) and n < 3:
+                return "no json" if n == 1 else '{"items": 5}'
+            good = [x for x in lines if not (x["text"] == "late" and n < 2) and x["text"] != "never"]
+            return json.dumps({"items": [{"id": x["id"], "text": f"{sorted(told['glossary'].items())}|{len(told['context'])}|{x['text']}"} for x in good], "glossary": {"term": lines[0]["text"]}})
+
+    plugins.REGISTRY["script"] = Script
+    rows = [(1, 0, 0, "one"), (1, 1, 0, "late"), (1, 2, 1, "never"), (1, 3, 1, "three"), (1, 4, 2, None), (1, 5, 3, "broken"), (2, 0, 0, "other")]
+    df = spark.createDataFrame(rows, "recording_id long, id long, batch long, text string")
+    out = {(r.recording_id, r.id): (r.text_tgt, r.attempts) for r in plugins.translated_batches(df.repartition(3), "script").collect()}
+    term = "[('term', 'one')]"
+    assert out == {(1, 0): ("[]|0|one", 2), (1, 1): ("[]|0|late", 2), (1, 2): (None, 3), (1, 3): (f"{term}|2|three", 3), (1, 4): (None, 0), (1, 5): (f"{term}|3|broken", 3), (2, 0): ("[]|0|other", 1)}
+    assert plugins.translated_batches(df.limit(0), "script").count() == 0
