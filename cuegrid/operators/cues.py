@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuegrid.functions import fixed
 from cuegrid.functions import text as tx
 
+#: Where the width of lines stands in a language's profile; reading rate and ends of sentences follow.
+_WIDTH = 2
+
 
 def break_points(text: Column) -> Column:
     """Places (from 1) of marks that a space follows."""
@@ -14,10 +18,10 @@ def break_points(text: Column) -> Column:
     return F.filter(at, lambda i: F.substring(text, i, F.lit(1)).isin(".", ",", "!", "?", ";", ":", "…", "—") & (F.substring(text, i + 1, F.lit(1)) == " "))
 
 
-def plan(items: DataFrame, *, width: int = 42, most_lines: int = 2, least: float = 1.0, most: float = 7.0, gap: float = 0.084, rate: float = 17.0) -> DataFrame:
+def plan(items: DataFrame, *, width: int = 42, most_lines: int = 2, least: float = 1.0, most: float = 7.0, gap: float = 0.084, rate: float = 17.0, enders: str = ".!?…") -> DataFrame:
     """(recording_id, n, id, start_s, end_s, lines): rows as cues. A text beyond one cue is split, its time shared by characters; a cue lasts as long as it takes to read, within the limits and before the next."""
     t = tx.collapsed(F.col("text"))
-    rows = items.where((t != "") & (F.col("end_s") > F.col("start_s"))).select("recording_id", "id", "start_s", "end_s", tx.split_long(F.col("text"), width * most_lines).alias("parts"))
+    rows = items.where((t != "") & (F.col("end_s") > F.col("start_s"))).select("recording_id", "id", "start_s", "end_s", tx.split_long(F.col("text"), width * most_lines, enders).alias("parts"))
     rows = rows.withColumn("total", F.aggregate("parts", F.lit(0), lambda s, x: s + F.length(x))).select("*", F.posexplode("parts").alias("k", "text"))
     before = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda s, x: s + F.length(x))
     span = F.col("end_s") - F.col("start_s")
@@ -71,3 +75,40 @@ def parse_srt(files: DataFrame) -> DataFrame:
     good = lines.where((F.size("ls") >= 2) & (F.col("at") > 0)).where(time(1) != "")
     out = good.select("recording_id", "pos", seconds(1).alias("start_s"), seconds(5).alias("end_s"), F.slice("ls", (F.col("at") + 1).cast("int"), F.size("ls")).alias("lines"))
     return out.withColumn("n", F.row_number().over(Window.partitionBy("recording_id").orderBy("pos"))).drop("pos")
+
+
+def subtitle_files(rows: DataFrame, recordings: DataFrame, *, target: str = "ru", width: int | None = None, rate: float | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(files, warnings): a subtitle file of the original and of the translation for each recording that has the text.
+
+    rows: (recording_id, id, start_s, end_s, text_src, text_tgt, shift_ms); recordings: (recording_id, input, lang). The
+    original keeps its times and has the language of the recording; the translation goes with its voice, so it moves by
+    shift_ms. Width of lines and reading rate are those of each language's profile unless given. files: (recording_id,
+    kind, lang, name, cues, content), the content with a byte order mark, the name from the input's (of an address:
+    subtitles). warnings: (recording_id, warning) of recordings that have rows but no translation.
+
+    Languages that share their rules are planned together, so there are as many plans as kinds of rules, four.
+    """
+    told = rows.join(recordings.select("recording_id", F.lower(F.split("lang", "[-_]")[0]).alias("lang")), "recording_id")
+    shift = F.coalesce(F.col("shift_ms"), F.lit(0)) / 1000
+    source = told.select("recording_id", "id", "start_s", "end_s", F.col("text_src").alias("text"), F.lit("source").alias("kind"), "lang")
+    moved = told.select("recording_id", "id", (F.col("start_s") + shift).alias("start_s"), (F.col("end_s") + shift).alias("end_s"), F.col("text_tgt").alias("text"), F.lit("target").alias("kind"), F.lit(target).alias("lang"))
+    said = source.unionByName(moved).where("trim(coalesce(text, '')) <> ''")
+    # A recording's two files are planned like two recordings.
+    keyed = said.withColumn("recording_id", F.struct("recording_id", "kind", "lang"))
+    rules: dict[tuple, list[str]] = {}
+    for code, profile in fixed.LANGUAGES.items():
+        rules.setdefault(profile[_WIDTH:], []).append(code)
+    plans = None
+    for (wide, fast, enders), codes in rules.items():
+        own = F.col("lang").isin(codes)
+        own = own | ~F.col("lang").isin(list(fixed.LANGUAGES)) | F.col("lang").isNull() if "en" in codes else own
+        one = plan(keyed.where(own), width=width or wide, rate=rate or fast, enders=enders, **options)
+        plans = one if plans is None else plans.unionByName(one)
+    counts = plans.groupBy("recording_id").agg(F.count(F.lit(1)).alias("cues"))
+    both = cue_srt(plans).join(counts, "recording_id").select("recording_id.*", "cues", F.concat(F.lit("﻿"), "srt").alias("content"))
+    stem = F.regexp_replace(F.regexp_extract("input", "([^/\\\\]*)$", 1), "(?<=.)\\.[^.]*$", "")
+    named = recordings.select("recording_id", F.when(F.col("input").rlike("(?i)^https?://"), F.lit("subtitles")).otherwise(stem).alias("stem"))
+    files = both.join(named, "recording_id").select("recording_id", "kind", "lang", F.concat_ws(".", "stem", "lang", F.lit("srt")).alias("name"), "cues", "content")
+    done = said.where("kind = 'target'").select("recording_id").distinct()
+    warnings = rows.select("recording_id").distinct().join(done, "recording_id", "left_anti").select("recording_id", F.lit("not translated").alias("warning"))
+    return files, warnings

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid import plugins
-from cuegrid.operators import edges, rounds
+from cuegrid.operators import cues, edges, rounds
 from cuegrid.plans.registry import Registry
 from cuegrid.plans.speech import FLOOR, OVERHEAD, RATE, TOLERANCE
 from cuegrid.plans.timeline import _PLAN
@@ -228,3 +228,33 @@ SELECT recording_id, id, batch, CASE WHEN length(text) >= 8 AND trim(text) <> ''
 def translated_batches(spark, d):
     rows = a.table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("id"), F.floor(F.col("turn") / 4).alias("batch"), "text")
     return plugins.translated_batches(rows, "glossary").select("recording_id", "id", "batch", "text_tgt", F.col("attempts").cast("long").alias("attempts"))
+
+
+@register("snk04_subtitle_files")
+def subtitle_files(spark, d):
+    """Files of all conversations, whose language goes by their number; every fourth one has no translation."""
+    rows = a.dialogue(spark, d).select("recording_id", "id", "start_s", "end_s", F.col("text").alias("text_src"), F.when(F.col("recording_id") % 4 != 3, F.upper("text")).alias("text_tgt"), (F.col("id") % 3 * 250).alias("shift_ms"))
+    code = F.when(F.col("recording_id") % 5 == 0, "ja").when(F.col("recording_id") % 5 == 1, "de-AT").otherwise("en")
+    known = rows.select("recording_id").distinct().select("recording_id", F.concat(F.lit("in/film."), F.col("recording_id").cast("string"), F.lit(".mp4")).alias("input"), code.alias("lang"))
+    return cues.subtitle_files(rows, known)[0].select("recording_id", "kind", "lang", "name", "cues", F.sha2("content", 256).alias("content_sha256"))
+
+
+@register("src14_web_media", """WITH e AS (SELECT o_custkey AS item, count(*) AS entries, sum(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_orderkey % 600)::DOUBLE END) AS total FROM orders GROUP BY 1),
+f AS (SELECT p_size AS size, p_partkey AS ord, p_partkey % 9 = 0 AS blank, p_size * 30 AS height, p_partkey % 3 <> 0 AS v, p_partkey % 3 <> 1 AS au FROM part WHERE p_partkey <= 50),
+b AS (SELECT arg_max({'h': height, 'b': CASE WHEN NOT blank THEN ord * 1000 END}, (height, ord)) FILTER (au AND NOT v) AS a, arg_max({'h': height, 'b': CASE WHEN NOT blank THEN ord * 1000 END}, (height, ord)) FILTER (v AND NOT au AND height <= 720) AS v FROM f)
+SELECT item, item::VARCHAR AS id, 'https://x/' || item AS url, CASE WHEN item % 2 = 0 THEN 'Playlist' ELSE '(untitled)' END AS title, CASE WHEN item % 2 = 0 THEN CASE WHEN total > 0 THEN total END ELSE 60.5 END AS seconds, item % 2 = 0 AS is_playlist,
+  CASE WHEN item % 2 = 0 THEN entries ELSE 0 END AS entries, CASE WHEN item % 2 = 1 THEN v.h END AS height, CASE WHEN item % 2 = 1 THEN v.b + a.b END AS bytes FROM e, b""")
+def web_media(spark, d):
+    """Descriptions of customers: those of even number are playlists of their orders, the others have the first fifty parts as formats."""
+    k = F.col("p_partkey")
+    kind = lambda c: F.when(c, "x").otherwise("none")
+    size = F.when(k % 9 != 0, k * 1000)
+    formats = a.table(spark, d, "part").where(k <= 50).select(k.alias("k"), F.struct((F.col("p_size") * 30).alias("height"), F.when(k % 2 == 0, size).alias("filesize"), F.when(k % 2 == 1, size).alias("filesize_approx"), kind(k % 3 != 0).alias("vcodec"), kind(k % 3 != 1).alias("acodec")).alias("f"))
+    listed = formats.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda x: x["f"]).alias("formats"))
+    n = F.col("o_orderkey")
+    entry = F.struct(n.cast("string").alias("id"), F.when(n % 3 != 0, (n % 600).cast("double")).alias("duration"))
+    own = a.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.collect_list(entry).alias("entries"))
+    even = F.col("item") % 2 == 0
+    told = own.crossJoin(F.broadcast(listed)).select("item", F.concat(F.lit("https://x/"), F.col("item").cast("string")).alias("url"), F.to_json(F.struct(F.when(even, "playlist").alias("_type"), F.col("item").cast("string").alias("id"), F.when(~even, 60.5).alias("duration"), F.when(even, F.col("entries")).alias("entries"), F.when(~even, F.col("formats")).alias("formats"))).alias("json"))
+    out = readers.web_media(told, 720)
+    return out.select("item", "id", "url", "title", "seconds", "is_playlist", F.size("entries").cast("long").alias("entries"), "height", "bytes")

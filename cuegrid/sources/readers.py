@@ -162,3 +162,30 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     """A mono 16-bit file; samples beyond 1 are clipped."""
     body = np.clip(np.floor(np.asarray(samples) * 32767 + 0.5), -32768, 32767).astype("<i2").tobytes()
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+
+
+_FORMATS = "array<struct<height:int,filesize:bigint,filesize_approx:bigint,vcodec:string,acodec:string>>"
+_ENTRY = "struct<id:string,webpage_url:string,url:string,title:string,duration:double>"
+_INFO = f"struct<_type:string,id:string,webpage_url:string,title:string,uploader:string,channel:string,duration:double,thumbnail:string,thumbnails:array<struct<url:string>>,is_live:boolean,formats:{_FORMATS},entries:array<{_ENTRY}>>"
+
+
+def web_media(infos: DataFrame, limit: int | None = 1080, *, untitled: str = "(untitled)", playlist: str = "Playlist") -> DataFrame:
+    """(item, id, url, title, uploader, seconds, thumbnail, is_live, is_playlist, entries, height, bytes) of descriptions (item, url, json) of what an address holds.
+
+    A playlist has its entries (id, url, title, seconds), the sum of their seconds if that is more than none, and neither
+    height nor bytes; anything else has those that download_estimate gives for videos of at most ``limit`` lines (None:
+    any). A text that is no JSON object gives a row of nulls and defaults. item tells rows apart.
+    """
+    read = infos.select("item", F.col("url").alias("asked"), F.from_json("json", _INFO).alias("j"))
+    has = lambda c: F.coalesce(c, F.lit("none")) != "none"
+    formats = read.select("item", F.posexplode("j.formats").alias("ord", "f")).select("item", "ord", "f.height", F.coalesce("f.filesize", "f.filesize_approx").alias("bytes"), has(F.col("f.vcodec")).alias("has_video"), has(F.col("f.acodec")).alias("has_audio"))
+    sizes = download_estimate(formats, limit).withColumnRenamed("height", "h").withColumnRenamed("bytes", "b")
+    many = F.coalesce(F.col("j._type") == "playlist", F.lit(False))
+    entries = F.transform(F.coalesce("j.entries", F.array().cast(f"array<{_ENTRY}>")), lambda e: F.struct(F.coalesce(e["id"], F.lit("")).alias("id"), F.coalesce(e["webpage_url"], e["url"], F.lit("")).alias("url"), F.coalesce(e["title"], F.lit(untitled)).alias("title"), e["duration"].alias("seconds")))
+    total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + F.coalesce(e["seconds"], F.lit(0.0)))
+    one = lambda c: F.when(~many, c)
+    return read.join(sizes, "item", "left").select(
+        "item", F.coalesce("j.id", F.lit("")).alias("id"), F.when(many, F.col("asked")).otherwise(F.coalesce("j.webpage_url", "asked")).alias("url"), F.coalesce("j.title", F.when(many, playlist).otherwise(untitled)).alias("title"), F.coalesce("j.uploader", "j.channel").alias("uploader"),
+        F.when(many, F.when(total > 0, total)).otherwise(F.col("j.duration")).alias("seconds"), F.coalesce("j.thumbnail", F.get("j.thumbnails", 0)["url"]).alias("thumbnail"), (~many & F.coalesce("j.is_live", F.lit(False))).alias("is_live"), many.alias("is_playlist"),
+        F.when(many, entries).otherwise(F.slice(entries, 1, 0)).alias("entries"), one(F.col("h")).alias("height"), one(F.col("b")).alias("bytes"),
+    )
