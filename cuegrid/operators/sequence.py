@@ -6,6 +6,8 @@ result cannot depend on the state before it begins a new chain, so a long record
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,27 @@ def so_far(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-#: Results of a fold that are copied at each step, at most; the rest stands in full lists of so many.
-_FULL = 64
-
-
-def no_results(kind: str) -> list[Column]:
-    """Fields of a fold's state that gather results of that kind, one for each step."""
-    return [F.expr(f"CAST(array() AS array<array<{kind}>>)").alias("full"), F.expr(f"CAST(array() AS array<{kind}>)").alias("latest")]
+def folded(xs: str, kind: str, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """array<kind> with a result for each element of xs, which is not empty: step gets the state and an element and gives the next state and the result.
 
+    Spark copies the whole of what ``aggregate`` carries at each step. So elements go through in blocks of about the root
+    of their number: a block's results are carried within it, and those of finished blocks from block to block only.
+    """
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(xs)))).cast("int")
+    none = F.expr(f"CAST(array() AS array<{kind}>)").alias("out")
+    fields = lambda s: [s[n].alias(n) for n in state]
 
-def gathered(s: Column, item: Column) -> list[Column]:
-    """The fields with one result more. Appending copies at most _FULL results and the list of full lists, not all results so far."""
-    full = F.size(s["latest"]) >= _FULL
-    return [F.when(full, F.concat(s["full"], F.array(s["latest"]))).otherwise(s["full"]).alias("full"), F.when(full, F.array(item)).otherwise(F.concat(s["latest"], F.array(item))).alias("latest")]
+    def one(s: Column, x: Column) -> Column:
+        after, result = step(s, x)
+        return F.struct(*[c.alias(n) for n, c in after.items()], F.concat(s["out"], F.array(result)).alias("out"))
 
+    def block(s: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(*fields(s), none), one)
+        # A list of one names the finished block, which is then worked out once.
+        return F.get(F.transform(F.array(done), lambda d: F.struct(*fields(d), F.concat(s["out"], d["out"]).alias("out"))), 0)
 
-def results(s: Column) -> Column:
-    return F.flatten(F.concat(s["full"], F.array(s["latest"])))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: F.slice(xs, i * size + 1, size))
+    return F.aggregate(blocks, F.struct(*[c.alias(n) for n, c in state.items()], none), block, lambda s: s["out"])
 
 
 def islands(df: DataFrame, order: Window, broken: Column, name: str = "island") -> DataFrame:
@@ -128,16 +134,15 @@ def plan_alignment(
     chained = islands(rows, w, F.col("start_s") >= latest, "chain")
     item = F.struct("start_s", "id", "effective1", "effective2", "cut")
     grouped = chained.groupBy(*BY, "chain").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("reached"), *no_results("struct<id:bigint,at:double,capped:boolean>"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
         free = F.greatest(x["start_s"], F.coalesce(s["reached"] + gap, x["start_s"]))
         over = free - x["start_s"] > most_shift
         at = F.when(over, x["start_s"] + most_shift).otherwise(free)
-        return F.struct((at + F.when(over, x["effective2"]).otherwise(x["effective1"])).alias("reached"), *gathered(s, F.struct(x["id"].alias("id"), at.alias("at"), over.alias("capped"))))
+        return {"reached": at + F.when(over, x["effective2"]).otherwise(x["effective1"])}, F.struct(x["id"].alias("id"), at.alias("at"), over.alias("capped"))
 
-    placed = grouped.select(*BY, F.explode(F.aggregate("xs", start, step, results)).alias("p")).select(*BY, "p.*")
+    places_ = folded("xs", "struct<id:bigint,at:double,capped:boolean>", {"reached": F.lit(None).cast("double")}, step)
+    placed = grouped.select(*BY, F.explode(places_).alias("p")).select(*BY, "p.*")
     out = rows.join(placed, [*BY, "id"])
     effective = F.when(F.col("capped"), F.col("effective2")).otherwise(F.col("effective1"))
     shift = F.when(F.col("capped"), F.lit(most_shift)).otherwise(F.col("at") - F.col("start_s"))
@@ -168,15 +173,15 @@ def pull_continuations(df: DataFrame, *, gap: float = 0.05, most: float = 3.0, p
     chained = islands(rows, w, ~F.col("_goes"), "chain")
     item = F.struct("start_s", "id", "shift_ms", "aligned_duration", "_rest")
     grouped = chained.groupBy(*BY, "chain").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("reached"), *no_results("struct<id:bigint,shift:bigint>"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
         now = x["start_s"] + x["shift_ms"] / 1000
         wanted = F.greatest(x["start_s"] - most, s["reached"] + x["_rest"])
         shift = F.when(s["reached"].isNotNull() & (wanted < now - 0.05), F.floor((wanted - x["start_s"]) * 1000 + F.lit(0.5)).cast("bigint")).otherwise(x["shift_ms"])
-        return F.struct((x["start_s"] + shift / 1000 + x["aligned_duration"]).alias("reached"), *gathered(s, F.struct(x["id"].alias("id"), shift.alias("shift"))))
+        return {"reached": x["start_s"] + shift / 1000 + x["aligned_duration"]}, F.struct(x["id"].alias("id"), shift.alias("shift"))
 
-    moved = grouped.select(*BY, F.explode(F.aggregate("xs", start, step, results)).alias("p")).select(*BY, F.col("p.id").alias("id"), F.col("p.shift").alias("new_shift_ms"))
+    shifts = folded("xs", "struct<id:bigint,shift:bigint>", {"reached": F.lit(None).cast("double")}, step)
+    moved = grouped.select(*BY, F.explode(shifts).alias("p")).select(*BY, F.col("p.id").alias("id"), F.col("p.shift").alias("new_shift_ms"))
     return df.join(moved, [*BY, "id"], "left").withColumn("new_shift_ms", F.coalesce("new_shift_ms", "shift_ms"))
 
 
@@ -202,14 +207,14 @@ def sentences(words: DataFrame, *, most_gap: float = 0.7, most_seconds: float =
     final = F.lag("word").over(w).rlike('[.!?…]["»”)\\]]*$')
     cut = islands(words, w, final | (F.col("start_s") - F.lag("end_s").over(w) > most_gap), "_piece")
     grouped = cut.groupBy(*BY, "_piece").agg(F.array_sort(F.collect_list(F.struct("id", "start_s", "end_s"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("double").alias("begun"), F.lit(0).cast("long").alias("k"), *no_results("struct<id:bigint,k:bigint>"))
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
         fresh = F.coalesce(x["end_s"] - s["begun"] > most_seconds, F.lit(True))
         k = s["k"] + fresh.cast("long")
-        return F.struct(F.when(fresh, x["start_s"]).otherwise(s["begun"]).alias("begun"), k.alias("k"), *gathered(s, F.struct(x["id"].alias("id"), k.alias("k"))))
+        return {"begun": F.when(fresh, x["start_s"]).otherwise(s["begun"]), "k": k}, F.struct(x["id"].alias("id"), k.alias("k"))
 
-    split = grouped.select(*BY, "_piece", F.explode(F.aggregate("xs", start, step, results)).alias("p")).select(*BY, "_piece", "p.*")
+    numbers = folded("xs", "struct<id:bigint,k:bigint>", {"begun": F.lit(None).cast("double"), "k": F.lit(0).cast("long")}, step)
+    split = grouped.select(*BY, "_piece", F.explode(numbers).alias("p")).select(*BY, "_piece", "p.*")
     new = split.withColumn("_new", F.coalesce((F.col("k") != F.lag("k").over(w)) | (F.col("_piece") != F.lag("_piece").over(w)), F.lit(True)).cast("int"))
     numbered = new.select(*BY, "id", (F.sum("_new").over(so_far(w)) - 1).cast("long").alias("sentence"))
     return words.join(numbered, [*BY, "id"])

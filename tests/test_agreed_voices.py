@@ -129,13 +129,13 @@ def test_requests_hold_what_a_line_may_be(spark):
 
 
 def test_a_long_chain_costs_no_square(spark):
-    """One chain of 60,000 rows: results are gathered in short lists."""
+    """One chain of 60,000 rows, whose results are carried block by block; all of them at each step took a minute."""
     n = 60_000
     df = spark.range(n).select(F.lit(1).cast("long").alias("recording_id"), "id", (F.col("id") * 1.0).alias("start_s"), (F.col("id") + 0.9).alias("end_s"), F.lit(1.6).alias("tts_duration"))
     began = time.time()
     out = sequence.plan_alignment(df, borrow=0.0)
     assert out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d")).first() == (n, n)
-    assert time.time() - began < 60
+    assert time.time() - began < 30
 
 
 def test_nearest_voice_equals_all_pairs(spark):
