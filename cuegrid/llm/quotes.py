@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import stored
+from cuegrid.llm.common import small, stored
 
 #: Positions within a conversation are counted in blocks of so many turns.
 BLOCK = 1024
+#: Rows of one thread and block of turns that one task may order; more are split by turn, role and text.
+CELL = 64 * BLOCK
 _BLANK = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -64,6 +66,44 @@ def _threads(parents: DataFrame) -> DataFrame:
         known = next_.drop("moved")
 
 
+def _before(counts: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """counts (keys, n) with ``before``: the rows of the first level's keys that stand before each row's own, in order of the further levels. Each level is summed over those below it, so a window sees only one level's keys."""
+    keys, done = list(levels[0]), None
+    for level in levels[1:]:
+        outer, keys = keys, [*keys, *level]
+        earlier = F.sum("n").over(Window.partitionBy(*outer).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1))
+        sums = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(*keys, F.coalesce(earlier, F.lit(0)).alias("here"))
+        if done is not None:
+            sums = sums.join(done, outer).select(*keys, (F.col("here") + F.col("before")).alias("here"))
+        done = sums.withColumnRenamed("here", "before")
+    return done
+
+
+def _positions(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """rows with ``position``, from 0 within (cn, ck), by (tn, rk, bk), then turn, role and copy. heads are the same rows with only the columns that say where they stand."""
+    place = ["cn", "ck", "tn", "rb", "rk", "bk"]
+    blocks = stored(heads.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    before = _before(blocks, [["cn", "ck"], ["tn", "rb"], ["rk"], ["bk"]])
+    out = rows.join(before, place)
+    crowded = blocks.where(F.col("n") > CELL)
+    if crowded.isEmpty():
+        return out.withColumn("position", F.col("before") + F.row_number().over(Window.partitionBy(*place).orderBy("turn", "role", "copy")) - 1)
+    hot = small(crowded.select(*place, F.lit(True).alias("hot")))
+    # Rows of a crowded block are told apart by turn, role and the first digits of their text's digest, which keep the order.
+    fine = ["ft", "fr", "fn", "fc"]
+    of = [F.col("turn"), F.col("role").isNotNull(), F.col("role").cast("string"), F.substring("copy", 1, 3)]
+    none = [F.lit(-1), F.lit(False), F.lit(""), F.lit("")]
+
+    def split(df: DataFrame) -> DataFrame:
+        return df.join(hot, place, "left").select("*", *(F.coalesce(F.when(F.col("hot"), x), y).alias(c) for c, x, y in zip(fine, of, none, strict=True)))
+
+    finer = split(heads).where("hot").groupBy(*place, *fine).agg(F.count(F.lit(1)).alias("n"))
+    inside = _before(finer, [place, ["ft", "fr", "fn"], ["fc"]]).withColumnRenamed("before", "inside")
+    order = Window.partitionBy(*place, *fine).orderBy("turn", "role", "copy")
+    out = split(out).join(inside, [*place, *fine], "left")
+    return out.withColumn("position", F.col("before") + F.coalesce("inside", F.lit(0)) + F.row_number().over(order) - 1)
+
+
 def linked(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turn, role, text, n_quoted, n_linked, quote_depth, reply_to, root_turn, depth, position) for each message.
 
@@ -73,8 +113,10 @@ def linked(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     level quotes. text is without quoted lines. Messages stand in reply order: by their thread's first turn, then turn;
     ``position`` counts from 0 within the conversation.
 
-    Conversations are joined by (conversation, hash), grouped before, and positions are counted by blocks of turns, so
-    one conversation may hold most rows. A null text is empty. A message with a null conversation or turn loses its
+    Conversations are joined by (conversation, hash), grouped before. Positions are running sums of counts by blocks of
+    first turns, then first turns, then blocks of turns, and a block that holds many rows is split by turn, role and text,
+    so one conversation, or messages without turn, may hold most rows. Only rows that are equal in all four columns are
+    numbered in one task, which spills. A null text is empty. A message with a null conversation or turn loses its
     quotes but links with nothing; its position is among such rows. Rows that share conversation and turn reply as one
     message and stay as rows. An empty table gives none. Only the four named columns are read.
     """
@@ -90,17 +132,12 @@ def linked(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
         F.coalesce(F.array_max(F.transform("lines", _level)), F.lit(0)).cast("long").alias("quote_depth"),
     )
     out = body.join(threads, ["conv", "turn"], "left").join(per, ["conv", "turn", "copy"], "left")
-    out = out.withColumn("root_turn", F.coalesce("root_turn", "turn")).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    out = out.select("*", F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("ck"), F.col("conv").isNull().alias("cn"), F.coalesce("root_turn", F.lit(-1)).alias("rk"), F.coalesce("block", F.lit(-1)).alias("bk"), F.col("turn").isNull().alias("tn"))
+    out = out.withColumn("root_turn", F.coalesce("root_turn", "turn"))
+    root = F.coalesce("root_turn", "turn", F.lit(-1))
+    where = [F.col("conv").isNull().alias("cn"), F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("ck"), F.col("turn").isNull().alias("tn"), F.floor(root / BLOCK).alias("rb"), root.alias("rk"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("bk")]
     # The few columns that say where a message stands are counted apart from the texts.
-    place = ["cn", "ck", "tn", "rk", "bk"]
-    heads = all_.select("conv", "turn").join(threads.select("conv", "turn", "root_turn"), ["conv", "turn"], "left")
-    heads = heads.select(F.col("conv").isNull().alias("cn"), F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("ck"), F.col("turn").isNull().alias("tn"), F.coalesce("root_turn", "turn", F.lit(-1)).alias("rk"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("bk"))
-    blocks = stored(heads.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
-    per_talk = Window.partitionBy("cn", "ck").orderBy("tn", "rk", "bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*place, F.coalesce(F.sum("n").over(per_talk), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*place).orderBy("turn", "role", "copy")
-    out = out.join(offsets, place).withColumn("position", F.col("before") + F.row_number().over(within) - 1)
+    heads = all_.select("conv", "turn", "role", F.md5(F.array_join("lines", "\n")).alias("copy")).join(threads.select("conv", "turn", "root_turn"), ["conv", "turn"], "left")
+    out = _positions(out.select("*", *where), heads.select("turn", "role", "copy", *where))
     return out.select("conv", "turn", "role", "text", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "quote_depth", "reply_to", "root_turn", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("position").cast("long").alias("position"))
 
 
