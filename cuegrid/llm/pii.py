@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import stored
+from cuegrid.llm.common import discard, stored
 from cuegrid.llm.textnum import pieces
 
 #: The kinds in the order of reports, and the rules' patterns.
@@ -476,19 +477,50 @@ class Finder:
         return sorted([*base, *more], key=lambda s: (s.start, KINDS.index(s.kind), s.end)) if more else base
 
 
+class _Least:
+    """The ``most`` distinct texts of least hash of those given so far."""
+
+    def __init__(self, most: int):
+        self.most, self.bound, self.kept = most, None, {}
+
+    def wants(self, h: int) -> bool:
+        return self.most > 0 and (self.bound is None or h <= self.bound)
+
+    def add(self, h: int, text: str) -> None:
+        self.kept[text] = h
+        if len(self.kept) > 4 * self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        if len(self.kept) > self.most:
+            rows = sorted((h, text) for text, h in self.kept.items())[: self.most]
+            self.kept, self.bound = {text: h for h, text in rows}, rows[-1][0]
+
+
 def sample(docs: DataFrame, *, text_col: str = "text", most: int = FIT_REGIONS) -> list[str]:
-    """At most ``most`` distinct regions of the texts, those of least hash; half of them with base spans if there are so many."""
+    """At most ``most`` distinct regions of the texts, those of least hash; half of them with base spans if there are so many. Regions of more than ``MEMO_CHARS`` characters are not in it. Each task hands on its own least ones only, among which those of all the rows are."""
     named = docs.select(F.col(f"`{text_col}`").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = [_Least(most // 2), _Least(most // 2)]
         for batch in batches:
             for piece in pieces(batch):
-                out = list(dict.fromkeys([text[a:b] for text in piece.column("text").to_pylist() for a, b in regions(text) if b - a <= MEMO_CHARS]))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([bool(base_spans(r)) for r in out], pa.bool_())], ["region", "held"])
-
-    found = stored(named.mapInArrow(run, "region string, held boolean").withColumn("h", F.xxhash64("region")))
+                for text in piece.column("text").to_pylist():
+                    for region in {text[a:b] for a, b in regions(text) if b - a <= MEMO_CHARS}:
+                        h = xxhash.xxh64_intdigest(region.encode("utf-8", "surrogatepass"), seed=42)
+                        h -= (h >> 63) << 64  # signed, as in Spark
+                        if any(half.wants(h) for half in halves) and (half := halves[bool(base_spans(region))]).wants(h):
+                            half.add(h, region)
+        for held, half in enumerate(halves):
+            half.prune()
+            rows = list(half.kept.items())
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.string()), pa.array([bool(held)] * len(rows), pa.bool_()), pa.array([h for _, h in rows], pa.int64())], ["region", "held", "h"])
+
+    found = stored(named.mapInArrow(run, "region string, held boolean, h long"))
     halves = [found.where("held"), found.where("not held")]
-    return [r.region for half in halves for r in half.select("h", "region").distinct().orderBy("h", "region").limit(most // 2).collect()]
+    out = [r.region for half in halves for r in half.select("h", "region").distinct().orderBy("h", "region").limit(most // 2).collect()]
+    discard(found)
+    return out
 
 
 def train(docs: DataFrame, *, text_col: str = "text", most: int = FIT_REGIONS) -> Model:
