@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuegrid.plans import records, rounds, speech, texts, timeline, voices
+from cuegrid.plans import models, records, rounds, speech, texts, timeline, voices
 
-_MODULES = (timeline, texts, speech, records, voices, rounds)
+_MODULES = (timeline, texts, speech, records, voices, rounds, models)
 
 
 def queries() -> dict:

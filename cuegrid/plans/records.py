@@ -197,6 +197,6 @@ def octaves_folded(spark, d):
 @register("udf04_translated")
 @register("udf04_all_translated")
 def all_translated(spark, d):
-    """Every text of every conversation; the query above and its SQL keep a tenth of them."""
+    """Every text of every conversation."""
     rows = a.table(spark, d, "conversations")
     return plugins.translated(rows.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("id"), F.floor(F.col("turn") / 4).alias("batch"), "text"))

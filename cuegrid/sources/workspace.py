@@ -6,6 +6,10 @@ Writers replace whole recordings and leave all others as they are.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +106,27 @@ def write_recordings(df: DataFrame, root: str, *, by: str = "recording_id") -> N
 def read_recordings(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """What write_recordings wrote, with the given schema (which names recording_id)."""
     return spark.read.schema(schema).json(root)
+
+
+def catalogue_snapshot(spark: SparkSession, at: str, fetch: Callable[[], str], *, most_age_s: float = 86_400, force: bool = False) -> DataFrame:
+    """The model list that ``fetch`` gives as JSON text, as readers.catalogue reads it, with a snapshot of it in the folder ``at``.
+
+    A snapshot younger than so many seconds is read in place of a call, unless ``force`` is set or it is no JSON. A call
+    that raises, or whose answer is no JSON, raises and leaves the snapshot as it was; else the new one replaces it in one
+    step. The text is one list of models and goes through the driver.
+    """
+    young = F.col("_metadata.file_modification_time") > F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(most_age_s)))
+    if not force:
+        try:
+            held = read_recordings(spark, at, "json string, name string").where(young & F.try_parse_json("json").isNotNull()).select("json").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            held = None
+        if held:
+            return readers.catalogue(spark.createDataFrame([(held.json,)], "json string"))
+    text = fetch()
+    json.loads(text)
+    new = spark.createDataFrame([("models", text)], "name string, json string")
+    write_recordings(new, at, by="name")
+    return readers.catalogue(new)
