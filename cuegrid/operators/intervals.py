@@ -108,8 +108,9 @@ def evaluation_report(golden: DataFrame, produced: DataFrame, *, tolerance_ms: i
 
 
 def alone(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """segments that at most one speaker's turns overlap."""
-    pairs = overlap_join(segments.select("recording_id", "id", "start_s", "end_s"), turns.select("recording_id", "start_s", "end_s", "speaker"), by=["recording_id"]).where(shared() > 0)
+    """segments that at most one speaker's turns overlap; a turn of no length overlaps the segment that it lies in."""
+    pairs = overlap_join(segments.select("recording_id", "id", "start_s", "end_s"), turns.select("recording_id", "start_s", "end_s", "speaker"), by=["recording_id"])
+    pairs = pairs.where((F.col("r_end_s") > F.col("start_s")) & (F.col("r_start_s") < F.col("end_s")))
     crowded = pairs.groupBy("recording_id", "id").agg(F.min("r_speaker").alias("x"), F.max("r_speaker").alias("y")).where("x <> y").select("recording_id", "id")
     return segments.join(crowded, ["recording_id", "id"], "left_anti")
 
