@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cuegrid.functions import fixed
+from cuegrid.functions.numbers import places
 
 BLANK = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -211,7 +212,8 @@ def bytes_text(n: Column) -> Column:
 
 
 def cost_text(usd: Column) -> Column:
-    return F.when(usd == 0, "free").when(usd < 0.01, F.concat(F.lit("$"), F.format_string("%.5f", usd))).otherwise(F.concat(F.lit("$"), F.format_string("%.4f", usd)))
+    shown = lambda n: F.concat(F.lit("$"), F.format_string(f"%.{n}f", places(usd, n)))
+    return F.when(usd == 0, "free").when(usd < 0.01, shown(5)).otherwise(shown(4))
 
 
 def clip_key(voice: Column, text: Column, engine: Column) -> Column:
