@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as tx
 from cuegrid.functions.numbers import places
 from cuegrid.operators import sequence
-from cuegrid.operators.intervals import snap_to_speech, speaker_of
+from cuegrid.operators.intervals import overlap_join, snap_to_speech, speaker_names, speaker_of
 from cuegrid.operators.words import refined
 
 #: Seconds: pauses at which a long row is cut, widest first.
 PAUSES = (0.4, 0.3, 0.2, 0.15)
 WORDS = "array<struct<word:string,start:double,end:double>>"
+#: Elements of lists that are Python objects at one time.
+HELD = 1 << 14
+
+
+def slices(batch: pa.RecordBatch, lists: str) -> Iterator[list[dict]]:
+    """A batch's rows, a few at a time: their lists have at most HELD elements together, or it is one row."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + HELD, "right")))
+        yield batch.slice(at, to - at).to_pylist()
+        at = to
 
 
 def _cut(words: list[dict], most: float) -> list[tuple[list[dict], bool]]:
@@ -51,24 +69,26 @@ def split_long(rows: DataFrame, *, most: float = 30.0) -> DataFrame:
     """
     own = [c if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("start_s", "double"), ("end_s", "double"), ("text", "string"))]
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                words = [w if isinstance(w, dict) else w.asDict() for w in (r.words if r.words is not None else [])]
-                words = [w for w in words if w["start"] is not None and w["end"] is not None and math.isfinite(w["start"]) and math.isfinite(w["end"])]
-                timed = pd.notna(r.start_s) and pd.notna(r.end_s)
-                if len(words) > 1 or words and not timed:
-                    for k, (part, forced) in enumerate(_cut(words, most)):
-                        out.append((r.recording_id, r.id, k, r.speaker, part[0]["start"], part[-1]["end"], " ".join(w["word"] for w in part), part, forced))
-                elif timed and r.text is not None and math.isfinite(r.end_s - r.start_s):
-                    for k, (start, end, part, forced) in enumerate(_halved(r.start_s, r.end_s, r.text.split(), most)):
-                        out.append((r.recording_id, r.id, k, r.speaker, start, end, " ".join(part), words, forced))
-                else:
-                    out.append((r.recording_id, r.id, 0, r.speaker, r.start_s if timed else None, r.end_s if timed else None, r.text, words, False))
-            yield pd.DataFrame(out, columns=["recording_id", "id", "piece", "speaker", "start_s", "end_s", "text", "words", "forced"])
-
-    return rows.select("recording_id", "id", "speaker", "words", *own).mapInPandas(run, f"recording_id long, id long, piece int, speaker string, start_s double, end_s double, text string, words {WORDS}, forced boolean")
+    word = pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])
+    schema = pa.schema([("recording_id", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("speaker", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("words", pa.list_(word)), ("forced", pa.bool_())])
+
+    def pieces(r: dict) -> list[tuple]:
+        words = [w for w in r["words"] or [] if w["start"] is not None and w["end"] is not None and math.isfinite(w["start"]) and math.isfinite(w["end"])]
+        start, end, key = r["start_s"], r["end_s"], (r["recording_id"], r["id"])
+        timed = start is not None and end is not None and not math.isnan(start) and not math.isnan(end)
+        if len(words) > 1 or words and not timed:
+            return [(*key, k, r["speaker"], part[0]["start"], part[-1]["end"], " ".join(w["word"] for w in part), part, forced) for k, (part, forced) in enumerate(_cut(words, most))]
+        if timed and r["text"] is not None and math.isfinite(end - start):
+            return [(*key, k, r["speaker"], a, z, " ".join(part), words, forced) for k, (a, z, part, forced) in enumerate(_halved(start, end, r["text"].split(), most))]
+        return [(*key, 0, r["speaker"], start if timed else None, end if timed else None, r["text"], words, False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in (x for b in batches for x in slices(b, "words")):
+            columns = zip(*(p for r in some for p in pieces(r)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    told = [F.col(c).cast(kind) for c, kind in (("recording_id", "long"), ("id", "long"), ("speaker", "string"), ("words", WORDS))]
+    return rows.select(*told, *own).mapInArrow(run, f"recording_id long, id long, piece int, speaker string, start_s double, end_s double, text string, words {WORDS}, forced boolean")
 
 
 def build(rows: DataFrame, *, least: float = 0.4) -> DataFrame:
@@ -96,33 +116,60 @@ def _merged(runs: list[list]) -> list[list]:
     return out
 
 
+def _heard(word: dict, turns: list[dict], starts: list[float], reached: list[float]) -> str | None:
+    """The name of the speaker with the most time in common with a word, the first heard wins ties; else of the first turn that touches it. Turns are sorted by start; ``reached`` is how far those up to each reach."""
+    a, z = word["start"], word["end"]
+    if a is None or z is None or not math.isfinite(a) or not math.isfinite(z):
+        return None
+    met = [t for t in turns[bisect_left(reached, a) : bisect_right(starts, z)] if t["end"] >= a]
+    total: dict[str | None, list] = {}
+    for t in met:
+        if (own := min(z, t["end"]) - max(a, t["start"])) > 0:
+            held = total.setdefault(t["speaker"], [0.0, (t["start"], t["id"]), t["name"]])
+            held[0] += own
+    name = min(((-v[0], v[1], k or "", v[2]) for k, v in total.items()), default=(None,))[-1]
+    return name if name is not None or not met else met[0]["name"]
+
+
 def split_by_speaker(rows: DataFrame, turns: DataFrame) -> DataFrame:
-    """(recording_id, id, piece, speaker_name, start_s, end_s): rows (with words) cut where the speaker of their words changes and both parts are long enough; the outer edges stay."""
-    whole = speaker_of(rows.select("recording_id", "id", "start_s", "end_s"), turns)
-    words = rows.where(F.size("words") >= 4).select("recording_id", F.col("id").alias("row_id"), F.posexplode("words").alias("pos", "w"))
-    keyed = words.select("recording_id", F.concat_ws(":", "row_id", "pos").alias("id"), "row_id", "pos", F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"))
-    each = speaker_of(keyed, turns, fallback="", within=0.0)
-    told = each.groupBy("recording_id", F.col("row_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "start_s", "end_s", "speaker_name"))).alias("ws"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                runs: list[list] = []
-                for w in r.ws if r.ws is not None else []:
-                    who = w["speaker_name"] or r.speaker_name
-                    if runs and runs[-1][0] == who:
-                        runs[-1][1].append((w["pos"], w["start_s"], w["end_s"]))
-                    else:
-                        runs.append([who, [(w["pos"], w["start_s"], w["end_s"])]])
-                parts = _merged(runs) if len(runs) > 1 else []
-                if len(parts) < 2:
-                    out.append((r.recording_id, r.id, 0, r.speaker_name, r.start_s, r.end_s))
-                else:
-                    out += [(r.recording_id, r.id, k, who, r.start_s if k == 0 else round(own[0][1], 3), r.end_s if k == len(parts) - 1 else round(own[-1][2], 3)) for k, (who, own) in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["recording_id", "id", "piece", "speaker_name", "start_s", "end_s"])
-
-    return whole.join(told, ["recording_id", "id"], "left").mapInPandas(run, "recording_id long, id long, piece int, speaker_name string, start_s double, end_s double")
+    """(recording_id, id, piece, speaker_name, start_s, end_s): rows (with words) cut where the speaker of their words changes and both parts are long enough; the outer edges stay.
+
+    The turns that meet a row's words go to the row, so no word is a row of its own.
+    """
+    key = ["recording_id", "id"]
+    whole = speaker_of(rows.select(*key, "start_s", "end_s"), turns)
+    times = F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
+    long = rows.where(F.size("words") >= 4).select(*key, times.alias("ws"))
+    sound = F.filter("ws", lambda w: w["start"].isNotNull() & w["end"].isNotNull() & (F.abs(w["start"]) < float("inf")) & (F.abs(w["end"]) < float("inf")))
+    span = long.select(*key, F.array_min(F.transform(sound, lambda w: w["start"])).alias("start_s"), F.array_max(F.transform(sound, lambda w: w["end"])).alias("end_s"))
+    named = turns.select(*key, "start_s", "end_s", "speaker").join(speaker_names(turns), ["recording_id", "speaker"], "left")
+    turn = F.struct(F.col("r_start_s").alias("start"), F.col("r_id").alias("id"), F.col("r_end_s").alias("end"), F.col("r_speaker").alias("speaker"), F.col("r_name").alias("name"))
+    met = overlap_join(span, named, by=["recording_id"]).groupBy(*key).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    told = long.join(met, key, "left")
+
+    schema = pa.schema([("recording_id", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("speaker_name", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+    def parts(r: dict) -> list[tuple]:
+        turns, runs = r["turns"] or [], []
+        starts, reached = [t["start"] for t in turns], list(accumulate((t["end"] for t in turns), max))
+        for k, w in enumerate(r["ws"] or []):
+            who = _heard(w, turns, starts, reached) or r["speaker_name"]
+            if not runs or runs[-1][0] != who:
+                runs.append([who, []])
+            runs[-1][1].append((k, w["start"], w["end"]))
+        own = _merged(runs) if len(runs) > 1 else []
+        if len(own) < 2:
+            return [(r["recording_id"], r["id"], 0, r["speaker_name"], r["start_s"], r["end_s"])]
+        last = len(own) - 1
+        return [(r["recording_id"], r["id"], k, who, r["start_s"] if k == 0 else round(ws[0][1], 3), r["end_s"] if k == last else round(ws[-1][2], 3)) for k, (who, ws) in enumerate(own)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in (x for b in batches for x in slices(b, "ws")):
+            columns = zip(*(p for r in some for p in parts(r)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    both = whole.join(told, key, "left").select(F.col("recording_id").cast("long"), F.col("id").cast("long"), F.col("start_s").cast("double"), F.col("end_s").cast("double"), "speaker_name", "ws", "turns")
+    return both.mapInArrow(run, "recording_id long, id long, piece int, speaker_name string, start_s double, end_s double")
 
 
 FLAGS = "array<string>"

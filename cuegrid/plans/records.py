@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid import plugins
@@ -22,10 +22,16 @@ words AS (SELECT recording_id, id, word, id * 0.5::DOUBLE + (id // 7) * 0.5::DOU
 
 
 def spoken(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = a.table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), "turn", F.posexplode(F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")).alias("i", "word"))
-    id_ = F.row_number().over(Window.partitionBy("recording_id").orderBy("turn", "i")).cast("long")
+    # Words are numbered by the turns' sizes, so that texts meet by recording and not words. Turns of one number take turns word by word.
+    talk = a.table(spark, d, "conversations").select(F.col("conv_id").alias("recording_id"), "turn", F.filter(F.split("text", "[ \\n]+"), lambda x: x != "").alias("ws"))
+    by, equal = Window.partitionBy("recording_id"), Window.partitionBy("recording_id", "turn")
+    size = F.greatest(F.size("ws"), F.lit(0)).cast("long")
+    talk = talk.withColumn("before", F.sum(size).over(by.orderBy("turn")) - F.sum(size).over(equal)).withColumn("sizes", F.collect_list(size).over(equal.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    talk = talk.withColumn("nth", F.row_number().over(equal.orderBy("turn")))
+    rows = talk.select("recording_id", "before", "sizes", "nth", F.posexplode("ws").alias("i", "word"))
+    i = F.col("i").cast("long")
+    dealt = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + F.least(n, i)) + F.aggregate(F.slice("sizes", F.lit(1), F.col("nth") - 1), F.lit(0).cast("long"), lambda s, n: s + (n > i).cast("long"))
+    id_ = (F.col("before") + 1 + F.when(F.size("sizes") == 1, i).otherwise(dealt)).cast("long")
     rows = rows.select("recording_id", id_.alias("id"), "word")
     start = F.col("id") * 0.5 + F.floor(F.col("id") / 7) * 0.5
     return rows.select("recording_id", "id", "word", start.alias("start_s"), (start + 0.4).alias("end_s"))
