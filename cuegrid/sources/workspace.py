@@ -19,6 +19,8 @@ META = "struct<input:string,input_hash:string,duration_seconds:double,created_at
 CUES = "array<struct<index:int,start:double,end:double,lines:array<string>,segmentId:int>>"
 SPEAKERS = "map<string,struct<gender:string,f0:double,voicedSeconds:double,p25:double,p75:double,text:struct<gender:string,self:int,address:int,examples:array<string>>>>"
 REVIEW = "struct<reviewed_at:string,engine:string,model:string,lines:int,applied:int,rejected:int,discarded:boolean,entries:array<struct<id:int,before:string,after:string,reason:string,verdict:string,miss_before:double,miss_after:double>>>"
+#: Rows of one file.
+PART_ROWS = 1_000_000
 STATE = "struct<fingerprints:map<string,string>,segmentsHash:map<string,string>>"
 
 
@@ -96,11 +98,16 @@ def write_recordings(df: DataFrame, root: str, *, by: str = "recording_id") -> N
     """Writes df as JSON lines under root, a folder ``recording_id=...`` for each recording that df holds, which it replaces as a whole; other recordings stay.
 
     Spark writes beside and moves the new folders in place when all tasks have ended, so a write that fails, for whatever
-    reason, leaves what was there. Rows of a recording are hashed to a few tasks by recording, and a long recording is
-    several files of at most a million rows.
+    reason, leaves what was there. Time goes by the number of files, so a recording is one file of at most PART_ROWS rows,
+    and a longer one is as many files as it needs, in tasks of their own. Tasks move their own files to the place beside;
+    the driver moves folders only.
     """
-    spread = df.repartition(F.col(by), F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(4)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1_000_000).option("ignoreNullFields", False).partitionBy(by).json(root)
+    # Rows are counted first; only recordings of more than one part are named again.
+    parts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART_ROWS).select(by, F.ceil(F.col("_n") / PART_ROWS).cast("int").alias("_parts"))
+    nth = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.coalesce("_parts", F.lit(1)))
+    spread = df.join(parts, by, "left").withColumn("_part", nth).repartition(F.col(by), F.col("_part")).drop("_parts", "_part")
+    out = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    out.option("maxRecordsPerFile", PART_ROWS).option("ignoreNullFields", False).partitionBy(by).json(root)
 
 
 def read_recordings(spark: SparkSession, root: str, schema: str) -> DataFrame:
