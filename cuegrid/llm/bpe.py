@@ -26,8 +26,8 @@ from cuegrid.llm.textnum import freed, pieces
 END = "</w>"
 #: The first code point of the letters that stand for a word's last byte.
 _LAST = 0x4000
-#: Words, runs of words and pairs of tokens that one task remembers at most.
-REMEMBERED = 80_000
+#: Words that one task remembers at most, and runs of words and pairs of tokens.
+REMEMBERED, RUNS = 80_000, 240_000
 #: Bytes of text taken at once.
 PIECE = 1 << 20
 #: Fixed values of the vocabulary: how it splits a text into words.
@@ -152,7 +152,7 @@ class Codec:
     def follows(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= RUNS:
                 self.pairs.clear()
             known = self.pairs[a << 32 | b] = not self._crosses(a, b, len(self.rank) + 1)
         return known
@@ -200,7 +200,7 @@ class Codec:
             self.missed = 0
             self.known.clear()
             self.known_words.clear()
-        if len(self.known) < REMEMBERED and len(run) <= 48:
+        if len(self.known) < RUNS and len(run) <= 48:
             self.known[run] = out
         return out
 

@@ -114,3 +114,11 @@ def test_vectors_of_any_size(spark):
     rows = [(1, [1e160, 0.0], 1), (2, [1e160, 1e158], 1), (3, [1e-170, 0.0], 1), (4, [5e-324, 0.0], 1), (5, [0.0, 1e300], 1), (6, [0.0, 2.0], 1), (7, [0.0, 0.0], 1), (8, [float("inf"), 1.0], 1)]
     out = {r.id: (r.n_links, r.component_id) for r in projections.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_bpe_encodes_a_run_once_among_many():
+    codec = bpe.Codec(bpe.vocabulary_text())
+    runs = [f"q{k:x}z" for k in range(100_000)]
+    first = codec.encode(" ".join(runs))
+    missed = codec.missed
+    assert codec.encode(" ".join(runs)) == first and codec.missed == missed
