@@ -58,8 +58,8 @@ def agreed_with_voices(rows: DataFrame, genders: DataFrame, names: dict[str, str
     told = rows.where("text <> ''").select(*key, "speaker", "text", "phrases").join(to, key).join(mine, ["recording_id", "speaker"], "left").join(theirs, ["recording_id", "addressee"], "left")
     first = told.withColumn("self", agreement.agree_with_fixes(F.col("text"), SELF, F.col("own")))
     said = F.when(F.size(tx.gender_hits(F.col("self.text"), ADDRESS)) > 0, F.col("their"))
-    both = first.withColumn("other", agreement.agree_with_fixes(F.col("self.text"), ADDRESS, said)).withColumn("fixes", F.concat("self.fixes", "other.fixes")).where(F.size("fixes") > 0)
-    return both.select(*key, F.col("text").alias("before"), F.col("other.text").alias("after"), "fixes", agreement.replay(F.col("phrases"), F.col("fixes")).alias("phrases"))
+    both = first.withColumn("other", agreement.agree_and_replay(F.col("self.text"), ADDRESS, said, F.col("self.fixes"), F.col("phrases"))).where(F.size("other.fixes") > 0)
+    return both.select(*key, F.col("text").alias("before"), F.col("other.text").alias("after"), "other.fixes", "other.phrases")
 
 
 def with_agreement(rows: DataFrame, log: DataFrame) -> DataFrame:

@@ -24,3 +24,12 @@ def test_frames_of_a_line_stay_in_its_row(spark):
     assert [r.id for r in got if r.cut_end is None] == [5, 7]
     rows = whole.select("recording_id", "id", F.explode("frames").alias("f")).select("recording_id", "id", "f.*")
     assert sorted(edges.reference_edges(rows, lines).collect()) == got
+
+
+def test_lines_agree_in_two_passes_of_python(spark):
+    from cuegrid.operators import gender
+
+    rows = spark.createDataFrame([(1, 0, 0.0, 1.0, "A", "Я пришёл", ["Я пришёл"]), (1, 1, 2.0, 3.0, "B", "Ты пришёл", None), (1, 2, 4.0, 5.0, "B", None, None)], "recording_id long, id long, start_s double, end_s double, speaker string, text string, phrases array<string>")
+    log = gender.agreed_with_voices(rows, spark.createDataFrame([(1, "A", "f")], "recording_id long, speaker string, gender string"), {})
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    assert [(r.id, r.after, r.phrases) for r in sorted(log.collect())] == [(0, "Я пришла", ["Я пришла"]), (1, "Ты пришла", None)]
