@@ -9,14 +9,16 @@ contexts the corpus holds, combines them in the logistic domain, and a map refin
 scored so, whether the corpus holds its word or not.
 
 A text's topic is what all its words so far speak for, so it adapts as the text is read: the most likely of a few kinds of
-texts, learned as a mixture over a bounded sample. Of the contexts within a word, and of those with the topic, counts follow
+texts. Kinds begin as a mixture of some texts and are then fitted in rounds over all texts to learn from. Of the contexts within a word, and of those with the topic, counts follow
 from the distinct words of a topic and how often each occurs, and a scorer looks each of them up once in a piece of texts;
 what spans two words is counted and looked up at each occurrence.
 
-Counts are over all rows to learn from. Weights and map, which are a few thousand numbers, are learned from all texts up to
-LEARN_WORDS words, beyond that from those of the least hashes; what a text itself has added to a count is taken out
-first, so that counts are trusted as far as they hold for texts that were not counted. Texts are dealt to learners by
-their hash and read in its order, so that scores don't depend on how the table is split.
+Counts, kinds, weights and map are over all rows to learn from. Weights and map are a few thousand numbers; as they are
+learned, what a text itself has added to a count is taken out first, so that counts are trusted as far as they hold for
+texts that were not counted. The weights of a word without the word before it follow from the distinct words of a topic,
+dealt to learners by hash. Then every occurrence's first bytes are counted by what the word itself gives, by the state of
+the counts under the word before and by the bit, and the weights of the word before follow from these few counts. So
+scores don't depend on how the table is split.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,13 @@ ORDERS = (*WITHIN, *ACROSS)
 WORD_SLOTS, LEAST_BITS, MOST_BITS = 4, 22, 26
 #: The two last bytes are so few contexts that this many bits hold them; the last four need so many bits less than others.
 LAST2_BITS, LAST4_LESS = 20, 3
-#: Weights and map are learned on all texts up to about so many words, and beyond on a share of the texts by hash; each of
-#: the learners, whose results are averaged by use, has about so many of them.
-LEARN_WORDS, LEARNER_WORDS = 1 << 21, 1 << 19
-#: Kinds of texts, the features that words are hashed to for them, and the texts that they are learned from at most.
-TOPICS, TOPIC_FEATURES, TOPIC_TEXTS = 8, 1 << 14, 3000
+#: Each of the learners, whose results are averaged by use, has about so many rows of words and takes so many in a step; a
+#: row stands for at most so many occurrences. Learners' sums are added up in so many groups.
+LEARNER_ROWS, STEP_ROWS, ROW_TIMES, SUM_GROUPS = 1 << 17, 1024, 64, 64
+#: Steps of what a word itself gives, to a unit and in all, as occurrences are counted.
+_FOLD, _FOLDS = 4, 64
+#: Kinds of texts, the features that words are hashed to for them, the texts that they begin with at most, and the rounds over all texts.
+TOPICS, TOPIC_FEATURES, TOPIC_TEXTS, TOPIC_ROUNDS = 8, 1 << 14, 3000, 2
 #: Trees of their own have at most so many pairs of bytes, the most frequent ones; others have the tree of their last byte.
 TREES = 512
 #: Counts up to 15 are kept exactly, greater ones on a scale of sevenths of octaves, which reaches 2 ** 38.
@@ -96,6 +100,23 @@ class Topics:
         return best[: len(hashes)], best[len(hashes) :]
 
 
+    def of_texts(self, feature: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The topic at the end of each text, from the features of its words."""
+        said = np.empty((len(first) - 1, self.logs.shape[1]))
+        for k in range(said.shape[1]):
+            sums = np.concatenate(([0.0], np.cumsum(self.logs[:, k].take(feature))))
+            said[:, k] = sums[first[1:]] - sums[first[:-1]] + self.prior[k]
+        return np.round(said, 6).argmax(axis=1)
+
+
+def kinds_of(weight: np.ndarray, mass: np.ndarray) -> Topics:
+    """Kinds of texts from how often each has each feature, and how many texts it has."""
+    all_ = weight.sum(axis=1)
+    common = (all_ + 0.1) / (all_.sum() + 0.1 * len(all_))
+    logs = np.log((weight + 500 * common[:, None]) / (weight.sum(axis=0) + 500) / common[:, None])
+    return Topics(np.clip(np.round(logs, 9), -4, 4), np.round(np.log((mass + 1) / (mass.sum() + len(mass))), 9))
+
+
 def mixture(features: list[np.ndarray], counts: list[np.ndarray], kinds: int, rounds: int = 25) -> Topics:
     """Kinds of texts from texts as numbers of features: a mixture of word distributions by expectation maximisation, begun at texts that are far apart."""
     size = np.array([len(x) for x in features], np.int64)
@@ -173,6 +194,14 @@ def _states() -> np.ndarray:
 STATE = _states()
 
 
+def _left_states() -> np.ndarray:
+    """At times << 17 | bit << 16 | pair of coded counts: the state without so many occurrences of the bit."""
+    pair = np.arange(1 << 16)
+    return np.concatenate([STATE[without(pair, np.full(len(pair), bit), np.full(len(pair), times))] for times in range(16) for bit in (0, 1)])
+
+LEFT = _left_states()
+
+
 @dataclass
 class Trees:
     """Huffman trees: ``of`` the tree of two bytes, ``path`` 32 * begin + length of each (tree, byte), ``decisions`` along all paths: place in a block of slots * 16 + 2 * depth + bit."""
@@ -249,14 +278,17 @@ def _pairs_before(window: np.ndarray) -> np.ndarray:
 
 
 class Bits:
-    """The decisions of some words, or of their first ``most`` bytes, one word after another, with the contexts before each byte. ``data`` holds the words' bytes at ``starts`` to ``ends``, ``topics`` the topic before each; an empty word is the end of a text."""
+    """The decisions of some words, of their first ``most`` bytes or without their first ``skip`` bytes, one word after another, with the contexts before each byte. ``data`` holds the words' bytes at ``starts`` to ``ends``, ``topics`` the topic before each; an empty word is the end of a text."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, topics: np.ndarray, own: Trees, most: int = 1 << 62):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, topics: np.ndarray, own: Trees, most: int = 1 << 62, skip: int = 0):
         d, first, size, at, window = _laid_out(data, starts, ends, most)
         power, inverse = powers(len(d) + 1)
         sums = np.zeros(len(d) + 1, np.uint64)
         np.cumsum((d + np.uint64(1)) * power[: len(d)], out=sums[1:])
         start = np.repeat(first, size)
+        if skip:
+            rest = at - start >= skip
+            at, start, window, size = at[rest], start[rest], window[rest], np.maximum(size - skip, 0)
         so_far = (sums[at] - sums[start]) * inverse[start]
         #: The contexts before each byte.
         topic = np.repeat((topics.astype(np.uint64) + np.uint64(1)) * _TOPIC, size)
@@ -272,7 +304,7 @@ class Bits:
         self.first = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(size)))]
         self.size = size
         #: Decisions of each word's first bytes, which the word before it foretells.
-        self.head = np.add.reduceat(np.where(at - start < HEAD, self.each, 0), np.cumsum(size) - size) if len(size) else size
+        self.head = size * 0 if skip or not len(size) else np.add.reduceat(np.where(at - start < HEAD, self.each, 0), np.cumsum(size) - size)
 
     def slots(self, order: str, bits: int) -> np.ndarray:
         """The slot of each decision in the table of an order within words."""
@@ -313,17 +345,21 @@ class Part:
         final = np.where(found[end] >= words.first[:-1], np.append(of, -1)[found[end]], -1)
         self.came = {"before": np.concatenate((own[order], final))}
 
-    def times(self, *of: np.ndarray) -> np.ndarray:
-        """How often each occurrence's text holds what is numbered so."""
-        key = self.row.astype(np.uint64)
-        for x in of:
-            key = mix64(key * _FACTOR["word"] + x.astype(np.uint64))
-        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
-        return n[which]
+    def times(self, before: bool = False) -> np.ndarray:
+        """How often each occurrence's text holds its word of a topic, or holds it with the same word before; equal words stand together, by text."""
+        size = len(self.at)
+        new = np.concatenate((np.ones(min(1, size), bool), (self.at[1:] != self.at[:-1]) | (self.row[1:] != self.row[:-1])))
+        run = np.cumsum(new) - 1
+        out = np.bincount(run, minlength=1)[run]
+        if before:
+            again = np.flatnonzero(out > 1)
+            _, which, n = np.unique(run[again] * (len(self.starts) + 1) + self.came["before"][again] + 1, return_inverse=True, return_counts=True)
+            out[again] = n[which]
+        return out
 
-    def bits(self, own: Trees, most: int = 1 << 62, some: slice = slice(None)) -> Bits:
+    def bits(self, own: Trees, most: int = 1 << 62, some: slice = slice(None), skip: int = 0) -> Bits:
         """Of all distinct words, or some."""
-        return Bits(self.data, self.starts[some], self.ends[some], self.topics[some], own, most)
+        return Bits(self.data, self.starts[some], self.ends[some], self.topics[some], own, most, skip)
 
     def walk(self, bits: Bits) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(occurrences, number of decisions of each, the decisions in bits) of CHUNK occurrences at a time."""
@@ -403,12 +439,12 @@ class Scorer:
         # After a word's first bytes no word before speaks, so its rest is looked up once for all its occurrences.
         for low in range(0, len(rest), CHUNK // 2):
             some = slice(low, low + CHUNK // 2)
-            bits = part.bits(m.trees, some=some)
+            bits = part.bits(m.trees, some=some, skip=HEAD)
             states, known, row = self._within(bits)
             silent = self._given(states, known, row, 0)
             silent += self.part[b].take(known << 8)
             sums = self._logs(silent, row * (2 * _FINE) + bits.bit)
-            rest[some] = sums[bits.first[1:]] - sums[bits.first[:-1] + bits.head]
+            rest[some] = sums[bits.first[1:]] - sums[bits.first[:-1]]
         out = np.bincount(part.row, rest[part.at], rows)
         # The words' first bytes, whose part of each distinct word is looked up once in both cases.
         bits = part.bits(m.trees, HEAD)
@@ -442,6 +478,23 @@ class Scorer:
         return out
 
 
+def _decisions(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the decisions of each of ``at`` begin, with the end; the decisions), if those of each word begin at ``first``."""
+    many = np.diff(first)[at]
+    begun = np.concatenate(([0], np.cumsum(many)))
+    place = np.repeat(first[at] - begun[:-1], many)
+    place += np.arange(len(place))
+    return begun, place
+
+
+def _on_map(mixed: np.ndarray, at: np.ndarray, mass: np.ndarray, hits: np.ndarray) -> list[np.ndarray]:
+    """Mass and hits on the map, each shared between the steps next to it."""
+    spot = (np.clip(mixed, -7.999, 7.999) + 8) * ((_STEPS - 1) / 16)
+    low = spot.astype(np.int64)
+    share, low, size = spot - low, low + at * _STEPS, _SETS * _DEPTHS * _STEPS
+    return [np.bincount(low, x * (1 - share), size) + np.bincount(low + 1, x * share, size) for x in (mass, hits)]
+
+
 class Learner:
     """Weights learned online over texts, with what a text itself has added taken out of its counts, and the sums that the map follows from."""
 
@@ -451,59 +504,135 @@ class Learner:
         self.uses = {k: np.zeros(getattr(m, k).shape) for k in ("weights", "bias")}
         self.mass, self.hits = np.zeros(m.refined.size), np.zeros(m.refined.size)
 
+        self.kind = np.eye(2 * _LEVELS)[m.levels]  # (states, levels)
+        #: How often each (longer contexts that are known, depth, step of what the word gives, state under the word before, bit) occurs.
+        self.cells = np.zeros(_SETS // 2 * _DEPTHS * _FOLDS * 512, np.int64)
+
     def _move(self, name: str, at, g: np.ndarray, uses: np.ndarray, rate: float, n: int) -> None:
         g = g / max(n, 16)
         self.grown[name][at] += g * g
         getattr(self.model, name)[at] -= rate * g / np.sqrt(self.grown[name][at])
         self.uses[name][at] += uses
 
+    def _given(self) -> list[np.ndarray]:
+        """What each order within words gives, by set and state."""
+        m = self.model
+        return [(w.reshape(_SETS, -1)[:, m.levels] * m.stretched).ravel() for w in m.weights[: len(WITHIN)]]
+
     def learn(self, part: Part) -> None:
-        m, keys, places = self.model, _SETS * 2 * _LEVELS, _SETS * _DEPTHS
-        bits = part.bits(m.trees)
-        within = [m.tables[q].take(bits.slots(o, m.bits[q])) for q, o in enumerate(WITHIN)]
-        carried = {o: bits.carried(o) for o in ACROSS}
-        times = [part.times(part.at)] * len(WITHIN) + [part.times(part.at, part.came["before"] + 1)]
-        head = np.repeat(bits.head, np.diff(bits.first)) > np.arange(bits.first[-1]) - np.repeat(bits.first[:-1], np.diff(bits.first))
-        for some, n, place in part.walk(bits):
-            bit, depth = bits.bit.take(place), bits.depth.take(place)
-            pairs = [x.take(place) for x in within]
-            for q, o in enumerate(ACROSS, len(WITHIN)):
-                pairs.append(np.where(head.take(place), m.tables[q].take(part.slots(bits, o, m.bits[q], carried[o], some, n, place)), 0))
-            pairs = [without(x.astype(np.int64), bit, np.repeat(t[some], n)) for x, t in zip(pairs, times, strict=True)]
-            chosen = _chosen(*pairs[-3:])
-            x, key = [STRETCH[p] for p in pairs], [chosen * (2 * _LEVELS) + LEVEL[p] for p in pairs]
-            at = chosen * _DEPTHS + depth
-            mixed = m.bias[at]
-            for o in range(len(ORDERS)):
-                mixed += m.weights[o][key[o]] * x[o]
-            error = _sigmoid(mixed) - bit
-            count = len(bit) // 3 + 1
-            for o in range(len(ORDERS)):
-                self._move("weights", o, np.bincount(key[o], error * x[o], keys), np.bincount(key[o], minlength=keys), 0.03, count)
-            self._move("bias", slice(None), np.bincount(at, error, places), np.bincount(at, minlength=places), 0.01, count)
-            spot = (np.clip(mixed, -7.999, 7.999) + 8) * ((_STEPS - 1) / 16)
-            low = spot.astype(np.int64)
-            share, low = spot - low, low + at * _STEPS
-            for s, q in ((low, 1 - share), (low + 1, share)):
-                self.mass += np.bincount(s, q, len(self.mass))
-                self.hits += np.bincount(s, q * bit, len(self.hits))
+        """All of a part: its words, then its occurrences."""
+        key = part.at * 16 + np.minimum(part.times(), 15)
+        item, n = np.unique(key, return_counts=True)
+        at = item >> 4
+        self.words(part.data, part.starts[at], part.ends[at], part.topics[at], item & 15, n)
+        self.pairs(part)
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, topics: np.ndarray, own: np.ndarray, times: np.ndarray) -> None:
+        """Words of a topic that occur ``times`` in texts that hold each ``own`` times: one step down the gradient for STEP_ROWS of them."""
+        m, known, places = self.model, len(self.kind), _SETS * _DEPTHS
+        for low in range(0, len(starts), STEP_ROWS):
+            some = slice(low, low + STEP_ROWS)
+            bits = Bits(data, starts[some], ends[some], topics[some], m.trees)
+            many = np.diff(bits.first)
+            n, count = np.repeat(times[some].astype(float), many), int(times[some] @ many) // 3 + 1
+            left = np.repeat(own[some] << 17, many) | bits.bit << 16
+            states = [LEFT.take(left | m.tables[q].take(bits.slots(o, m.bits[q]))) for q, o in enumerate(WITHIN)]
+            chosen = _chosen(*states[3:], np.zeros(1)).astype(np.int64)
+            at = chosen * _DEPTHS + bits.depth
+            keys = [chosen * known + x for x in states]
+            mixed = m.bias.take(at)
+            for given, key in zip(self._given(), keys, strict=True):
+                mixed += given.take(key)
+            error = (_sigmoid(mixed) - bits.bit) * n
+            for o, key in enumerate(keys):
+                missed, uses = (np.bincount(key, x, _SETS * known).reshape(_SETS, known) for x in (error, n))
+                self._move("weights", o, ((missed * m.stretched) @ self.kind).ravel(), (uses @ self.kind).ravel(), 0.03, count)
+            self._move("bias", slice(None), np.bincount(at, error, places), np.bincount(at, n, places), 0.01, count)
+            rest = np.arange(len(n)) >= np.repeat(bits.first[:-1] + bits.head, many)  # the map of first bytes follows from occurrences
+            for sums, x in zip((self.mass, self.hits), _on_map(mixed[rest], at[rest], n[rest], (n * bits.bit)[rest]), strict=True):
+                sums += x
+
+    def pairs(self, part: Part) -> None:
+        """Counts the first bytes of all occurrences in cells. What the word itself gives is worked out once for each word of a topic and how often a text holds it."""
+        m, given = self.model, self._given()
+        words, both = (np.minimum(x, 15) for x in (part.times(), part.times(True)))
+        key, n = part.at * 16 + words, len(part.at)
+        alike = np.bincount(key, minlength=16 * len(part.starts))
+        ends = len(part.starts) - len(m.topics.prior) - 1  # the ends of texts stand last, in the order of the texts
+        begin = np.searchsorted(part.at[: n - int((part.at >= ends).sum())], np.arange(ends + 1))
+        for low, high in zip(range(0, ends + 1, CHUNK // 2), [*range(CHUNK // 2, ends + 1, CHUNK // 2), len(part.starts)], strict=True):
+            bits = part.bits(m.trees, HEAD, slice(low, high))
+            carried = bits.carried("before")
+            item = np.flatnonzero(alike[16 * low : 16 * high])
+            number = np.zeros(16 * (high - low), np.int64)
+            number[item] = np.arange(len(item))
+            first, place = _decisions(bits.first, item >> 4)
+            bit = bits.bit.take(place)
+            left = np.repeat((item & 15) << 17, np.diff(first)) | bit << 16
+            states = [LEFT.take(left | m.tables[q].take(bits.slots(o, m.bits[q])).take(place)) for q, o in enumerate(WITHIN)]
+            chosen = _chosen(*states[3:], np.zeros(1)).astype(np.int64)
+            at = chosen * _DEPTHS + bits.depth.take(place)
+            mixed = m.bias.take(at)
+            for x, state in zip(given, states, strict=True):
+                mixed += x.take(chosen * len(self.kind) + state)
+            step = np.clip(np.round((mixed + 8) * _FOLD), 0, _FOLDS - 1).astype(np.int64)
+            base = (((chosen >> 1) * _DEPTHS + bits.depth.take(place)) * _FOLDS + step) * 512 + bit
+            last = begin[high] if high <= ends else n
+            for start in range(begin[low], last, CHUNK):
+                some = slice(start, min(start + CHUNK, last))
+                begun, spot = _decisions(first, number[key[some] - 16 * low])
+                many = np.diff(begun)
+                before = m.tables[-1].take(part.slots(bits, "before", m.bits[-1], carried, some, many, place.take(spot)))
+                state = LEFT.take(np.repeat(both[some] << 17, many) | bit.take(spot) << 16 | before).astype(np.int64)
+                np.add.at(self.cells, base.take(spot) + 2 * state, 1)
 
     def sums(self) -> np.ndarray:
         """What is added up over tasks."""
-        return np.concatenate([x.ravel() for k, u in self.uses.items() for x in (getattr(self.model, k) * u, u)] + [self.mass, self.hits])
+        return np.concatenate([x.ravel() for k, u in self.uses.items() for x in (getattr(self.model, k) * u, u)] + [self.mass, self.hits, self.cells])
 
 
-def merged(m: Model, sums: np.ndarray) -> Model:
-    """The fresh model m with added Learner.sums: each weight's mean by its uses, and the map with 40 occurrences of the plain curve."""
-    at = 0
+def averaged(m: Model, sums: np.ndarray) -> tuple[Model, np.ndarray]:
+    """(the fresh model m with each weight's mean by its uses, what is left of the added Learner.sums)."""
+    at, out = 0, {}
     for k in ("weights", "bias"):
         own = getattr(m, k)
         total, uses = (sums[at + i * own.size : at + (i + 1) * own.size].reshape(own.shape) for i in (0, 1))
-        setattr(m, k, np.where(uses > 0, total / np.maximum(uses, 1), own))
+        out[k] = np.where(uses > 0, total / np.maximum(uses, 1), own)
         at += 2 * own.size
-    mass, hits = (sums[at + i * m.refined.size : at + (i + 1) * m.refined.size].reshape(m.refined.shape) for i in (0, 1))
-    m.refined = (hits + 40 * m.refined) / (mass + 40)
-    return m
+    return replace(m, **out), sums[at:]
+
+
+def merged(m: Model, sums: np.ndarray) -> Model:
+    """The fresh model m with added Learner.sums."""
+    m, rest = averaged(m, sums)
+    return with_before(m, *np.split(rest, [m.refined.size, 2 * m.refined.size]))
+
+
+def with_before(m: Model, mass: np.ndarray, hits: np.ndarray, cells: np.ndarray) -> Model:
+    """The model m with the weights of the word before from counted cells, and with the map from the mass and hits of words' rests and from the cells, with 40 occurrences of the plain curve.
+
+    Where the word before speaks, the word itself gives as much as where it does not times one factor, and a weight for
+    each level of the word before and a shift for each depth are added: a logistic regression by Newton's steps, held near
+    the fresh weights as by a few occurrences.
+    """
+    weights, bias, wide = m.weights.copy(), m.bias.copy(), 2 * _LEVELS
+    for k, own in enumerate(cells.reshape(_SETS // 2, _DEPTHS, _FOLDS, 256, 2)):
+        depth, step, state = np.nonzero(own.any(axis=3))
+        n, hit = own[depth, step, state].sum(axis=1).astype(float), own[depth, step, state, 1].astype(float)
+        x, said = step / _FOLD - 8, state > 0
+        design = np.concatenate((x[:, None], np.eye(wide)[m.levels[state]] * m.stretched[state][:, None], np.eye(_DEPTHS)[depth]), axis=1)
+        now = begun = np.concatenate(([1.0], np.full(wide, 0.3), np.zeros(_DEPTHS)))
+        for _ in range(12):
+            p = _sigmoid(design[said] @ now)
+            steep = (design[said] * (n[said] * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ design[said]
+            down = design[said].T @ (hit[said] - n[said] * p) - 4 * (now - begun)
+            now = now + np.clip(np.linalg.solve(steep + 4 * np.eye(len(now)), down), -1, 1)
+        even, odd = slice(2 * k * wide, (2 * k + 1) * wide), slice((2 * k + 1) * wide, (2 * k + 2) * wide)
+        weights[:-1, odd], weights[-1, odd] = now[0] * weights[:-1, even], now[1 : wide + 1]
+        bias[(2 * k + 1) * _DEPTHS : (2 * k + 2) * _DEPTHS] = now[0] * bias[2 * k * _DEPTHS : (2 * k + 1) * _DEPTHS] + now[wide + 1 :]
+        more = _on_map(np.where(said, design @ now, x), (2 * k + said) * _DEPTHS + depth, n, hit)
+        mass, hits = mass + more[0], hits + more[1]
+    return replace(m, weights=weights, bias=bias, refined=((hits.reshape(m.refined.shape) + 40 * m.refined) / (mass.reshape(m.refined.shape) + 40)))
 
 
 def for_scoring(m: Model) -> Model:
@@ -521,7 +650,7 @@ def _binary(part: Part, which: np.ndarray) -> pa.Array:
 
 
 def learnt_topics(docs: DataFrame) -> Topics:
-    """Kinds of texts from at most TOPIC_TEXTS distinct texts, those of the least hashes; the driver gets their words as numbers."""
+    """Kinds of texts, fitted in TOPIC_ROUNDS rounds over all texts. They begin as a mixture of at most TOPIC_TEXTS distinct texts, those of the least hashes, whose words the driver gets as numbers."""
     found = docs.where("text is not null").select("text", F.xxhash64("text").alias("hash"))
     share = max(1, docs.count() // (4 * TOPIC_TEXTS))
     some = found.where(F.pmod("hash", F.lit(share)) == 0).dropDuplicates(["hash"]).orderBy("hash").limit(TOPIC_TEXTS)
@@ -536,26 +665,56 @@ def learnt_topics(docs: DataFrame) -> Topics:
             yield pa.RecordBatch.from_arrays([batch.column("hash"), lists(key % TOPIC_FEATURES), lists(n)], ["hash", "features", "counts"])
 
     rows = some.mapInArrow(run, "hash long, features array<int>, counts array<int>").toArrow().sort_by("hash")
-    return mixture([np.array(x.values, np.int64) for x in rows.column("features")], [np.array(x.values) for x in rows.column("counts")], TOPICS)
+    topics = mixture([np.array(x.values, np.int64) for x in rows.column("features")], [np.array(x.values) for x in rows.column("counts")], TOPICS)
+    for _ in range(TOPIC_ROUNDS):
+        topics = refitted(docs, topics)
+    return topics
+
+
+def refitted(docs: DataFrame, topics: Topics) -> Topics:
+    """Kinds of texts from all texts, each of the kind that topics give it. Whole numbers are added up, so the split doesn't matter; the driver gets TOPICS * TOPIC_FEATURES of them."""
+    sent, kinds = docs.sparkSession.sparkContext.broadcast(topics), topics.logs.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((TOPIC_FEATURES + 1) * kinds, np.int64)
+        for piece in (x for batch in batches for x in pieces(batch, "text", PART_BYTES)):
+            words = Words(piece.column("text"))
+            feature = (words.hashes() % np.uint64(TOPIC_FEATURES)).astype(np.int64)
+            kind = sent.value.of_texts(feature, words.first)
+            sums += np.bincount(feature * kinds + kind[words.row], minlength=len(sums))
+            sums[-kinds:] += np.bincount(kind[np.diff(words.first) > 0], minlength=kinds)
+        rows = [sums[i : i + BLOCK].tobytes() for i in range(0, len(sums), BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["block", "sums"])
+        freed()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sums"))
+        return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.where("text is not null").mapInArrow(run, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary").orderBy("block").collect()
+    sums = np.frombuffer(b"".join(r.sums for r in rows), np.int64).reshape(-1, kinds) if rows else np.zeros((TOPIC_FEATURES + 1, kinds), np.int64)
+    sent.destroy()
+    return kinds_of(sums[:-1], sums[-1])
 
 
 def word_counts(docs: DataFrame, topics: Topics) -> DataFrame:
-    """(token, hash, topic, trained, all): how often each word occurs in a topic in the rows to learn from and in all rows of (text, learn), the end of a text as an empty token. Each piece is counted before the shuffle."""
+    """(token, hash, topic, times, trained, all): how often each word occurs in a topic in the rows to learn from and in all rows of (text, learn), apart by how often a text holds it in the topic (15 is 15 or more); the end of a text is an empty token. Each piece is counted before the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(topics)  # TOPICS * TOPIC_FEATURES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (x for batch in batches for x in pieces(batch, "text", PART_BYTES)):
             part = Part(piece.column("text"), sent.value, across=False)
             learn = piece.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            size = len(part.starts)
-            every = np.bincount(part.at, minlength=size)
-            trained = np.bincount(part.at[learn[part.row]], minlength=size)
-            some = np.flatnonzero(every)
-            yield pa.RecordBatch.from_arrays([_binary(part, some), pa.array(part.sent.view(np.int64)[some]), pa.array(part.topics[some].astype(np.int32)), pa.array(trained[some]), pa.array(every[some])], ["token", "hash", "topic", "trained", "all"])
+            key = part.at * 16 + np.minimum(part.times(), 15)
+            every = np.bincount(key)
+            trained = np.bincount(key[learn[part.row]], minlength=len(every))
+            item = np.flatnonzero(every)
+            some = item >> 4
+            yield pa.RecordBatch.from_arrays([_binary(part, some), pa.array(part.sent.view(np.int64)[some]), pa.array(part.topics[some].astype(np.int32)), pa.array((item & 15).astype(np.int32)), pa.array(trained[item]), pa.array(every[item])], ["token", "hash", "topic", "times", "trained", "all"])
         freed()
 
-    part = docs.mapInArrow(run, "token binary, hash long, topic int, trained long, all long")
-    return part.groupBy("token", "hash", "topic").agg(F.sum("trained").alias("trained"), F.sum("all").alias("all"))
+    part = docs.mapInArrow(run, "token binary, hash long, topic int, times int, trained long, all long")
+    return part.groupBy("token", "hash", "topic", "times").agg(F.sum("trained").alias("trained"), F.sum("all").alias("all"))
 
 
 def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -692,27 +851,57 @@ def tables(counts: DataFrame, docs: DataFrame, parts: int, topics: Topics, own:
     return out
 
 
-def fitted(docs: DataFrame, learners: int, model: Model) -> Model:
-    """The fresh model with weights and map learned over texts by so many learners, whose results are merged by use. A learner reads its texts in the order of their hashes."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def fitted(docs: DataFrame, learners: int, model: Model, words: DataFrame | None = None) -> Model:
+    """The fresh model with weights and map learned over all texts; ``words`` are their word_counts.
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = table.sort_by([("hash", "ascending"), ("text", "ascending")]).select(["text"]).combine_chunks()
-        learner = Learner(shipped.value)
-        for batch in texts.to_batches():
-            for piece in pieces(batch, "text", PART_BYTES):
-                learner.learn(Part(piece.column("text"), learner.model.topics))
-        out = pa.table({"learner": table.column("learner").slice(0, 1), "sums": pa.array([learner.sums().tobytes()], pa.binary())})
+    Words are dealt to so many learners by hash, frequent ones as several rows; a learner reads its rows in the order of
+    their hashes, begins with the fresh weights, and results are merged by use. Then all occurrences are counted in cells.
+    The driver gets a few tens of KB of each of SUM_GROUPS groups of learners, and the cells.
+    """
+    sc = docs.sparkSession.sparkContext
+    shipped = sc.broadcast(model)
+    words = word_counts(docs.select("text", F.lit(True).alias("learn")), model.topics) if words is None else words
+    learned = len(Learner(model).sums()) - len(Learner(model).cells)
+
+    def of_words(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("hash", "ascending"), ("token", "ascending"), ("topic", "ascending"), ("times", "ascending"), ("n", "ascending")])
+        learner = Learner(replace(shipped.value, weights=shipped.value.weights.copy(), bias=shipped.value.bias.copy()))
+        for batch in rows.combine_chunks().to_batches(max_chunksize=1 << 13):
+            learner.words(*_bytes_of(batch.column("token")), *(batch.column(c).to_numpy() for c in ("topic", "times", "n")))
         freed()
-        return out
-
-    key = F.xxhash64("text")
-    dealt = docs.where("text is not null").select("text", key.alias("hash"), F.pmod(F.shiftright(key, 20), F.lit(learners)).alias("learner"))
-    total = np.zeros_like(Learner(model).sums())
-    for row in dealt.groupBy("learner").applyInArrow(run, "learner long, sums binary").orderBy("learner").collect():  # a few tens of KB of each learner
+        return pa.table({"learner": table.column("learner").slice(0, 1), "sums": pa.array([learner.sums()[:learned].tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in table.sort_by("learner").column("sums"))
+        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = F.ceil(F.col("trained") / ROW_TIMES)
+    each = words.where("trained > 0").select("token", "topic", F.col("times").cast("long").alias("times"), "trained", rows.alias("rows"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"))
+    n = F.floor(F.col("trained") / F.col("rows")) + (F.col("i") < F.col("trained") % F.col("rows")).cast("long")
+    key = F.xxhash64("token", "topic", "times", "i")
+    dealt = each.select("token", "topic", "times", n.alias("n"), key.alias("hash"), F.pmod(F.shiftright(key, 20), F.lit(learners)).alias("learner"))
+    sums = dealt.groupBy("learner").applyInArrow(of_words, "learner long, sums binary").withColumn("part", F.col("learner") % SUM_GROUPS)
+    total = np.zeros(learned)
+    for row in sums.groupBy("part").applyInArrow(add, "part long, sums binary").orderBy("part").collect():
         total += np.frombuffer(row.sums)
     shipped.destroy()
-    return merged(model, total)
+    model, rest = averaged(model, total)
+    sent = sc.broadcast(model)
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(sent.value)
+        for piece in (x for batch in batches for x in pieces(batch, "text", PART_BYTES)):
+            learner.pairs(Part(piece.column("text"), sent.value.topics))
+        some = np.flatnonzero(learner.cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(learner.cells[some])], ["cell", "n"])
+        del learner
+        freed()
+
+    cells = np.zeros(len(Learner(model).cells), np.int64)
+    counted = docs.where("text is not null").select("text").mapInArrow(of_texts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    sent.destroy()
+    return with_before(model, *np.split(rest, 2), cells)
 
 
 def _least(counts: DataFrame) -> int:
@@ -748,10 +937,9 @@ def scored(docs: DataFrame, *, learn: str = "learn", id_col: str = "doc_id", tex
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / TASK_WORDS))
     bits, own = table_bits(v), word_trees(counts)
     model = fresh(topics, own, bits, tables(by_topic, learnt, parts, topics, own, bits))
+    rows = int(by_topic.agg(F.sum(F.ceil(F.col("trained") / ROW_TIMES))).first()[0] or 0)
+    model = fitted(learnt, math.ceil(max(1, rows) / LEARNER_ROWS), model, by_topic)
     discard(by_topic)
-    learners = math.ceil(max(1, min(n, LEARN_WORDS)) / LEARNER_WORDS)
-    share = math.ceil(max(1, n) / LEARN_WORDS)
-    model = fitted(learnt.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), learners, model)
     shipped = spark.sparkContext.broadcast(for_scoring(model))  # the tables of table_bits
     del model
     top = counts.where(F.col("all") >= _least(counts)).select("hash", "trained").toArrow().sort_by("hash")
