@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -17,6 +18,7 @@ from cuegrid.functions import text as tx
 from cuegrid.functions.numbers import places
 from cuegrid.operators import sequence
 from cuegrid.operators.intervals import overlap_join, snap_to_speech, speaker_names, speaker_of
+from cuegrid.operators.rounds import shared_folder
 from cuegrid.operators.words import refined
 
 #: Seconds: pauses at which a long row is cut, widest first.
@@ -206,26 +208,36 @@ def with_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """segments as ``built`` gives them with the speakers of turns (recording_id, id, start_s, end_s, speaker), split where the speaker of their words changes and numbered anew.
 
     ``before`` is the segment's number before. A piece has the words that begin in it and their text, and is flagged
-    ``force_split``. Recordings without turns stay as they are.
+    ``force_split``. Recordings without turns stay as they are. Segments are read twice, so they should be stored.
+
+    Segments are numbered from 0 in each recording, so the pieces of all of a recording's segments meet it as one narrow
+    list in their order, and the words go by recording only once.
     """
-    known = turns.select("recording_id").distinct()
-    told = segments.join(known, "recording_id", "left_semi")
-    cut = split_by_speaker(told.select("recording_id", "id", "start_s", "end_s", "words"), turns).withColumnRenamed("piece", "part")
-    own = Window.partitionBy("recording_id", "id").orderBy("part")
-    cut = cut.withColumn("_to", F.lead("start_s").over(own)).withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy("recording_id", "id")))
-    rest = told.drop("start_s", "end_s", "speaker", "overlap")
-    both = cut.join(rest, ["recording_id", "id"]).withColumnRenamed("speaker_name", "speaker")
+    told = segments.join(turns.select("recording_id").distinct(), "recording_id", "left_semi")
+    cut = split_by_speaker(told.select("recording_id", "id", "start_s", "end_s", "words"), turns)
+    own = cut.groupBy("recording_id", "id").agg(F.array_sort(F.collect_list(F.struct("piece", "start_s", "end_s", F.col("speaker_name").alias("speaker")))).alias("own"))
+    listed = own.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "own"))), lambda x: x["own"]).alias("_cuts"))
+    stays = F.array(F.struct(F.lit(0).alias("piece"), "start_s", "end_s", "speaker"))
+    met = segments.join(listed.hint("shuffle_merge"), "recording_id", "left")
+    met = met.withColumn("_own", F.coalesce(F.get("_cuts", F.col("id").cast("int")), stays)).drop("_cuts", "start_s", "end_s", "speaker", "overlap")
+    both = met.select("*", F.posexplode("_own").alias("part", "_now")).select("*", "_now.start_s", "_now.end_s", "_now.speaker", F.get("_own", F.col("part") + 1)["start_s"].alias("_to"))
     inside = F.filter("words", lambda w: ((F.col("part") == 0) | (F.round(w["start"], 3) >= F.col("start_s"))) & (F.col("_to").isNull() | (F.round(w["start"], 3) < F.col("_to"))))
-    split = F.col("_parts") > 1
+    split = F.size("_own") > 1
     both = both.withColumn("words", F.when(split, inside).otherwise(F.col("words"))).withColumn("text", F.when(split, F.trim(tx.collapsed(F.array_join(F.transform("words", lambda w: w["word"]), " ")))).otherwise(F.col("text")))
     both = both.withColumn("flags", F.when(split, F.array_union("flags", F.array(F.lit("force_split")))).otherwise(F.col("flags")))
-    names = ["recording_id", "id", "part", "source_id", "piece", "speaker", "start_s", "end_s", "text", "words", "flags"]
-    every = both.select(*names).unionByName(segments.join(known, "recording_id", "left_anti").withColumn("part", F.lit(0)).select(*names))
     order = Window.partitionBy("recording_id").orderBy("start_s", "before", "part")
-    numbered = every.withColumnRenamed("id", "before").withColumn("id", (F.row_number().over(order) - 1).cast("long"))
+    names = ["recording_id", "before", "part", "source_id", "piece", "speaker", "start_s", "end_s", "text", "words", "flags"]
+    numbered = both.withColumnRenamed("id", "before").select(*names).withColumn("id", (F.row_number().over(order) - 1).cast("long"))
     return sequence.overlap_flags(numbered.drop("part"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/segments-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def recognised(rows: DataFrame, regions: DataFrame, turns: DataFrame, doubts: DataFrame | None = None, *, snap: float = 0.4, window: float = 0.4, least: float = 0.4, most: float = 30.0) -> DataFrame:
     """From recognised rows to segments with speakers: edges to detected speech, built segments, speakers by turns, doubts flagged ``speaker_doubt``.
 
@@ -233,8 +245,11 @@ def recognised(rows: DataFrame, regions: DataFrame, turns: DataFrame, doubts: Da
     such a row is flagged.
     """
     snapped = snap_to_speech(rows, regions, window=snap).withColumn("start_s", F.col("snapped_start")).withColumn("end_s", F.col("snapped_end")).drop("snapped_start", "snapped_end")
-    out = with_speakers(built(snapped, window=window, least=least, most=most), turns)
+    out = with_speakers(stored(built(snapped, window=window, least=least, most=most)), turns)
     if doubts is None:
         return out
-    marked = out.join(doubts.select("recording_id", "source_id").distinct().withColumn("_doubt", F.lit(True)), ["recording_id", "source_id"], "left")
-    return marked.withColumn("flags", F.when(F.col("_doubt"), F.array_union("flags", F.array(F.lit("speaker_doubt")))).otherwise(F.col("flags"))).select(*out.columns)
+    # A recording's doubts are one narrow list, so that its segments stay where they are.
+    listed = doubts.groupBy("recording_id").agg(F.collect_set("source_id").alias("_doubts"))
+    marked = out.join(listed.hint("shuffle_merge"), "recording_id", "left")
+    doubted = F.coalesce(F.array_contains("_doubts", F.col("source_id")), F.lit(False))
+    return marked.withColumn("flags", F.when(doubted, F.array_union("flags", F.array(F.lit("speaker_doubt")))).otherwise(F.col("flags"))).select(*out.columns)
