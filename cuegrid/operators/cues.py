@@ -52,20 +52,20 @@ def problems(cues: DataFrame, *, width: int = 42, most_lines: int = 2, least: fl
 
 
 def _file(rows: DataFrame, body: Column) -> DataFrame:
-    """One file for each recording; a file holds one recording's cues, so its size is bounded by the recording's."""
+    """(recording_id, cues, srt): one file for each recording and how many cues it has; a file holds one recording's cues, so its size is bounded by the recording's."""
     entry = F.concat(F.col("n").cast("string"), F.lit("\n"), tx.timestamp(F.col("start_s")), F.lit(" --> "), tx.timestamp(F.col("end_s")), F.lit("\n"), body, F.lit("\n"))
     parts = rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("n", entry.alias("entry")))).alias("xs"))
-    return parts.select("recording_id", F.array_join(F.transform("xs", lambda x: x["entry"]), "\n").alias("srt"))
+    return parts.select("recording_id", F.size("xs").cast("long").alias("cues"), F.array_join(F.transform("xs", lambda x: x["entry"]), "\n").alias("srt"))
 
 
 def srt(rows: DataFrame, *, unnamed: str = "speaker_0") -> DataFrame:
     """(recording_id, srt): rows in id order as a subtitle file, with the speaker before the text unless it is the unnamed one."""
     numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("recording_id").orderBy("id")))
-    return _file(numbered, F.concat(F.when(F.col("speaker") != unnamed, F.concat(F.lit("["), "speaker", F.lit("] "))).otherwise(F.lit("")), F.coalesce("text", F.lit(""))))
+    return _file(numbered, F.concat(F.when(F.col("speaker") != unnamed, F.concat(F.lit("["), "speaker", F.lit("] "))).otherwise(F.lit("")), F.coalesce("text", F.lit("")))).drop("cues")
 
 
 def cue_srt(cues: DataFrame) -> DataFrame:
-    return _file(cues, F.array_join("lines", "\n"))
+    return _file(cues, F.array_join("lines", "\n")).drop("cues")
 
 
 def parse_srt(files: DataFrame) -> DataFrame:
@@ -106,8 +106,7 @@ def subtitle_files(rows: DataFrame, recordings: DataFrame, *, target: str = "ru"
         own = own | ~F.col("lang").isin(list(fixed.LANGUAGES)) | F.col("lang").isNull() if "en" in codes else own
         one = plan(keyed.where(own), width=width or wide, rate=rate or fast, enders=enders, **options)
         plans = one if plans is None else plans.unionByName(one)
-    counts = plans.groupBy("recording_id").agg(F.count(F.lit(1)).alias("cues"))
-    both = cue_srt(plans).join(counts, "recording_id").select("recording_id.*", "cues", F.concat(F.lit("﻿"), "srt").alias("content"))
+    both = _file(plans, F.array_join("lines", "\n")).select("recording_id.*", "cues", F.concat(F.lit("﻿"), "srt").alias("content"))
     stem = F.regexp_replace(F.regexp_extract("input", "([^/\\\\]*)$", 1), "(?<=.)\\.[^.]*$", "")
     named = recordings.select("recording_id", F.when(F.col("input").rlike("(?i)^https?://"), F.lit("subtitles")).otherwise(stem).alias("stem"))
     files = both.join(named, "recording_id").select("recording_id", "kind", "lang", F.concat_ws(".", "stem", "lang", F.lit("srt")).alias("name"), "cues", "content")
