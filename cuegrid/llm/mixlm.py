@@ -58,7 +58,9 @@ TREES = 512
 _EXACT = 16
 #: Every scorer holds the counts of at most so many words, the most frequent ones, by their 64-bit hashes (16 bytes a word);
 #: base scores of all others reach their texts by a join.
-FREQUENT = 200_000
+FREQUENT = 1 << 19
+#: Rests of at most so many words of a topic, the most frequent ones, are scored once for all scorers (16 bytes each); those of others in every piece that holds them.
+RESTS = 1 << 19
 END = b" "
 #: Bytes of a word's beginning that the word before it foretells.
 HEAD = 3
@@ -86,18 +88,24 @@ class Topics:
         """(topic before each word, topic at the end of each text) of texts whose words begin at ``first``; before any word it is the number of kinds."""
         kinds = self.logs.shape[1]
         feature = (hashes % np.uint64(len(self.logs))).astype(np.int64)
-        n = np.diff(first)
-        head = np.repeat(first[:-1], n)
-        best, said = np.full(len(hashes) + len(n), -1, np.int64), np.full(len(hashes) + len(n), -np.inf)
+        n, size = np.diff(first), len(hashes)
+        best, said = np.full(size + len(n), -1, np.int64), np.full(size + len(n), -np.inf)
+        now, better, sums = np.empty(size + len(n)), np.empty(size + len(n), bool), np.zeros(size + 1)
         for k in range(kinds):
-            sums = np.concatenate(([0.0], np.cumsum(self.logs[:, k].take(feature))))
-            now = np.concatenate((sums[:-1] - sums[head], sums[first[1:]] - sums[first[:-1]])) + self.prior[k]
-            # What is said is rounded, so that it doesn't depend on what stands before the text.
-            now = np.round(now, 6)
-            better = now > said
-            best[better], said[better] = k, now[better]
-        best[np.concatenate((np.arange(len(hashes)) == head, n == 0))] = kinds
-        return best[: len(hashes)], best[len(hashes) :]
+            np.cumsum(self.logs[:, k].take(feature), out=sums[1:])
+            head = sums[first[:-1]]
+            np.subtract(sums[:-1], np.repeat(head, n), out=now[:size])
+            np.subtract(sums[first[1:]], head, out=now[size:])
+            now += self.prior[k]
+            # What is said is rounded to millionths, so that it doesn't depend on what stands before the text.
+            now *= 1e6
+            np.rint(now, out=now)
+            np.greater(now, said, out=better)
+            np.copyto(best, k, where=better)
+            np.maximum(now, said, out=said)
+        best[first[:-1][n > 0]] = kinds
+        best[size:][n == 0] = kinds
+        return best[:size], best[size:]
 
 
     def of_texts(self, feature: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -315,6 +323,11 @@ class Bits:
         """The part of each decision's hash, in an order across words, that its own word gives."""
         return np.repeat(((self.contexts[order] * _FACTOR[order]) >> np.uint64(32)).astype(np.uint32), self.each)
 
+    def low(self, bits: int) -> np.ndarray:
+        """The part of each decision's slot, in an order across words, that its node gives."""
+        return self.place & np.uint32((1 << bits) - 1)
+
+
 class Part:
     """The words of some texts: ``starts`` and ``ends`` in ``data`` of each distinct word of a topic, the last ones empty for the ends of texts; ``at`` the word, ``row`` the text and ``before`` the word before (or -1) of each occurrence, equal words together."""
 
@@ -332,6 +345,7 @@ class Part:
         of[order] = grouped
         ends = np.zeros(kinds, np.int64)
         self.sent = np.append(hashes[which], ends.astype(np.uint64))  # each word's hash, 0 for the end of a text
+        self.keys = ranked[new]  # of each word but the ends, in order
         self.topics = np.append(now[which], np.arange(kinds))
         self.data, self.starts, self.ends = words.data, np.append(words.starts[which], ends), np.append(words.ends[which], ends)
         self.at = np.concatenate((grouped, len(which) + last))
@@ -357,27 +371,36 @@ class Part:
             out[again] = n[which]
         return out
 
-    def bits(self, own: Trees, most: int = 1 << 62, some: slice = slice(None), skip: int = 0) -> Bits:
+    def bits(self, own: Trees, most: int = 1 << 62, some: slice | np.ndarray = slice(None), skip: int = 0) -> Bits:
         """Of all distinct words, or some."""
         return Bits(self.data, self.starts[some], self.ends[some], self.topics[some], own, most, skip)
 
-    def walk(self, bits: Bits) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """(occurrences, number of decisions of each, the decisions in bits) of CHUNK occurrences at a time."""
-        many = np.diff(bits.first)
-        for low in range(0, len(self.at), CHUNK):
-            at = self.at[low : low + CHUNK]
-            n = many[at]
-            place = np.repeat(bits.first[at] - (np.cumsum(n) - n), n)
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """(one word of each topic and first HEAD bytes, the number of that word for each word): what a word's first bytes are scored by is the same for all words that begin with them."""
+        size, key = self.ends - self.starts, self.topics.astype(np.int64)
+        padded = np.append(self.data, np.zeros(HEAD, np.uint8))
+        for i in range(HEAD):
+            key = key * 257 + np.where(size > i, padded[self.starts + i].astype(np.int64) + 1, 0)
+        _, first, head = np.unique(key, return_index=True, return_inverse=True)
+        return first, head
+
+    def walk(self, first: np.ndarray, at: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(occurrences, number of decisions of each, the decisions) of CHUNK occurrences at a time, if the decisions of each of ``at`` begin at ``first``."""
+        many = np.diff(first)
+        for low in range(0, len(at), CHUNK):
+            some = at[low : low + CHUNK]
+            n = many.take(some)
+            place = np.repeat(first.take(some) - (np.cumsum(n) - n), n)
             place += np.arange(len(place))
             yield slice(low, low + CHUNK), n, place
 
-    def slots(self, bits: Bits, order: str, size: int, carried: np.ndarray, some: slice, n: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The slots of the decisions ``place`` in the table of an order across words."""
+    def slots(self, order: str, size: int, carried: np.ndarray, low: np.ndarray, some: slice, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The slots of the decisions ``place`` in the table of an order across words, from what their own words give and their places in a block."""
         came = self.came[order][some]
         h = carried.take(place)
-        h += np.repeat((np.where(came < 0, np.uint64(0), self.sent[came]) * _BEFORE[order] >> np.uint64(32)).astype(np.uint32), n)
+        h += np.repeat((np.where(came < 0, np.uint64(0), self.sent.take(came)) * _BEFORE[order] >> np.uint64(32)).astype(np.uint32), n)
         h >>= np.uint32(32 - size)
-        h ^= bits.place.take(place) & np.uint32((1 << size) - 1)
+        h ^= low.take(place)
         return h.astype(np.int64)
 
 
@@ -415,8 +438,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Scorer:
     """The model with weights, stretched probabilities and map multiplied out; its tables hold states."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))):
+        """``held`` are keys of words of a topic, ascending, and the log10 probability of the rest of each."""
         m = self.model = model
+        self.held = held
         self.part = []
         for w in m.weights:
             table = np.zeros((_SETS, 256), np.float32)
@@ -429,31 +454,40 @@ class Scorer:
 
     def _logs(self, mixed: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Running sums of log10 probabilities, with a 0 in front; head is where a decision's own row of the table begins."""
-        step = np.clip((mixed + _RANGE) * ((_FINE - 1) / (2 * _RANGE)) + 0.5, 0, _FINE - 1).astype(np.int64)
-        return np.concatenate(([0.0], np.cumsum(self.logs.take(head + 2 * step), dtype=np.float64)))
+        spot = mixed + _RANGE
+        spot *= (_FINE - 1) / (2 * _RANGE)
+        spot += 0.5
+        step = np.clip(spot, 0, _FINE - 1, out=spot).astype(np.int64)
+        step <<= 1
+        step += head
+        out = np.zeros(len(step) + 1)
+        np.cumsum(self.logs.take(step), dtype=np.float64, out=out[1:])
+        return out
 
     def scores(self, part: Part, rows: int) -> np.ndarray:
         """log10 probability of each text with its end."""
         m, b = self.model, len(WITHIN)
-        rest = np.empty(len(part.starts))
         # After a word's first bytes no word before speaks, so its rest is looked up once for all its occurrences.
-        for low in range(0, len(rest), CHUNK // 2):
-            some = slice(low, low + CHUNK // 2)
-            bits = part.bits(m.trees, some=some, skip=HEAD)
-            states, known, row = self._within(bits)
-            silent = self._given(states, known, row, 0)
-            silent += self.part[b].take(known << 8)
-            sums = self._logs(silent, row * (2 * _FINE) + bits.bit)
-            rest[some] = sums[bits.first[1:]] - sums[bits.first[:-1]]
-        out = np.bincount(part.row, rest[part.at], rows)
-        # The words' first bytes, whose part of each distinct word is looked up once in both cases.
-        bits = part.bits(m.trees, HEAD)
+        rest, left = np.zeros(len(part.starts)), part.ends - part.starts >= HEAD
+        names, logs = self.held
+        if len(names):
+            at = np.minimum(np.searchsorted(names, part.keys), len(names) - 1)
+            found = np.flatnonzero(names.take(at) == part.keys)
+            rest[found], left[found] = logs.take(at[found]), False
+        left = np.flatnonzero(left)
+        for low in range(0, len(left), CHUNK // 2):
+            some = left[low : low + CHUNK // 2]
+            rest[some] = self.rests(part.data, part.starts[some], part.ends[some], part.topics[some])
+        out = np.bincount(part.row, rest.take(part.at), rows)
+        # The words' first bytes, whose part of all words that begin with them is looked up once in both cases.
+        which, head = part.heads()
+        bits = part.bits(m.trees, HEAD, which)
         states, known, row = self._within(bits)
         cases = np.stack([self._given(states, known, row, case) for case in range(2)], axis=1).ravel()
         row = row * (2 * _FINE) + bits.bit
-        carried = bits.carried("before")
-        for some, n, place in part.walk(bits):
-            before = m.tables[b].take(part.slots(bits, "before", m.bits[b], carried, some, n, place))
+        carried, small = bits.carried("before"), bits.low(m.bits[b])
+        for some, n, place in part.walk(bits.first, head.take(part.at)):
+            before = m.tables[b].take(part.slots("before", m.bits[b], carried, small, some, n, place))
             case = (before != 0).astype(np.int64)
             mixed = cases.take(place * 2 + case)
             mixed += self.part[b].take((known.take(place) + case) << 8 | before)
@@ -462,6 +496,15 @@ class Scorer:
             out += np.bincount(part.row[some], sums[end] - sums[end - n], rows)
         return out
 
+    def rests(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, topics: np.ndarray) -> np.ndarray:
+        """log10 probability of each word, in a topic, after its first HEAD bytes."""
+        bits = Bits(data, starts, ends, topics, self.model.trees, skip=HEAD)
+        states, known, row = self._within(bits)
+        silent = self._given(states, known, row, 0)
+        silent += self.part[len(WITHIN)].take(known << 8)
+        sums = self._logs(silent, row * (2 * _FINE) + bits.bit)
+        return sums[bits.first[1:]] - sums[bits.first[:-1]]
+
     def _within(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """(states under the orders within words, weight set if the word before says nothing, row of the map) of each decision."""
         m = self.model
@@ -553,38 +596,31 @@ class Learner:
                 sums += x
 
     def pairs(self, part: Part) -> None:
-        """Counts the first bytes of all occurrences in cells. What the word itself gives is worked out once for each word of a topic and how often a text holds it."""
+        """Counts the first bytes of all occurrences in cells. What the word itself gives is worked out once for each beginning of a topic's words and how often a text holds the word."""
         m, given = self.model, self._given()
         words, both = (np.minimum(x, 15) for x in (part.times(), part.times(True)))
-        key, n = part.at * 16 + words, len(part.at)
-        alike = np.bincount(key, minlength=16 * len(part.starts))
-        ends = len(part.starts) - len(m.topics.prior) - 1  # the ends of texts stand last, in the order of the texts
-        begin = np.searchsorted(part.at[: n - int((part.at >= ends).sum())], np.arange(ends + 1))
-        for low, high in zip(range(0, ends + 1, CHUNK // 2), [*range(CHUNK // 2, ends + 1, CHUNK // 2), len(part.starts)], strict=True):
-            bits = part.bits(m.trees, HEAD, slice(low, high))
-            carried = bits.carried("before")
-            item = np.flatnonzero(alike[16 * low : 16 * high])
-            number = np.zeros(16 * (high - low), np.int64)
-            number[item] = np.arange(len(item))
-            first, place = _decisions(bits.first, item >> 4)
-            bit = bits.bit.take(place)
-            left = np.repeat((item & 15) << 17, np.diff(first)) | bit << 16
-            states = [LEFT.take(left | m.tables[q].take(bits.slots(o, m.bits[q])).take(place)) for q, o in enumerate(WITHIN)]
-            chosen = _chosen(*states[3:], np.zeros(1)).astype(np.int64)
-            at = chosen * _DEPTHS + bits.depth.take(place)
-            mixed = m.bias.take(at)
-            for x, state in zip(given, states, strict=True):
-                mixed += x.take(chosen * len(self.kind) + state)
-            step = np.clip(np.round((mixed + 8) * _FOLD), 0, _FOLDS - 1).astype(np.int64)
-            base = (((chosen >> 1) * _DEPTHS + bits.depth.take(place)) * _FOLDS + step) * 512 + bit
-            last = begin[high] if high <= ends else n
-            for start in range(begin[low], last, CHUNK):
-                some = slice(start, min(start + CHUNK, last))
-                begun, spot = _decisions(first, number[key[some] - 16 * low])
-                many = np.diff(begun)
-                before = m.tables[-1].take(part.slots(bits, "before", m.bits[-1], carried, some, many, place.take(spot)))
-                state = LEFT.take(np.repeat(both[some] << 17, many) | bit.take(spot) << 16 | before).astype(np.int64)
-                np.add.at(self.cells, base.take(spot) + 2 * state, 1)
+        which, head = part.heads()
+        bits = part.bits(m.trees, HEAD, which)
+        key = head.take(part.at) * 16 + words
+        item = np.flatnonzero(np.bincount(key, minlength=16 * len(which)))
+        number = np.zeros(16 * len(which), np.int64)
+        number[item] = np.arange(len(item))
+        first, place = _decisions(bits.first, item >> 4)
+        bit, depth = bits.bit.take(place), bits.depth.take(place)
+        left = np.repeat((item & 15) << 17, np.diff(first)) | bit << 16
+        states = [LEFT.take(left | m.tables[q].take(bits.slots(o, m.bits[q])).take(place)) for q, o in enumerate(WITHIN)]
+        chosen = _chosen(*states[3:], np.zeros(1)).astype(np.int64)
+        mixed = m.bias.take(chosen * _DEPTHS + depth)
+        for x, state in zip(given, states, strict=True):
+            mixed += x.take(chosen * len(self.kind) + state)
+        step = np.clip(np.round((mixed + 8) * _FOLD), 0, _FOLDS - 1).astype(np.int64)
+        base = (((chosen >> 1) * _DEPTHS + depth) * _FOLDS + step) * 512 + bit
+        bit <<= 16
+        carried, low = bits.carried("before").take(place), bits.low(m.bits[-1]).take(place)
+        for some, many, spot in part.walk(first, number.take(key)):
+            before = m.tables[-1].take(part.slots("before", m.bits[-1], carried, low, some, many, spot))
+            state = LEFT.take(np.repeat(both[some] << 17, many) | bit.take(spot) | before).astype(np.int64)
+            np.add.at(self.cells, base.take(spot) + 2 * state, 1)
 
     def sums(self) -> np.ndarray:
         """What is added up over tasks."""
@@ -751,12 +787,15 @@ class _Counts:
 
     def __init__(self, sizes: list[int], kind: type, base: int):
         self.flat, self.width = [np.zeros(2 << b, kind) for b in sizes], np.dtype(kind).itemsize
+        #: All that was added to each table; no count is greater.
+        self.added = [0] * len(sizes)
         self.base = base + np.concatenate(([0], np.cumsum([(2 << b) // BLOCK for b in sizes])))
 
     def add(self, table: int, at: np.ndarray, n) -> Iterator[pa.RecordBatch]:
         flat = self.flat[table]
         np.add.at(flat, at, flat.dtype.type(n) if np.isscalar(n) else n.astype(flat.dtype))
-        if len(at) and (held := flat.take(at)).max() >= FULL[self.width]:
+        self.added[table] += n * len(at) if np.isscalar(n) else int(n.sum())
+        if self.added[table] >= FULL[self.width] and len(at) and (held := flat.take(at)).max() >= FULL[self.width]:
             yield from self._out(table, np.unique(at[held >= FULL[self.width]] // BLOCK))
 
     def _out(self, table: int, which: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -805,12 +844,13 @@ def tables(counts: DataFrame, docs: DataFrame, parts: int, topics: Topics, own:
 
     def counted(col: pa.Array, held: _Counts) -> Iterator[pa.RecordBatch]:
         part = Part(col, topics)
-        made = part.bits(own, HEAD)
-        carried = {o: made.carried(o) for o in ACROSS}
-        for some, many, place in part.walk(made):
+        which, head = part.heads()
+        made = part.bits(own, HEAD, which)
+        carried, low = {o: made.carried(o) for o in ACROSS}, [made.low(b) for b in bits[n:]]
+        for some, many, place in part.walk(made.first, head.take(part.at)):
             bit = made.bit.take(place)
             for q, o in enumerate(ACROSS):
-                slot = part.slots(made, o, bits[n + q], carried[o], some, many, place)
+                slot = part.slots(o, bits[n + q], carried[o], low[q], some, many, place)
                 slot <<= 1
                 slot |= bit
                 yield from held.add(q, slot, 1)
@@ -904,16 +944,37 @@ def fitted(docs: DataFrame, learners: int, model: Model, words: DataFrame | None
     return with_before(model, *np.split(rest, 2), cells)
 
 
-def _least(counts: DataFrame) -> int:
-    """The least count of which at most FREQUENT words have it or more."""
+def _least(counts: DataFrame, most: int) -> int:
+    """The least count of which at most so many rows have it or more."""
     held = 0
     for r in counts.groupBy("all").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("all")).toLocalIterator():  # as many rows as different counts
         held += r.n
-        if held > FREQUENT:
+        if held > most:
             return r["all"] + 1
     return 0
 
 
+def held_rests(by_topic: DataFrame, shipped) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, log10 probability of the rest) of at most RESTS words of a topic, those that most texts hold once, by a broadcast model for scoring."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shipped.value)
+        for batch in batches:
+            topic = batch.column("topic").to_numpy()
+            key = batch.column("hash").to_numpy().view(np.uint64) + topic.astype(np.uint64) * _TOPIC
+            for i in range(0, len(key), CHUNK):
+                data, starts, ends = _bytes_of(batch.column("token").slice(i, CHUNK))
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + CHUNK].view(np.int64)), pa.array(scorer.rests(data, starts, ends, topic[i : i + CHUNK]))], ["key", "rest"])
+        del scorer
+        freed()
+
+    once = by_topic.where((F.col("times") == 1) & (F.octet_length("token") >= HEAD))
+    rows = once.where(F.col("all") >= _least(once, RESTS)).select("token", "hash", "topic").mapInArrow(run, "key long, rest double").toArrow()
+    key = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], rows.column("rest").to_numpy()[order]
+
+
 def scored(docs: DataFrame, *, learn: str = "learn", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, learn, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row.
 
@@ -939,10 +1000,11 @@ def scored(docs: DataFrame, *, learn: str = "learn", id_col: str = "doc_id", tex
     model = fresh(topics, own, bits, tables(by_topic, learnt, parts, topics, own, bits))
     rows = int(by_topic.agg(F.sum(F.ceil(F.col("trained") / ROW_TIMES))).first()[0] or 0)
     model = fitted(learnt, math.ceil(max(1, rows) / LEARNER_ROWS), model, by_topic)
-    discard(by_topic)
     shipped = spark.sparkContext.broadcast(for_scoring(model))  # the tables of table_bits
     del model
-    top = counts.where(F.col("all") >= _least(counts)).select("hash", "trained").toArrow().sort_by("hash")
+    rests = spark.sparkContext.broadcast(held_rests(by_topic, shipped))
+    discard(by_topic)
+    top = counts.where(F.col("all") >= _least(counts, FREQUENT)).select("hash", "trained").toArrow().sort_by("hash")
     frequent = spark.sparkContext.broadcast((top.column("hash").to_numpy(), top.column("trained").to_numpy()))
     kind = named.schema["id"].dataType.simpleString()
     norm = math.log10(n + v + 1)
@@ -972,7 +1034,7 @@ def scored(docs: DataFrame, *, learn: str = "learn", id_col: str = "doc_id", tex
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(shipped.value, rests.value)
         row = TaskContext.get().partitionId() << 36
         for piece in (x for batch in batches for x in pieces(batch, "text", PART_BYTES)):
             yield looked_up(piece, scorer, row)
@@ -982,6 +1044,7 @@ def scored(docs: DataFrame, *, learn: str = "learn", id_col: str = "doc_id", tex
 
     looked = stored(named.mapInArrow(look, f"row long, id {kind}, learn boolean, n_tokens long, n_known long, base double, score double, n_bytes long, hash long, times long"))
     shipped.destroy()
+    rests.destroy()
     rare = looked.where("hash is not null").select("row", "hash", "times").join(counts.select("hash", "trained"), "hash")
     base = F.log10(F.col("trained") + F.lit(1.0)) - F.lit(norm)
     more = rare.groupBy("row").agg(F.sum(F.when(F.col("trained") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * base).alias("more_base"))
