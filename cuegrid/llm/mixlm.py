@@ -110,9 +110,9 @@ class Topics:
 
     def of_texts(self, feature: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The topic at the end of each text, from the features of its words."""
-        said = np.empty((len(first) - 1, self.logs.shape[1]))
+        said, sums = np.empty((len(first) - 1, self.logs.shape[1])), np.zeros(len(feature) + 1)
         for k in range(said.shape[1]):
-            sums = np.concatenate(([0.0], np.cumsum(self.logs[:, k].take(feature))))
+            np.cumsum(self.logs[:, k].take(feature), out=sums[1:])
             said[:, k] = sums[first[1:]] - sums[first[:-1]] + self.prior[k]
         return np.round(said, 6).argmax(axis=1)
 
@@ -823,8 +823,8 @@ def shares(weights: np.ndarray, room: int) -> Iterator[np.ndarray]:
 def tables(counts: DataFrame, docs: DataFrame, parts: int, topics: Topics, own: Trees, bits: list[int]) -> list[np.ndarray]:
     """The predictors' tables, 256 * coded zeros + coded ones of each slot, from all words (token, topic, trained) and texts to learn from.
 
-    Each task counts the bits of its rows in tables of its own and hands out the blocks that it touched; blocks are summed
-    as 64-bit numbers, one after another in the order of their numbers. The driver gets the tables, one at a time.
+    Each task counts the bits of its rows in tables of its own and hands out the blocks that it touched; words come in
+    order, as those that begin alike share slots, which then are in the cache. Blocks are summed as 64-bit numbers, one after another in the order of their numbers. The driver gets the tables, one at a time.
     """
     n = len(WITHIN)
     half = sum((2 << b) // BLOCK for b in bits[:n])
@@ -876,7 +876,7 @@ def tables(counts: DataFrame, docs: DataFrame, parts: int, topics: Topics, own:
         if now is not None:
             yield done()
 
-    each = counts.where("trained > 0").select("token", "topic", "trained").coalesce(parts).mapInArrow(of_words, kinds).unionByName(docs.coalesce(parts).mapInArrow(of_texts, kinds))
+    each = counts.where("trained > 0").select("token", "topic", "trained").coalesce(parts).sortWithinPartitions("token", "topic").mapInArrow(of_words, kinds).unionByName(docs.coalesce(parts).mapInArrow(of_texts, kinds))
     summed = stored(each.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, pairs binary"))
     out, first = [], 0
     for b in bits:

@@ -79,9 +79,11 @@ class Words:
 
     def __init__(self, col: pa.Array, between: np.ndarray = _WS):
         n = _lengths(col)
-        raw = np.frombuffer(col.cast(pa.large_string()).fill_null("").buffers()[2] or b"", np.uint8) if len(col) else np.zeros(0, np.uint8)
-        if len(raw) != n.sum():  # a slice shares its parent's buffer
-            raw = np.frombuffer("".join(x or "" for x in col.to_pylist()).encode(), np.uint8)
+        raw = np.zeros(0, np.uint8)
+        if len(col):
+            filled = col.cast(pa.large_string()).fill_null("")
+            begin = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset]  # a slice shares its parent's buffer
+            raw = np.frombuffer(filled.buffers()[2] or b"", np.uint8)[begin : begin + n.sum()]
         self.data = _LOWER[raw]
         begins = np.concatenate(([0], np.cumsum(n)))
         word = ~between[raw]
